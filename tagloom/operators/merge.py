@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Collection, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -28,28 +28,28 @@ def tall_table(tags: Mapping[str, DataFrame]) -> DataFrame:
     return branches[0]
 
 
-def wide_table(tall: DataFrame, codes: Sequence[str], one_value: bool = False) -> DataFrame:
+def wide_table(
+    tall: DataFrame, codes: Sequence[str], one_value: bool | Collection[str] = False
+) -> DataFrame:
     """One row per user, one text column per tag; a user without a value has ``''``.
 
-    Values of a user that has a tag more than once are put one after the other in sorted order.
+    Values of a user that has a tag more than once are put one after the other in sorted order. For
+    that, equal rows are counted before anything is brought together by user, so a user (or a user's
+    one value) holding a large share of all rows leaves each map task as one row.
 
-    Equal rows are counted before anything is brought together by user, so a user (or a user's one
-    value) holding a large share of all rows leaves each map task as one row. What reaches a user is
-    its distinct values. Callers who know that each user has a tag at most once, for example
-    because every source query groups by user, pass ``one_value`` and save that shuffle.
+    ``one_value`` names the tags that a user has at most once, for example because their query groups
+    by user; True means all of them. Their rows go straight to the user, without the counting
+    shuffles. A tag that breaks this promise fails the job instead of losing a value.
     """
     columns = [c.lower() for c in codes]
     if not columns:
         raise ValueError("no tag to merge")
     if len(set(columns)) < len(columns):
         raise ValueError("tag codes must differ without case")
+    single = set(columns) if one_value is True else {c.lower() for c in one_value or ()}
     # Empty text adds nothing to a cell; as NULL it falls together with the missing values.
     rows = tall.select("uid", "tag_code", F.nullif("tag_value", F.lit("")).alias("tag_value"))
-    cells = (
-        rows.repartition("uid").withColumnRenamed("tag_value", "cell")
-        if one_value
-        else _cells(rows)
-    )
+    cells = _cells(rows, columns, single)
     # One map per user and a lookup per column: a pivot evaluates every column for every tall row.
     entry = F.when(F.col("cell").isNotNull(), F.struct("tag_code", "cell"))
     users = cells.groupBy("uid").agg(F.map_from_entries(F.collect_list(entry)).alias("cells"))
@@ -58,16 +58,31 @@ def wide_table(tall: DataFrame, codes: Sequence[str], one_value: bool = False) -
     )
 
 
-def _cells(rows: DataFrame) -> DataFrame:
+def _cells(rows: DataFrame, columns: Sequence[str], single: set[str]) -> DataFrame:
     """The cell of each user and tag, ``(uid, tag_code, cell)``, partitioned by user."""
-    counted = rows.groupBy("uid", "tag_code", "tag_value").agg(F.count("*").alias("n"))
+    whole = rows.withColumnRenamed("tag_value", "cell")
+    if single >= set(columns):
+        return whole.repartition("uid")
+    if not single:
+        # One partitioning by user serves this aggregation and the one by user after it.
+        return _joined(_counted(rows).repartition("uid"))
+    # The code is a literal in every branch of the union, so each filter drops whole branches.
+    once = F.col("tag_code").isin(sorted(single))
+    return whole.filter(once).union(_joined(_counted(rows.filter(~once)))).repartition("uid")
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("uid", "tag_code", "tag_value").agg(F.count("*").alias("n"))
+
+
+def _joined(counted: DataFrame) -> DataFrame:
+    """The distinct values of a cell in order, each as often as it was counted."""
     parts = F.array_sort(
         F.collect_list(F.when(F.col("tag_value").isNotNull(), F.struct("tag_value", "n")))
     )
     repeated = F.transform(parts, lambda p: F.repeat(p["tag_value"], p["n"].cast("int")))
     cell = F.when(F.size(parts) > 0, F.array_join(repeated, ""))
-    # Partitioned by user once: this aggregation and the one by user both run inside it.
-    return counted.repartition("uid").groupBy("uid", "tag_code").agg(cell.alias("cell"))
+    return counted.groupBy("uid", "tag_code").agg(cell.alias("cell"))
 
 
 def duplicate_users(tall: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Collection, Mapping, Sequence
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -75,7 +75,7 @@ def run_merge(
     database: str,
     base: str | None = None,
     prefix: str = WIDE_TABLE_PREFIX,
-    one_value: bool = False,
+    one_value: bool | Collection[str] = False,
 ) -> str:
     """Merge the day's slices of all active tags into the day's wide table; returns its name."""
     specs = catalog.tag_specs(catalog.active_tags(meta.tag_info, meta.task_info))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from tagloom.functions.values import DATE, DECIMAL, LONG, TEXT
@@ -84,6 +85,8 @@ TAGS = [
 
 CODES = [t.code for t in TAGS]
 BY_CODE = {t.code: t for t in TAGS}
+# Every query but this one yields a user at most once.
+ONE_VALUE = [c for c in CODES if c != "TG_Statuses"]
 SPECS = [catalog.TagSpec(t.code, t.value_type) for t in TAGS]
 
 
@@ -93,6 +96,12 @@ def publish_sources(spark: SparkSession, sf_dir: str) -> None:
         table(spark, sf_dir, name).createOrReplaceTempView(name)
 
 
+def local_frame(spark: SparkSession, rows: list[tuple], **types: pa.DataType) -> DataFrame:
+    """A small frame of literal rows; as an Arrow table it needs no job to be read."""
+    columns = [pa.array(list(values), t) for values, t in zip(zip(*rows), types.values(), strict=True)]
+    return spark.createDataFrame(pa.table(columns, names=list(types)))
+
+
 def metadata(spark: SparkSession) -> catalog.Metadata:
     """The tag set as metadata tables. Sub-tags at level 4 name the values that rules map to."""
     tag_rows, task_rows, rule_rows = [], [], []
@@ -103,33 +112,44 @@ def metadata(spark: SparkSession) -> catalog.Metadata:
             n = len(rule_rows) + 1
             tag_rows.append((1000 + n, f"{tag.code}_{n}", value, 4, i, tag.value_type, None))
             rule_rows.append((n, i, i, key, 1000 + n))
+    number, text = pa.int64(), pa.string()
     return catalog.Metadata(
-        spark.createDataFrame(
+        tag_info=local_frame(
+            spark,
             tag_rows,
-            "id bigint, tag_code string, tag_name string, tag_level bigint, parent_tag_id bigint, "
-            "tag_value_type string, tag_task_id bigint",
+            id=number,
+            tag_code=text,
+            tag_name=text,
+            tag_level=number,
+            parent_tag_id=number,
+            tag_value_type=text,
+            tag_task_id=number,
+        ),
+        task_info=local_frame(spark, task_rows, id=number, task_name=text, task_status=text, task_sql=text),
+        rules=local_frame(
+            spark, rule_rows, id=number, tag_id=number, task_id=number, query_value=text, sub_tag_id=number
         ),
-        spark.createDataFrame(task_rows, "id bigint, task_name string, task_status string, task_sql string"),
-        spark.createDataFrame(rule_rows, catalog.RULE_SCHEMA),
     )
 
 
 def tag_frame(spark: SparkSession, sf_dir: str, code: str) -> DataFrame:
     """One tag, computed from its stored query."""
     publish_sources(spark, sf_dir)
-    tag = BY_CODE[code]
+    return _compute(spark, BY_CODE[code])
+
+
+def _compute(spark: SparkSession, tag: Tag) -> DataFrame:
     rules = None
     if tag.rules:
-        rules = spark.createDataFrame(
-            [(i, k, v) for i, (k, v) in enumerate(tag.rules.items())],
-            "id bigint, query_value string, sub_tag_value string",
-        )
+        rows = [(i, k, v) for i, (k, v) in enumerate(tag.rules.items())]
+        rules = local_frame(spark, rows, id=pa.int64(), query_value=pa.string(), sub_tag_value=pa.string())
     return tags.compute_tag(tags.task_query(spark, tag.sql, DAY), rules, tag.value_type)
 
 
 def tall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merge.tall_table({t.code: tag_frame(spark, sf_dir, t.code) for t in TAGS})
+    publish_sources(spark, sf_dir)
+    return merge.tall_table({t.code: _compute(spark, t) for t in TAGS})
 
 
 def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merge.wide_table(tall(spark, sf_dir), CODES)
+    return merge.wide_table(tall(spark, sf_dir), CODES, one_value=ONE_VALUE)

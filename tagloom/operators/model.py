@@ -9,7 +9,7 @@ from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler, VectorIndexer
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LABEL_INDEX = "label_index"
@@ -21,7 +21,9 @@ PREDICTION_LABEL = "prediction_origin"
 class TreeParams:
     """Tree settings. ``max_categories`` is the most distinct values a categorical feature may have.
 
-    ``handle_invalid`` says what NULL features and unseen categories do: ``error``, ``skip`` or ``keep``.
+    ``null_features`` says what a row with a NULL feature does: ``error`` or ``skip``; fill such features
+    beforehand to score the row. ``new_categories`` says what a category unseen in training does:
+    ``error``, ``skip``, or ``keep`` as one further category.
     """
 
     max_categories: int = 5
@@ -29,7 +31,14 @@ class TreeParams:
     max_depth: int = 5
     min_instances: int = 1
     min_info_gain: float = 0.0
-    handle_invalid: str = "error"
+    null_features: str = "error"
+    new_categories: str = "error"
+
+    def __post_init__(self) -> None:
+        if self.null_features not in ("error", "skip"):
+            raise ValueError("null_features is error or skip")
+        if self.new_categories not in ("error", "skip", "keep"):
+            raise ValueError("new_categories is error, skip or keep")
 
     def with_(self, **changes: object) -> TreeParams:
         return replace(self, **changes)
@@ -65,13 +74,13 @@ def build_pipeline(label: str, features: Sequence[str], params: TreeParams = Tre
             VectorAssembler(
                 inputCols=list(features),
                 outputCol="feature_assemble",
-                handleInvalid=params.handle_invalid,
+                handleInvalid=params.null_features,
             ),
             VectorIndexer(
                 inputCol="feature_assemble",
                 outputCol="feature_index",
                 maxCategories=params.max_categories,
-                handleInvalid=params.handle_invalid,
+                handleInvalid=params.new_categories,
             ),
             DecisionTreeClassifier(
                 labelCol=LABEL_INDEX,
@@ -135,7 +144,7 @@ def evaluate(
     """Report rows ``(metric, label, value)``: accuracy, and precision and recall of each true label.
 
     The pairs are counted first, so what follows handles one row per pair of classes. A label that is
-    never predicted has precision 0.
+    never predicted has precision 0, and a predicted label that never occurs has no row.
     """
     pairs = predicted.groupBy(F.col(label).alias("actual"), F.col(prediction).alias("guess")).agg(
         F.count("*").alias("n")
@@ -145,13 +154,13 @@ def evaluate(
     none = F.lit(None).cast(predicted.schema[label].dataType)
     zero = F.lit(0).cast("bigint")
 
-    def share(metric: str, of, part, whole, true: bool):
+    def share(metric: str, of: Column, part: Column, whole: Column, occurs: bool) -> Column:
         return F.struct(
             F.lit(metric).alias("metric"),
             of.alias("label"),
             part.alias("part"),
             whole.alias("whole"),
-            F.lit(true).alias("true"),
+            F.lit(occurs).alias("occurs"),
         )
 
     shares = pairs.select(
@@ -165,10 +174,10 @@ def evaluate(
         )
     )
     summed = shares.groupBy("metric", "label").agg(
-        F.sum("part").alias("part"), F.sum("whole").alias("whole"), F.bool_or("true").alias("true")
+        F.sum("part").alias("part"), F.sum("whole").alias("whole"), F.bool_or("occurs").alias("occurs")
     )
     value = F.when(F.col("whole") == 0, F.lit(0.0)).otherwise(F.col("part") / F.col("whole"))
-    return summed.filter("true").select("metric", "label", value.alias("value"))
+    return summed.filter(F.col("occurs")).select("metric", "label", value.alias("value"))
 
 
 def save(model: PipelineModel, path: str) -> None:

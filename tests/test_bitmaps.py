@@ -1,0 +1,119 @@
+import pytest
+from conftest import plan_of, rows
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from tagloom.functions.packing import bucket_of, member_id, position_of
+from tagloom.operators import bitmaps
+from tagloom.sources.catalog import TagSpec
+
+EDGE_IDS = [0, 1, 2, 63, 64, 65, 32767, 32768, 32769, 65536, 65537, -1, -32767, -32768, -32769, 10**12, -(10**12)]
+
+
+def wide(spark, *data, columns=("g", "h")):
+    schema = "uid string, " + ", ".join(f"{c} string" for c in columns)
+    return spark.createDataFrame(list(data), schema)
+
+
+def tall(spark, ids, code="G", value="x"):
+    return spark.createDataFrame([(str(i), code, value) for i in ids], "uid string, tag_code string, tag_value string")
+
+
+def test_unpivot_drops_empty_cells_and_keeps_code_case(spark):
+    out = bitmaps.unpivot_tags(wide(spark, ("1", "a", ""), ("2", "", ""), ("x", "b", "c")), ["G", "H"])
+    assert out.columns == ["uid", "tag_code", "tag_value"]
+    assert rows(out) == [("1", "G", "a"), ("x", "G", "b"), ("x", "H", "c")]
+
+
+def test_unpivot_ignores_null_cells_and_other_columns(spark):
+    out = bitmaps.unpivot_tags(wide(spark, ("1", None, "b"), columns=("g", "h")), ["G"])
+    assert rows(out) == []
+    with pytest.raises(ValueError):
+        bitmaps.unpivot_tags(wide(spark, ("1", "a", "b")), [])
+
+
+def test_ids_survive_packing(spark):
+    ids = spark.createDataFrame([(i,) for i in EDGE_IDS], "id bigint")
+    back = ids.select("id", member_id(bucket_of(F.col("id")), position_of(F.col("id"))).alias("back"))
+    assert back.filter("id <> back").count() == 0
+
+
+def test_chunks_sets_and_bitmaps_agree_on_edge_ids(spark):
+    members = bitmaps.members_of_tall(tall(spark, EDGE_IDS * 3))
+    chunks = bitmaps.user_chunks(members)
+    assert sorted(r["uid"] for r in bitmaps.chunk_users(chunks).collect()) == sorted(EDGE_IDS)
+    sets = bitmaps.user_sets(members)
+    assert sorted(i for r in sets.collect() for i in r["uids"]) == sorted(EDGE_IDS)
+    assert all(r["uids"] == sorted(r["uids"]) for r in sets.collect())
+    for form in (chunks, sets, bitmaps.user_bitmaps(members)):
+        assert rows(bitmaps.user_counts(form)) == [("G", "x", len(EDGE_IDS))]
+
+
+def test_native_bitmap_bytes(spark):
+    out = bitmaps.user_bitmaps(bitmaps.members_of_tall(tall(spark, [1, 2, 10, 32768])))
+    (row,) = out.collect()
+    bits = bytes(row["bitmap"])
+    assert (len(bits), row["bucket"], row["n_users"]) == (4096, 1, 4)
+    assert bits[0] == 0b11 and bits[1] == 0b10 and bits[4095] == 0b10000000
+    assert sum(b.bit_count() for b in bits) == 4
+
+
+def test_rare_value_takes_one_word_and_full_value_all(spark):
+    everyone = bitmaps.user_chunks(bitmaps.members_of_tall(tall(spark, range(1, 32769))))
+    assert [(r["n_users"], len(r["words"])) for r in everyone.collect()] == [(32768, 512)]
+    rare = bitmaps.user_chunks(bitmaps.members_of_tall(tall(spark, [5])))
+    assert [(r["n_users"], len(r["words"])) for r in rare.collect()] == [(1, 1)]
+
+
+def test_a_popular_value_is_cut_into_bounded_rows(spark):
+    ids = spark.range(1, 200_001).select(
+        F.col("id").cast("string").alias("uid"), F.lit("G").alias("tag_code"), F.lit("x").alias("tag_value")
+    )
+    sets = bitmaps.user_sets(bitmaps.members_of_tall(ids)).collect()
+    assert sum(r["n_users"] for r in sets) == 200_000
+    assert max(r["n_users"] for r in sets) == 32768 and len(sets) == 7
+
+
+def test_wide_and_tall_give_the_same_chunks(spark):
+    data = wide(spark, ("1", "a", "b"), ("2", "a", ""), ("70000", "a", "c"))
+    from_wide = bitmaps.user_chunks(bitmaps.members_of_wide(data, ["G", "H"]))
+    from_tall = bitmaps.user_chunks(bitmaps.members_of_tall(bitmaps.unpivot_tags(data, ["G", "H"])))
+    assert rows(from_wide) == rows(from_tall)
+
+
+def test_ids_that_are_no_numbers(spark):
+    data = wide(spark, ("1", "a", ""), ("x1", "a", ""))
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        bitmaps.members_of_wide(data, ["G"]).collect()
+    lenient = bitmaps.members_of_wide(data, ["G"], strict=False)
+    assert rows(bitmaps.user_counts(bitmaps.user_chunks(lenient))) == [("G", "a", 1)]
+
+
+def test_types(spark):
+    specs = [TagSpec("G", "3"), TagSpec("H", "1")]
+    out = bitmaps.chunks_by_type(wide(spark, ("1", "a", "7"), ("2", "a", "")), specs)
+    got = rows(out.select("value_type", "tag_code", "tag_value", "n_users"))
+    assert got == [("1", "H", "7", 1), ("3", "G", "a", 2)]
+    assert bitmaps.codes_by_type(specs + [TagSpec("I", "3")]) == {"3": ["G", "I"], "1": ["H"]}
+
+
+@pytest.mark.parametrize("form", [bitmaps.user_chunks, bitmaps.user_bitmaps, bitmaps.user_sets])
+def test_wide_rows_are_shuffled_once(spark, tmp_path, form):
+    wide(spark, ("1", "a", "b")).write.parquet(str(tmp_path / "wide"))
+    stored = spark.read.parquet(str(tmp_path / "wide"))
+    plan = plan_of(form(bitmaps.members_of_wide(stored, ["G", "H"])))
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert "Python" not in plan and "Cartesian" not in plan
+    # The shuffle comes before the rows are multiplied by the number of tags.
+    assert plan.index("Generate") < plan.index("Exchange")
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.integers(-70_000, 70_000), st.sampled_from("ab")), min_size=1, max_size=30))
+def test_counts_are_distinct_counts(spark, data):
+    frame = spark.createDataFrame([(str(i), "G", v) for i, v in data], "uid string, tag_code string, tag_value string")
+    chunks = bitmaps.user_chunks(bitmaps.members_of_tall(frame))
+    assert rows(bitmaps.chunk_users(chunks).select("tag_value", "uid")) == sorted(
+        {(v, i) for i, v in data}, key=lambda t: [(True, t[0]), (True, str(t[1]))]
+    )

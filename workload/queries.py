@@ -264,7 +264,7 @@ def category_codes(spark, sf_dir):
 
 # --- label model ---
 
-TREE = model.BEHAVIOUR_PARAMS.with_(handle_invalid="keep")
+TREE = model.BEHAVIOUR_PARAMS.with_(new_categories="keep")
 
 
 def train_test_split(spark, sf_dir):
@@ -310,7 +310,7 @@ def feature_weights(spark, sf_dir):
 def sample_model_report(spark, sf_dir):
     """The sample model: category codes, a tree on them, and its report."""
     coded = features.category_codes(roles.samples(spark, sf_dir))
-    params = model.SAMPLE_PARAMS.with_(handle_invalid="skip")
+    params = model.SAMPLE_PARAMS.with_(null_features="skip", new_categories="keep")
     columns = ["hair", "height", "skirt", "age"]
     fitted, held_out = model.train(coded, "gender", columns, params, seed=7, key="uid")
     return model.evaluate(model.predict(fitted, held_out))

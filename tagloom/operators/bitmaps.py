@@ -87,7 +87,7 @@ def user_chunks(members: DataFrame) -> DataFrame:
     )
     return words.groupBy(*VALUE_KEYS, "bucket").agg(
         F.sum(F.bit_count("bits")).alias("n_users"),
-        F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("words"),
+        F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("words"),
     )
 
 
@@ -125,7 +125,7 @@ def user_sets(members: DataFrame) -> DataFrame:
     """Members as sorted id arrays of one bucket each: ``(tag_code, tag_value, bucket, n_users, uids)``."""
     sets = members.groupBy(*VALUE_KEYS, "bucket").agg(F.collect_set("position").alias("positions"))
     bucket = F.col("bucket")
-    ids = F.array_sort(F.transform("positions", lambda p: member_id(bucket, p)))
+    ids = F.sort_array(F.transform("positions", lambda p: member_id(bucket, p)))
     return sets.select(
         *VALUE_KEYS, "bucket", F.size("positions").cast("bigint").alias("n_users"), ids.alias("uids")
     )

@@ -77,11 +77,15 @@ def _counted(rows: DataFrame) -> DataFrame:
 
 def _joined(counted: DataFrame) -> DataFrame:
     """The distinct values of a cell in order, each as often as it was counted."""
-    parts = F.array_sort(
-        F.collect_list(F.when(F.col("tag_value").isNotNull(), F.struct("tag_value", "n")))
+    parts = F.collect_list(F.when(F.col("tag_value").isNotNull(), F.struct("tag_value", "n")))
+    repeated = F.transform(
+        F.sort_array(parts), lambda p: F.repeat(p["tag_value"], p["n"].cast("int"))
+    )
+    alone = (F.size(parts) == 1) & (parts[0]["n"] == 1)
+    cell = (
+        F.when(alone, parts[0]["tag_value"])
+        .when(F.size(parts) > 0, F.array_join(repeated, ""))
     )
-    repeated = F.transform(parts, lambda p: F.repeat(p["tag_value"], p["n"].cast("int")))
-    cell = F.when(F.size(parts) > 0, F.array_join(repeated, ""))
     return counted.groupBy("uid", "tag_code").agg(cell.alias("cell"))
 
 

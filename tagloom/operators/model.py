@@ -12,9 +12,12 @@ from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler, Ve
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Columns that the fitted stages read and write.
 LABEL_INDEX = "label_index"
 PREDICTION = "prediction_col"
 PREDICTION_LABEL = "prediction_origin"
+FEATURE_VECTOR = "feature_assemble"
+INDEXED_FEATURES = "feature_index"
 
 
 @dataclass(frozen=True)
@@ -73,18 +76,18 @@ def build_pipeline(label: str, features: Sequence[str], params: TreeParams = Tre
             StringIndexer(inputCol=label, outputCol=LABEL_INDEX),
             VectorAssembler(
                 inputCols=list(features),
-                outputCol="feature_assemble",
+                outputCol=FEATURE_VECTOR,
                 handleInvalid=params.null_features,
             ),
             VectorIndexer(
-                inputCol="feature_assemble",
-                outputCol="feature_index",
+                inputCol=FEATURE_VECTOR,
+                outputCol=INDEXED_FEATURES,
                 maxCategories=params.max_categories,
                 handleInvalid=params.new_categories,
             ),
             DecisionTreeClassifier(
                 labelCol=LABEL_INDEX,
-                featuresCol="feature_index",
+                featuresCol=INDEXED_FEATURES,
                 predictionCol=PREDICTION,
                 impurity="gini",
                 maxDepth=params.max_depth,

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tagloom.functions.values import TEXT, check_day, day_suffix
 from tagloom.operators import bitmaps, export, features, labels, merge, model, tags
+from tagloom.session import stored
 from tagloom.sources import catalog, tables
 
 WIDE_TABLE_PREFIX = "wide_tags"
@@ -136,7 +137,8 @@ def run_training(
     columns: Sequence[str] | None = None,
 ) -> tuple[PipelineModel, DataFrame]:
     """Train the label model, store it, and return it with the report on the held-out users."""
-    data = features.behaviour_features(logs, items, users, dt_from, dt_to, labelled=True)
+    # One pass over the logs: training, the held-out report and each tree level read the stored rows.
+    data = stored(features.behaviour_features(logs, items, users, dt_from, dt_to, labelled=True))
     fitted, held_out = model.train(data, "gender", columns or features.feature_columns(), params, seed)
     model.save(fitted, model_path)
     return fitted, model.evaluate(model.predict(fitted, held_out))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -40,3 +40,13 @@ def scratch_dir(spark: SparkSession) -> str:
         spark.conf.set(CHECKPOINT_KEY, base)
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/tagloom-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The frame written to the shared scratch folder and read back.
+
+    For results that are read several times: they are computed once, and a lost executor costs a read.
+    """
+    path = scratch_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -133,3 +133,24 @@ def test_scratch_folder_lies_below_the_checkpoint_folder(spark):
 
 def test_session_helper_reuses_the_session(spark):
     assert spark_session("again").sparkContext is spark.sparkContext
+
+
+def test_command_line_runs_the_daily_jobs(spark, database, warehouse):
+    from tagloom.__main__ import main, parse
+
+    meta = metadata(spark)
+    for name, frame in (("tag_info", meta.tag_info), ("task_info", meta.task_info), ("task_tag_rule", meta.rules)):
+        frame.write.saveAsTable(f"{warehouse}.{name}")
+    shared = ["--dt", DAY, "--database", database, "--metadata", warehouse]
+    for task in ("1", "2"):
+        main(["tag", *shared, "--task", task, "--warehouse", warehouse])
+    main(["merge", *shared, "--one-value", "TG_Sex", "TG_Age"])
+    main(["bitmaps", *shared])
+    assert rows(spark.table(f"{database}.wide_tags_20240131")) == [
+        ("1", "female", "30"),
+        ("2", "male", "40"),
+        ("3", "", "50"),
+    ]
+    assert spark.table(f"{database}.{plans.BITMAP_TABLE}").count() == 5
+    args = parse(["export", *shared, "--url", "jdbc:x", "--partitions", "8"])
+    assert (args.job, args.url, args.partitions) == ("export", "jdbc:x", 8)

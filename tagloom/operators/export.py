@@ -48,13 +48,16 @@ def export_jdbc(
 ) -> None:
     """Recreate the target table and write the frame to it.
 
+    The frame is cut into one range of ``order_by`` per connection, each sorted. The shuffle keeps the
+    stage before it parallel, which merely limiting the writer's partitions would not.
+
     Without transactions a task that is retried after a lost executor may write rows twice. So the
     target's row count is compared with the frame's at the end, and a mismatch fails the export: it
     replaces the target, hence running it again is safe.
     """
     spark = df.sparkSession
     options = jdbc_options(batchsize, partitions, isolation, driver, create_options, column_types)
-    ordered = df.sortWithinPartitions(order_by)
+    ordered = df.repartitionByRange(partitions, order_by).sortWithinPartitions(order_by)
     ordered.write.mode("overwrite").options(**options).jdbc(url, table, properties=dict(properties or {}))
     if verify:
         _check_rows(spark, df, url, table, driver, properties)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Collection, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -51,13 +51,25 @@ def wide_table(
     rows = tall.select("uid", "tag_code", F.nullif("tag_value", F.lit("")).alias("tag_value"))
     cells = _cells(rows, columns, single)
     # One map per user and a lookup per column: a pivot evaluates every column for every tall row.
-    entry = F.when(F.col("cell").isNotNull(), F.struct("tag_code", "cell"))
-    users = cells.groupBy("uid").agg(F.map_from_entries(F.collect_list(entry)).alias("cells"))
+    entries = F.collect_list(F.when(F.col("cell").isNotNull(), F.struct("tag_code", "cell")))
+    users = cells.groupBy("uid").agg(_cell_map(entries, checked=bool(single)).alias("cells"))
     return users.select(
         "uid", *(F.coalesce(F.col("cells")[F.lit(c)], F.lit("")).alias(c) for c in columns)
     )
 
 
+def _cell_map(entries: Column, checked: bool) -> Column:
+    """Cells by tag code; ``checked`` fails on a code that is there twice, whatever the session's policy."""
+    cells = F.map_from_entries(entries)
+    if not checked:
+        return cells
+    codes = entries["tag_code"]
+    broken = F.raise_error(F.lit("a user has a tag of one_value more than once"))
+    return F.when(F.size(F.array_distinct(codes)) == F.size(codes), cells).otherwise(
+        broken.cast("map<string,string>")
+    )
+
+
 def _cells(rows: DataFrame, columns: Sequence[str], single: set[str]) -> DataFrame:
     """The cell of each user and tag, ``(uid, tag_code, cell)``, partitioned by user."""
     whole = rows.withColumnRenamed("tag_value", "cell")

@@ -32,13 +32,13 @@ def scratch_dir(spark: SparkSession) -> str:
     The folder must be visible to every executor, so the session's own setting is used. Only a local
     session may go without one: there the machine's temporary folder is shared by definition.
     """
-    base = spark.conf.get(CHECKPOINT_KEY, None)
+    context = spark.sparkContext
+    base = spark.conf.get(CHECKPOINT_KEY, None) or context.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="tagloom-")
-        spark.conf.set(CHECKPOINT_KEY, base)
-        spark.sparkContext.setCheckpointDir(base)
+        context.setCheckpointDir(base)
     return f"{base.rstrip('/')}/tagloom-{uuid.uuid4().hex}"
 
 

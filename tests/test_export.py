@@ -30,7 +30,10 @@ def fake_frame(calls, source_rows, target_rows):
         )
     )
     frame = SimpleNamespace(sparkSession=SimpleNamespace(read=reader), count=lambda: source_rows)
-    frame.sortWithinPartitions = lambda column: calls.__setitem__("sort", column) or SimpleNamespace(write=Writer(calls))
+    ordered = SimpleNamespace(
+        sortWithinPartitions=lambda column: calls.__setitem__("sort", column) or SimpleNamespace(write=Writer(calls))
+    )
+    frame.repartitionByRange = lambda n, column: calls.__setitem__("range", (n, column)) or ordered
     return frame
 
 
@@ -48,7 +51,7 @@ def test_export_replaces_the_target_in_order():
         create_options="ENGINE = MergeTree ORDER BY uid",
         properties={"user": "u"},
     )
-    assert calls["mode"] == "overwrite" and calls["sort"] == "uid"
+    assert calls["mode"] == "overwrite" and calls["sort"] == "uid" and calls["range"] == (4, "uid")
     assert calls["jdbc"] == ("jdbc:x", "wide", {"user": "u"})
     assert calls["options"]["createTableOptions"] == "ENGINE = MergeTree ORDER BY uid"
     assert calls["options"]["driver"] == "some.Driver"

@@ -72,7 +72,7 @@ TAGS = [
         "TG_Quantity",
         DECIMAL,
         "select o_custkey as uid, sum(q) as query_value from orders join "
-        "(select l_orderkey, sum(cast(l_quantity as decimal(16,2))) as q from lineitem group by l_orderkey) "
+        "(select l_orderkey, sum(cast(l_quantity as decimal(8,2))) as q from lineitem group by l_orderkey) "
         "on o_orderkey = l_orderkey group by o_custkey",
     ),
     Tag(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.functions.values import check_day, column_type
@@ -10,6 +10,11 @@ from tagloom.functions.values import check_day, column_type
 # Fixed value: the partition that holds the open rows of a history table.
 CURRENT_DAY = "9999-99-99"
 
+# Tab-delimited text with the usual mark for NULL, so that empty text is not taken for it.
+TAB_TEXT = (
+    r"sep '\t', nullValue '\\N', ignoreLeadingWhiteSpace 'false', ignoreTrailingWhiteSpace 'false'"
+)
+
 OVERWRITE_MODE = "spark.sql.sources.partitionOverwriteMode"
 
 
@@ -31,8 +36,8 @@ def create_day_table(
     comment: str | None = None,
     tab_text: bool = False,
 ) -> None:
-    """Create a partitioned table unless it is there. ``tab_text`` stores tab-delimited text."""
-    storage = "USING csv OPTIONS (sep '\\t')" if tab_text else "USING parquet"
+    """Create a partitioned table unless it is there. ``tab_text`` stores tab-delimited text lines."""
+    storage = f"USING csv OPTIONS ({TAB_TEXT})" if tab_text else "USING parquet"
     names = ", ".join(p.split()[0] for p in partitions.split(","))
     spark.sql(
         f"CREATE TABLE IF NOT EXISTS {quoted(table)} ({columns}, {partitions}) {storage} "
@@ -64,6 +69,8 @@ def overwrite_day(df: DataFrame, table: str, dt: str, dynamic: tuple[str, ...] =
     """
     spark = df.sparkSession
     data = [c for c in spark.table(table).columns if c != "dt" and c not in dynamic]
+    if _is_text(spark, table):
+        df = df.withColumns({name: _one_line(name) for name, kind in df.dtypes if kind == "string"})
     spec = ", ".join([f"dt = '{check_day(dt)}'", *(f"`{c}`" for c in dynamic)])
     mode = spark.conf.get(OVERWRITE_MODE)
     spark.conf.set(OVERWRITE_MODE, "static")
@@ -76,6 +83,19 @@ def overwrite_day(df: DataFrame, table: str, dt: str, dynamic: tuple[str, ...] =
         spark.conf.set(OVERWRITE_MODE, mode)
 
 
+def _is_text(spark: SparkSession, table: str) -> bool:
+    details = spark.sql(f"DESCRIBE TABLE EXTENDED {quoted(table)}")
+    provider = details.filter((F.col("col_name") == "Provider") & (F.col("data_type") == "csv"))
+    return not provider.isEmpty()
+
+
+def _one_line(name: str) -> Column:
+    """The text column, failing on a line break: a table of text lines would tear the row apart."""
+    text = F.col(f"`{name}`")
+    broken = F.raise_error(F.lit(f"{name} has a line break; store this tag as parquet"))
+    return F.when(text.rlike("[\n\r]"), broken.cast("string")).otherwise(text)
+
+
 def read_day(spark: SparkSession, table: str, dt: str) -> DataFrame:
     """One day of a table; the filter prunes partitions."""
     return spark.table(table).filter(F.col("dt") == check_day(dt))

@@ -23,6 +23,18 @@ def test_overwriting_a_day_leaves_other_days(spark, database, tab_text):
     assert rows(tables.read_day(spark, name, "2024-01-02")) == [("a", 3, "2024-01-02")]
 
 
+def test_tab_text_keeps_every_value(spark, database):
+    """Tabs, quotes, backslashes, empty text and NULL come back; a line break fails the job."""
+    name = f"{database}.tg_x"
+    tables.create_tag_table(spark, name, "3", tab_text=True)
+    values = ["a\tb", 'say "hi"', "back\\slash", "trailing\\", "", None, " spaced ", "女", "#hash", "it's"]
+    frame = tag(spark, *((f"u{i}", v) for i, v in enumerate(values)), kind="string")
+    tables.overwrite_day(frame, name, "2024-01-01")
+    assert [r["tag_value"] for r in spark.table(name).orderBy("uid").collect()] == values
+    with pytest.raises(Exception, match="line break"):
+        tables.overwrite_day(tag(spark, ("u", "two\nlines"), kind="string"), name, "2024-01-02")
+
+
 @pytest.mark.parametrize("mode", ["static", "dynamic"])
 def test_an_empty_frame_empties_the_day(spark, database, mode):
     name = f"{database}.tg_x"

@@ -40,17 +40,19 @@ def item_visits(
     """Item page views with the item's category: ``(user_id, category1_id, during_time)``.
 
     ``dt_from`` and ``dt_to`` bound the log days, both included; with ``dt_from`` alone it is that one
-    day. ``item_dt`` is the item snapshot's day and is the last log day unless given.
+    day, and without either all days count. ``item_dt`` is the day of the one item snapshot to use, and
+    is the last log day unless given.
     """
     dt_to = dt_to or dt_from
     item_dt = item_dt or dt_to
+    if not item_dt:
+        raise ValueError("item_dt is needed when the log days have no end")
     views = logs.filter((F.col("page_id") == page_id) & (F.col("page_item_type") == item_type))
     if dt_from:
         views = views.filter(F.col("dt") >= check_day(dt_from))
     if dt_to:
         views = views.filter(F.col("dt") <= check_day(dt_to))
-    if item_dt:
-        items = items.filter(F.col("dt") == check_day(item_dt))
+    items = items.filter(F.col("dt") == check_day(item_dt))
     views = views.select("user_id", F.col("page_item").cast("string").alias("_item"), "during_time")
     snapshot = items.select(F.col("id").cast("string").alias("_item"), "category1_id")
     # No broadcast hint: the two-column snapshot is broadcast while Spark's statistics say it is small,

@@ -130,13 +130,16 @@ def run_training(
     items: DataFrame,
     users: DataFrame,
     model_path: str,
-    dt_from: str | None = None,
+    dt_from: str,
     dt_to: str | None = None,
     params: model.TreeParams = model.BEHAVIOUR_PARAMS,
     seed: int = 0,
     columns: Sequence[str] | None = None,
 ) -> tuple[PipelineModel, DataFrame]:
-    """Train the label model, store it, and return it with the report on the held-out users."""
+    """Train the label model, store it, and return it with the report on the held-out users.
+
+    Features cover the log days ``dt_from`` to ``dt_to``, or ``dt_from`` alone.
+    """
     # One pass over the logs: training, the held-out report and each tree level read the stored rows.
     data = stored(features.behaviour_features(logs, items, users, dt_from, dt_to, labelled=True))
     fitted, held_out = model.train(data, "gender", columns or features.feature_columns(), params, seed)

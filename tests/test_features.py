@@ -49,6 +49,15 @@ def test_day_range_is_closed(spark):
     assert sorted(r["during_time"] for r in out.collect()) == [2, 4]
 
 
+def test_one_item_snapshot_is_used(spark):
+    """Two snapshots of an item must not double its visits."""
+    data = logs(spark, (1, 5, 1), dt="2024-01-29").union(logs(spark, (1, 5, 2)))
+    two_days = items(spark, (5, "3")).union(items(spark, (5, "4"), dt="2024-01-30"))
+    assert rows(features.item_visits(data, two_days, item_dt=DAY)) == [(1, "3", 1), (1, "3", 2)]
+    with pytest.raises(ValueError, match="item_dt"):
+        features.item_visits(data, two_days)
+
+
 def test_item_ids_may_be_numbers(spark):
     numeric = spark.createDataFrame([(5, "3", DAY)], "id bigint, category1_id string, dt string")
     assert features.item_visits(logs(spark, (1, 5, 10)), numeric, DAY).count() == 1

@@ -3,16 +3,29 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tagloom.llm.common import table
 
 
+def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tagloom.llm.topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tagloom.llm.mixing import mix
 
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_simhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tagloom.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
 def op7_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tagloom.llm.sharding import shard_documents
 
@@ -27,10 +40,42 @@ def op8_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tagloom.llm.suffix import remove_repeats
+
+    cut = remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op10_interpolated_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tagloom.llm.lm import interpolated_scores
+
+    return interpolated_scores(table(spark, sf_dir, "documents"), folds=7, left_out=2)
+
+
 QUERIES = {
+    "op1_exact_top_k": op1_exact_top_k,
     "op4_source_mix": op4_source_mix,
+    "op6_simhash_classes": op6_simhash_classes,
     "op7_byte_shards": op7_byte_shards,
     "op8_packed_sequences": op8_packed_sequences,
+    "op9_repeated_strings": op9_repeated_strings,
+    "op10_interpolated_scores": op10_interpolated_scores,
 }
 
-ORACLES: dict[str, str] = {}
+OP1_SQL = """
+with v as (
+    select vec_id, list_transform(embedding, x -> floor(256 * x::double)) as ints
+    from embeddings
+    where vec_id is not null and embedding is not null
+      and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+), scored as (
+    select q.vec_id as query_id, c.vec_id, list_inner_product(q.ints, c.ints)::bigint as score
+    from v q join v c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id
+), ranked as (
+    select *, row_number() over (partition by query_id order by score desc, vec_id)::integer as rank from scored
+)
+select query_id, rank, vec_id, score from ranked where rank <= 5
+"""
+
+ORACLES: dict[str, str] = {"op1_exact_top_k": OP1_SQL}

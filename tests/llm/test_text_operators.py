@@ -1,0 +1,143 @@
+"""Fingerprint classes, repeated strings and language-model scores against plain versions."""
+
+import math
+import random
+from collections import Counter
+
+import brute
+import numpy as np
+import pytest
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, class int, print string, n int"
+
+
+def table(spark, rows):
+    """Documents with extra columns whose names the operators use inside."""
+    return spark.createDataFrame([(d, t, "en", "s", 0, 7, "x", 1) for d, t in rows], SCHEMA)
+
+
+def edge_rows():
+    rng = random.Random(5)
+    words = ["the", "Of", "ÄRGER", "x", "tion", "a　b", "naïve", "%%%"] + [f"w{i}" for i in range(60)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    long, passage = text(700), text(120)
+    rows = [(1, long), (2, long), (3, long + " end"), (4, None), (5, ""), (6, " \t\n "), (7, "one"), (8, "one two")]
+    rows += [(9, "a" * 900), (10, "ab" * 450), (11, text(80) + " " + passage), (12, passage + " " + text(90))]
+    rows += [(13, passage), (13, passage), (None, "no id"), (None, long), (14, "x\n" * 500 + text(30)), (15, " lead " + text(20))]
+    changed = long.split()
+    for i in range(16, 40):
+        changed = list(changed)
+        changed[rng.randrange(len(changed))] = f"n{i}"
+        rows.append((i, " ".join(changed)))
+    rows += [(i, text(rng.randrange(1, 150))) for i in range(40, 60)]
+    return rows
+
+
+ROWS = edge_rows()
+
+
+@pytest.mark.parametrize(("words", "radius"), [(3, 2), (5, 6), (1, 4)])
+def test_classes_equal_all_pairs(spark, words, radius):
+    from tagloom.llm.simhash import near_duplicates
+
+    got = near_duplicates(table(spark, ROWS), words, radius).select("doc_id", "fingerprint", "component_id")
+    assert Counter(map(tuple, got.collect())) == brute.simhash_classes(ROWS, words, radius)
+
+
+@pytest.mark.parametrize("radius", [0, 1, 2, 3, 6])
+def test_masks_cover_every_pair(radius):
+    from tagloom.llm.simhash import covering_masks
+
+    masks = covering_masks(radius)
+    assert len(masks) == 2 ** (radius + 1) - 1
+    rng = random.Random(1)
+    for _ in range(3000):
+        diff = sum(1 << i for i in rng.sample(range(64), rng.randrange(radius + 1)))
+        assert any(diff & mask == 0 for mask in masks)
+
+
+def test_blocks_of_a_large_bucket_keep_all_links(spark, monkeypatch):
+    from tagloom.llm import simhash
+    from tagloom.llm.graph import components
+
+    monkeypatch.setattr(simhash, "BLOCK", 8)
+    rng = random.Random(2)
+    prints = sorted({sum(1 << i for i in rng.sample(range(12), rng.randrange(5))) for _ in range(150)})
+    df = spark.createDataFrame([(p,) for p in prints], "print long")
+    got = {r["node"]: r["root"] for r in components(simhash.links(df, 2)).collect()}
+    want = brute.classes(prints, lambda a, b: (a ^ b).bit_count() <= 2)
+    assert {p: got.get(p, p) for p in prints} == want
+
+
+@pytest.mark.parametrize(("length", "block"), [(400, 16), (100, 7), (64, 1)])
+def test_repeats_equal_all_windows(spark, length, block):
+    from tagloom.llm.suffix import remove_repeats
+
+    got = remove_repeats(table(spark, ROWS), length, block).collect()
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got)
+    assert got == brute.without_repeats(ROWS, length)
+
+
+def test_repeats_across_the_pieces_of_a_long_text(spark, monkeypatch):
+    from tagloom.llm import suffix
+
+    monkeypatch.setattr(suffix, "PIECE", 700)
+    got = suffix.remove_repeats(table(spark, ROWS), 100, 16).collect()
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got)
+    assert got == brute.without_repeats(ROWS, 100)
+
+
+def test_scores_equal_counts_by_hand(spark, monkeypatch):
+    from tagloom.llm import lm
+
+    seen = {}
+
+    def weights(*args):
+        seen["weights"] = found(*args)
+        return seen["weights"]
+
+    found = lm.mixture_weights
+    monkeypatch.setattr(lm, "mixture_weights", weights)
+    monkeypatch.setattr(lm, "PACK_BYTES", 3000)
+    got = lm.interpolated_scores(table(spark, ROWS)).collect()
+    tokens, words, pairs = brute.lm_counts(ROWS, 7, 2)
+    want = Counter()
+    for (d, _), own in zip(ROWS, tokens, strict=True):
+        base, score = brute.lm_score(own, words, pairs, seen["weights"])
+        known = sum(words[t] > 0 for t in own)
+        want[(d, brute.fold(d, 7) == 2, len(own), known, sum(words.values()), round(base, 6), round(score, 6))] += 1
+    assert Counter((*r[:5], round(r[5], 6), round(r[6], 6)) for r in got) == want
+
+
+def test_weights_prefer_what_predicts():
+    from tagloom.llm.lm import PAIR_STEPS, WORD_STEPS, mixture_weights
+
+    cell = lambda c, a, b: (c * PAIR_STEPS + a) * WORD_STEPS + b
+    cells = np.array([cell(9, 0, 20), cell(2, PAIR_STEPS - 1, 12), cell(3, PAIR_STEPS - 1, WORD_STEPS - 1)])
+    weights = mixture_weights(cells, np.array([500.0, 500.0, 500.0]), 1000)
+    assert weights[9].argmax() == 0 and weights[2].argmax() == 1 and weights[3].argmax() == 2
+    assert np.allclose(weights.sum(axis=1), 1)
+
+
+def test_held_out_text_is_likelier_than_under_words_alone(spark):
+    from tagloom.llm.lm import interpolated_scores
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [r for r in interpolated_scores(docs).collect() if r.held_out]
+    assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
+    assert all(r.score < 0 and math.isfinite(r.score) for r in rows)
+
+
+def test_empty_tables(spark):
+    from tagloom.llm.lm import interpolated_scores
+    from tagloom.llm.simhash import near_duplicates
+    from tagloom.llm.suffix import remove_repeats
+
+    empty = table(spark, [])
+    assert near_duplicates(empty).count() == 0
+    assert remove_repeats(empty).count() == 0
+    assert interpolated_scores(empty).count() == 0
+    blank = table(spark, [(None, None), (1, ""), (1, "")])
+    assert near_duplicates(blank).count() == 3
+    assert remove_repeats(blank).count() == 3
+    assert interpolated_scores(blank).count() == 3

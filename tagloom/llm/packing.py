@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import base64
 import bisect
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tagloom.llm.common import by_value, kept, rank_within, stored
 
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
 LONGEST_CACHED = 64
 _TWO_SPACES = re.compile(r"\s\s")
 _BOUNDARY = re.compile(r"(?<=\S)(?= \S)")
@@ -26,19 +28,28 @@ class WordTokenizer:
 
     A byte-level vocabulary never joins across a single blank between two characters that are not white space, so a
     text may be cut there and the ids of a word remembered. The memory holds CACHE_WORDS words and then starts anew.
+    A vocabulary comes as a tokenizer file or as a rank file with the pattern that splits text before merges.
     """
 
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+    def __init__(self, path: str, pattern: str):
         self.words: dict[str, bytes] = {}
+        if path.endswith(".tiktoken"):
+            import tiktoken
+
+            with open(path, "rb") as lines:
+                ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+            own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+            self._ids = lambda pieces: map(own.encode_ordinary, pieces)
+        else:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
+
+            whole = Tokenizer.from_file(path)
+            whole.encode_special_tokens = True  # their strings in a text are ordinary text
+            self._ids = lambda pieces: (e.ids for e in whole.encode_batch(pieces, add_special_tokens=False))
 
     def _encoded(self, pieces: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(pieces, add_special_tokens=False)
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in found]
+        return [array("I", ids).tobytes() for ids in self._ids(pieces)]
 
     def __call__(self, text: str) -> bytes:
         if not text:
@@ -61,11 +72,11 @@ class WordTokenizer:
         return b"".join([known[w] for w in words])
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer_path: str, pattern: str, capacity: int, end_id: int) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` of each document's ids and the end id after them."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = kept("words of " + tokenizer_path, lambda: WordTokenizer(tokenizer_path))
+        encode = kept("words of " + tokenizer_path, lambda: WordTokenizer(tokenizer_path, pattern))
         end = np.asarray([end_id], dtype="<u4").tobytes()
         for batch in batches:
             out = []
@@ -184,7 +195,9 @@ def pack_histogram(counts: dict[int, int], capacity: int) -> list[tuple[int, int
     return runs
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
+def pack_documents(
+    docs: DataFrame, tokenizer_path: str, pattern: str = "", capacity: int = 2048, end_id: int = 0
+) -> DataFrame:
     """Pack whole documents, followed by ``end_id``, into sequences of ``capacity`` tokens.
 
     ``docs`` needs doc_id and text. Returns a row for each piece: doc_id, piece, start, length, ids_crc32,
@@ -194,7 +207,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, e
     length are numbered on the executors and look their place up. A NULL or empty text is its end id alone,
     repeated rows are packed each, and an empty table gives no rows.
     """
-    pieces = stored(token_pieces(docs, tokenizer_path, capacity, end_id))
+    pieces = stored(token_pieces(docs, tokenizer_path, pattern, capacity, end_id))
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     runs = np.array(sorted(pack_histogram(counts, capacity)), dtype=np.int64).reshape(-1, 5)
     numbered = rank_within(pieces, ["length"], ["doc_id", "piece", "ids_crc32"], "rank", 256)

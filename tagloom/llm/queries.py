@@ -14,12 +14,30 @@ def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tagloom.llm.toxicity import toxicity_scores
+
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tagloom.llm.quality import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"))
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tagloom.llm.mixing import mix
 
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tagloom.llm.neighbours import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op6_simhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tagloom.llm.simhash import near_duplicates
 
@@ -37,7 +55,9 @@ def op8_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from tagloom.llm.packing import pack_documents
 
-    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    # The same vocabulary as byte_bpe_50k.json; tests compare the ids of both.
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return pack_documents(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
 def op9_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +75,10 @@ def op10_interpolated_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_exact_top_k": op1_exact_top_k,
+    "op2_toxicity": op2_toxicity,
+    "op3_quality": op3_quality,
     "op4_source_mix": op4_source_mix,
+    "op5_cross_polytope": op5_cross_polytope,
     "op6_simhash_classes": op6_simhash_classes,
     "op7_byte_shards": op7_byte_shards,
     "op8_packed_sequences": op8_packed_sequences,

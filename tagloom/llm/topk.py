@@ -187,6 +187,7 @@ def top_k(
         .groupBy("query_id")
         .agg(F.min("score").alias("floor"), F.count("*").alias("n"))
         .where(F.col("n") == k)
+        .select("query_id", "floor")
     )
 
     members = asked.mapInPandas(
@@ -202,7 +203,7 @@ def top_k(
     floors = (
         members.join(kth, "query_id", "left")
         .groupBy("q_ids")
-        .agg(F.array_sort(F.collect_list(F.struct("n", F.col("floor").cast("double")))).alias("list"))
+        .agg(F.array_sort(F.collect_list(F.struct("n", F.col("floor").cast("double").alias("floor")))).alias("list"))
     )  # ROWS numbers at most
 
     def with_floors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

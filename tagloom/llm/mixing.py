@@ -60,7 +60,8 @@ def mix(
     """How many words of each document the mix takes.
 
     ``docs`` needs doc_id, text and source; other columns are not read. Returns one row for each input row:
-    doc_id, source, size (words), source_size, target (of the source), taken (words, repeats counted).
+    doc_id, source, size (words), source_size, target (of the source), taken (words, repeats counted), copies (how
+    often the document is taken) and text_hash.
 
     Efraimidis-Spirakis: a document's key is ``-ln(u) / weight`` for a repeatable uniform ``u`` and its quality
     weight. A source takes ``floor(target / size)`` complete epochs; the rest of the target is filled in key order,
@@ -75,6 +76,7 @@ def mix(
         F.col("doc_id"),
         F.col("source").isNull().alias("missing"),
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("name"),
+        F.xxhash64("text").alias("text_hash"),
         size.alias("size"),
         quality_weight(F.coalesce(F.col("text"), F.lit(""))).alias("quality"),
     )
@@ -101,13 +103,34 @@ def mix(
     return (
         rows.join(plan, [*group, "slice"])
         .withColumn("epochs", epochs.cast("long"))
-        .withColumn("taken", F.col("size") * (F.col("epochs") + F.when(fits & (F.col("epochs") < cap), 1).otherwise(0)))
+        .withColumn("copies", F.col("epochs") + F.when(fits & (F.col("epochs") < cap), 1).otherwise(0))
         .select(
             "doc_id",
             F.when(~F.col("missing"), F.col("name")).alias("source"),
             "size",
             "source_size",
             "target",
-            F.col("taken").cast("long").alias("taken"),
+            (F.col("size") * F.col("copies")).cast("long").alias("taken"),
+            F.col("copies").cast("long").alias("copies"),
+            "text_hash",
         )
     )
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, seed: int = 7) -> DataFrame:
+    """The rows of ``docs``, with all their columns, as often as the mix takes them.
+
+    Equal rows share the copies that the mix takes of them.
+    """
+    taken = mix(docs, weights, cap, seed).groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("source").alias("_from"))
+    taken = taken.agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
+    rows = docs.withColumn("_text", F.xxhash64("text"))
+    same = (
+        F.col("doc_id").eqNullSafe(F.col("_id"))
+        & (F.col("_text") == F.col("_hash"))
+        & F.col("source").eqNullSafe(F.col("_from"))
+    )
+    turn = F.row_number().over(Window.partitionBy("_id", "_hash", "_from").orderBy(F.lit(1)))
+    share = F.floor(F.col("_copies") / F.col("_rows")) + F.when(F.col("_turn") <= F.col("_copies") % F.col("_rows"), 1).otherwise(0)
+    rows = rows.join(taken, same).withColumn("_turn", turn).withColumn("_share", share.cast("int"))
+    return rows.where("_share > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_share")))).select(*docs.columns)

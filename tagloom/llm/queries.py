@@ -73,6 +73,12 @@ def op10_interpolated_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interpolated_scores(table(spark, sf_dir, "documents"), folds=7, left_out=2)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_exact_top_k": op1_exact_top_k,
     "op2_toxicity": op2_toxicity,
@@ -84,6 +90,7 @@ QUERIES = {
     "op8_packed_sequences": op8_packed_sequences,
     "op9_repeated_strings": op9_repeated_strings,
     "op10_interpolated_scores": op10_interpolated_scores,
+    "pipeline": pipeline,
 }
 
 OP1_SQL = """

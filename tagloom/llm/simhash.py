@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.llm.common import by_value, stored
@@ -64,14 +64,16 @@ def fingerprints_of(texts: list[str | None], words: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, words: int) -> DataFrame:
-    """``doc_id, print`` (the fingerprint's bits as a signed number)."""
+    """``doc_id, text_hash, print`` (the fingerprint's bits as a signed number)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             prints = fingerprints_of(batch["text"].tolist(), words).view(np.int64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "print": prints})
+            ids = batch["doc_id"].astype("Int64")
+            yield pd.DataFrame({"doc_id": ids, "text_hash": batch["text_hash"], "print": prints})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, print long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    return rows.mapInPandas(run, "doc_id long, text_hash long, print long")
 
 
 def covering_masks(radius: int) -> list[int]:
@@ -153,7 +155,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFra
     """The class of near copies of every document.
 
     ``docs`` needs doc_id and text. Returns doc_id, fingerprint (16 lowercase hex digits), print (the same as a
-    number), root (the class by its least fingerprint) and component_id (its least doc_id).
+    number), root (the class by its least fingerprint), component_id (its least doc_id) and text_hash.
 
     Copies share a fingerprint and are handled once; links and components are found among distinct fingerprints,
     and none of them passes through the driver. NULL and empty texts have fingerprint 0 and are linked like any
@@ -168,8 +170,23 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFra
     classes = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = rooted.select("print", "root").join(classes, "root")
     return rows.join(named, "print").select(
-        "doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "print", "root", "component_id"
+        "doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "print", "root", "component_id", "text_hash"
     )
 
 
+def one_of_each(docs: DataFrame, words: int = 5, radius: int = 6) -> DataFrame:
+    """The rows of ``docs``, with all their columns, without near copies: the least doc_id of each class stays.
+
+    A row without an id stays only where its class has no id; of equal rows one stays.
+    """
+    classes = near_duplicates(docs, words, radius).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "root")
+    first = F.min(F.struct(F.col("_id").isNull().alias("missing"), "_id", "_hash")).alias("first")
+    kept = stored(classes.groupBy("root").agg(first).select("first._id", "first._hash"))
+    rows = docs.withColumn("_own", F.col("doc_id").cast("long")).withColumn("_text", F.xxhash64("text"))
+    same = F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash"))
+    one = Window.partitionBy("_own", "_text").orderBy(F.lit(1))
+    rows = rows.join(kept, same, "left_semi").withColumn("_n", F.row_number().over(one))
+    return rows.where("_n = 1").select(*docs.columns)
+
+
 by_value(__name__)

@@ -226,6 +226,21 @@ def repeated_windows(docs: DataFrame, length: int, block: int) -> DataFrame:
     )
 
 
+def _spans(docs: DataFrame, length: int, block: int) -> DataFrame:
+    spans = repeated_windows(docs, length, block).groupBy("id", "print")
+    return spans.agg(F.collect_list(F.struct("first", "n")).alias("spans"))  # bounded by the text's length
+
+
+def _gone(size: int, spans, length: int) -> np.ndarray:
+    """Which bytes the windows cover."""
+    step = np.zeros(size + 1, dtype=np.int64)
+    first = np.array([x["first"] for x in spans])
+    n = np.array([x["n"] for x in spans])
+    np.add.at(step, first, 1)
+    np.add.at(step, first + n + length - 1, -1)
+    return np.cumsum(step[:-1]) > 0
+
+
 def remove_repeats(docs: DataFrame, length: int = 400, block: int = 16) -> DataFrame:
     """Remove every byte that a string of ``length`` bytes covers which also starts anywhere else.
 
@@ -243,8 +258,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, block: int = 16) -> DataF
     NULL and empty texts lose nothing, nor do texts under ``length`` bytes. Repeated rows are copies of each other.
     Long texts are cut to overlapping pieces inside a task. An empty table gives no rows.
     """
-    spans = repeated_windows(docs, length, block).groupBy("id", "print")
-    spans = spans.agg(F.collect_list(F.struct("first", "n")).alias("spans"))  # bounded by the text's length
+    spans = _spans(docs, length, block)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unpack = zstandard.ZstdDecompressor().decompress
@@ -255,12 +269,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, block: int = 16) -> DataF
                 if own is None:
                     out.append((len(data), 0, 0, data))
                     continue
-                step = np.zeros(len(data) + 1, dtype=np.int64)
-                first = np.array([x["first"] for x in own])
-                n = np.array([x["n"] for x in own])
-                np.add.at(step, first, 1)
-                np.add.at(step, first + n + length - 1, -1)
-                gone = np.cumsum(step[:-1]) > 0
+                gone = _gone(len(data), own, length)
                 edges = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1]))
                 kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
                 out.append((len(data), len(data) - len(kept), edges, kept))
@@ -272,4 +281,29 @@ def remove_repeats(docs: DataFrame, length: int = 400, block: int = 16) -> DataF
     return texts.mapInPandas(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
+def without_repeats(docs: DataFrame, length: int = 400, block: int = 16) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose texts have lost repeated strings.
+
+    ``n_chars``, where it is there, follows the text; a character that is cut inside goes as a whole. A text of which
+    nothing is left leaves the table.
+    """
+    spans = _spans(docs, length, block).select(F.col("id").alias("_id"), F.col("print").alias("_print"), F.col("spans").alias("_spans"))
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, lists: pd.Series) -> pd.Series:
+        out = []
+        for text, own in zip(texts, lists, strict=True):
+            data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+            out.append(data[~_gone(len(data), own, length)].tobytes().decode("utf-8", "ignore"))
+        return pd.Series(out, dtype=object)
+
+    number = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    keyed = docs.withColumn("_id", number).withColumn("_print", F.xxhash64("doc_id", "text"))
+    joined = stored(keyed.join(spans, ["_id", "_print"], "left"))
+    touched = joined.where(F.col("_spans").isNotNull()).withColumn("text", cut("text", "_spans")).where(F.col("text") != "")
+    if "n_chars" in docs.columns:
+        touched = touched.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return joined.where(F.col("_spans").isNull()).select(*docs.columns).union(touched.select(*docs.columns))
+
+
 by_value(__name__)

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -206,4 +207,23 @@ def toxicity_scores(
     return rows.mapInPandas(score, "doc_id long, held_out boolean, score double, predicted int")
 
 
+def without_toxic(
+    docs: DataFrame,
+    labels: DataFrame,
+    folds: int = 3,
+    left_out: int = 1,
+    threshold: float = 0.7,
+    sample_rows: int = 20_000,
+) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text scores below the threshold."""
+    model = fit_toxicity(docs, labels, folds, left_out, sample_rows)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            yield batch.filter(pa.array([model.score(t) < threshold for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 by_value(__name__)

@@ -191,7 +191,7 @@ def _decided(rows: DataFrame, rank: list[str], whole: str) -> tuple[DataFrame, D
     )
     alone = (F.col("total") == 1).cast("int")
     open_ranks = by_whole.groupBy(*rank).agg(F.sum("total").alias("all"), F.max(alone).alias("any"))
-    open_ranks = open_ranks.where((F.col("all") > 1) & (F.col("any") == 1)).select(*rank)
+    open_ranks = stored(open_ranks.where((F.col("all") > 1) & (F.col("any") == 1)).select(*rank))
     repeated = rows.where("weight = 1").join(by_whole.where("total > 1").select(*rank, whole), [*rank, whole], "left_semi")
     still = by_whole.join(open_ranks, rank, "left_semi").withColumn("weight", F.least("total", F.lit(2)).cast("int"))
     return repeated, still
@@ -200,7 +200,8 @@ def _decided(rows: DataFrame, rank: list[str], whole: str) -> tuple[DataFrame, D
 def repeated_windows(docs: DataFrame, length: int, block: int) -> DataFrame:
     """``id, print, first, n``: window starts first .. first + n - 1 whose ``length`` bytes also start elsewhere."""
     runs = stored(runs_of(docs, length))
-    again = runs.groupBy("class").count().where("count > 1").select("class")
+    # Counts are stored before they are joined, so that the join of a frequent class can be split.
+    again = stored(runs.groupBy("class").count().where("count > 1").select("class"))
     runs = stored(runs.join(again, "class", "left_semi").withColumn("weight", F.lit(1)))
     whole_runs, open_runs = _decided(runs, ["class"], "span")
 
@@ -217,7 +218,8 @@ def repeated_windows(docs: DataFrame, length: int, block: int) -> DataFrame:
         .select("id", "print", "class", "core", "first", F.greatest("weight", "heavy").alias("weight"), F.posexplode("names").alias("at", "name"))
     )
     twice = windows.groupBy("class", "core", "name").agg(F.sum("weight").alias("total")).where("total > 1")
-    single = windows.where("weight = 1").join(twice.select("class", "core", "name"), ["class", "core", "name"], "left_semi")
+    twice = stored(twice.select("class", "core", "name"))
+    single = windows.where("weight = 1").join(twice, ["class", "core", "name"], "left_semi")
     columns = ["id", "print", "first", "n"]
     return (
         whole_runs.select(*columns)

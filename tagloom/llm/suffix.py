@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tagloom.llm.common import by_value, stored
 
 GRAM = 64  # bytes of the first rank
+ROWS = 20_000  # blocks that a task holds before it hands them on
 PIECE = 1 << 19  # window starts of a text that are looked at together
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -144,6 +145,8 @@ def _blocks(texts: DataFrame, length: int, block: int) -> DataFrame:
     bytes the block's windows cover. ``names`` holds the names of the single windows.
     """
 
+    columns = ["id", "print", "class", "k", "core", "outer", "first", "n", "weight", "names"]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = Names()
         unpack = zstandard.ZstdDecompressor().decompress
@@ -167,11 +170,12 @@ def _blocks(texts: DataFrame, length: int, block: int) -> DataFrame:
                         for j in range(len(low)):
                             out.append(
                                 (own, tag, r["class"], k[j], cores[j], outer.view(np.int64)[j], first + low[j],
-                                 high[j] - low[j], r["weight"], window[low[j] : high[j]].tolist())
+                                 high[j] - low[j], r["weight"], window[low[j] : high[j]])
                             )
-            yield pd.DataFrame(
-                out, columns=["id", "print", "class", "k", "core", "outer", "first", "n", "weight", "names"]
-            )
+                    if len(out) >= ROWS:
+                        yield pd.DataFrame(out, columns=columns)
+                        out = []
+            yield pd.DataFrame(out, columns=columns)
 
     schema = (
         "id long, print long, class long, k int, core long, outer long, first long, n int, weight int, names array<long>"

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from tagloom.llm.common import by_value, fold, stored
 
-PACK_BYTES = 16_000_000  # text that is tokenized together
-BUCKET_ITEMS = 1_000_000  # distinct words or pairs of all packs that are summed together, about
+PACK_BYTES = 8_000_000  # text that is tokenized together
+BUCKET_ITEMS = 400_000  # distinct words or pairs of all packs that are summed together, about
 END_NAME = 0x6C62272E07BB0142
 PAIR_STEPS, WORD_STEPS = 64, 96  # cells of half a power of two for the two probabilities
 CONTEXTS = 48
@@ -33,7 +33,7 @@ def packed(docs: DataFrame, folds: int, left_out: int) -> DataFrame:
     )
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        packer = zstandard.ZstdCompressor(level=3)
+        packer = zstandard.ZstdCompressor(level=9)
         base = TaskContext.get().partitionId() << 32
         done = 0
         ids: list = []
@@ -176,7 +176,53 @@ def _context(counts: np.ndarray) -> np.ndarray:
     return np.minimum(np.log2(counts + 1.0).astype(np.int64), CONTEXTS - 1)
 
 
-def _cells(joined: DataFrame, buckets: int, bits: int, n_train: int) -> DataFrame:
+def _counted(joined: DataFrame, buckets: int, bits: int) -> DataFrame:
+    """Each pack's tokens as two rows of numbers: how often the word and the pair with it occur in training texts."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        packer = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            for row in batch.to_dict("records"):
+                pack = Pack(row, buckets, bits)
+                words, pairs = pack.totals(row["parts"])
+                yield pd.DataFrame(
+                    {
+                        "ids": [row["ids"]],
+                        "held_out": [row["held_out"]],
+                        "n_tokens": [pack.n_tokens.tolist()],
+                        "end": [int(words[-1])],
+                        "words": [packer.compress(_columns(words[pack.tokens]))],
+                        "pairs": [packer.compress(_columns(pairs[pack.pair_at]))],
+                    }
+                )
+
+    schema = "ids array<long>, held_out array<boolean>, n_tokens array<long>, end long, words binary, pairs binary"
+    return joined.mapInPandas(run, schema)
+
+
+def _columns(numbers: np.ndarray) -> bytes:
+    """The numbers byte by byte, all lowest bytes first: small numbers leave long runs of zeros."""
+    return np.ascontiguousarray(numbers.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+class Counted:
+    """The counts of a pack's tokens; before the first word of a document stands the end."""
+
+    def __init__(self, row):
+        unpack = zstandard.ZstdDecompressor().decompress
+        self.word, self.pair = (
+            np.ascontiguousarray(np.frombuffer(unpack(row[name]), np.uint8).reshape(8, -1).T).view("<i8").ravel()
+            for name in ("words", "pairs")
+        )
+        self.n_tokens = np.asarray(row["n_tokens"], dtype=np.int64)
+        self.begins = np.cumsum(self.n_tokens) - self.n_tokens
+        self.context = np.empty_like(self.word)
+        self.context[1:] = self.word[:-1]
+        self.context[self.begins] = row["end"]
+        self.held = np.asarray(row["held_out"], dtype=bool)
+
+
+def _cells(counted: DataFrame, n_train: int) -> DataFrame:
     """How many training tokens fall into each cell of context frequency, pair share and word share.
 
     Each token is held out of the counts once (deleted): its pair, its context and its word count one less.
@@ -185,10 +231,9 @@ def _cells(joined: DataFrame, buckets: int, bits: int, n_train: int) -> DataFram
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.to_dict("records"):
-                pack = Pack(row, buckets, bits)
-                words, pairs = pack.totals(row["parts"])
-                own = pack.trains
-                pair, context, word = pairs[pack.pair_at[own]] - 1, words[pack.before[own]] - 1, words[pack.tokens[own]] - 1
+                pack = Counted(row)
+                own = np.repeat(~pack.held, pack.n_tokens)
+                pair, context, word = pack.pair[own] - 1, pack.context[own] - 1, pack.word[own] - 1
                 with np.errstate(divide="ignore", invalid="ignore"):
                     a = np.where(pair > 0, np.rint(-2 * np.log2(pair / np.maximum(context, 1))), PAIR_STEPS - 1)
                     b = np.where(word > 0, np.rint(-2 * np.log2(word / max(n_train - 1, 1))), WORD_STEPS - 1)
@@ -197,7 +242,7 @@ def _cells(joined: DataFrame, buckets: int, bits: int, n_train: int) -> DataFram
                 cell, n = np.unique((_context(context) * PAIR_STEPS + a) * WORD_STEPS + b, return_counts=True)
                 yield pd.DataFrame({"cell": cell, "n": n})
 
-    return joined.mapInPandas(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    return counted.mapInPandas(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
 
 
 def mixture_weights(cells: np.ndarray, counts: np.ndarray, distinct: int, rounds: int = 200) -> np.ndarray:
@@ -221,23 +266,21 @@ def mixture_weights(cells: np.ndarray, counts: np.ndarray, distinct: int, rounds
     return weights
 
 
-def _scored(joined: DataFrame, buckets: int, bits: int, n_train: int, distinct: int, weights: np.ndarray) -> DataFrame:
+def _scored(counted: DataFrame, n_train: int, distinct: int, weights: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.to_dict("records"):
-                pack = Pack(row, buckets, bits)
-                words, pairs = pack.totals(row["parts"])
-                word, context = words[pack.tokens], words[pack.before]
-                mix = weights[_context(context)]
-                p = mix[:, 0] * pairs[pack.pair_at] / np.maximum(context, 1)
-                p += mix[:, 1] * word / max(n_train, 1) + mix[:, 2] / (distinct + 1)
-                base = np.log10((word + 1.0) / (n_train + distinct + 1.0))
+                pack = Counted(row)
+                mix = weights[_context(pack.context)]
+                p = mix[:, 0] * pack.pair / np.maximum(pack.context, 1)
+                p += mix[:, 1] * pack.word / max(n_train, 1) + mix[:, 2] / (distinct + 1)
+                base = np.log10((pack.word + 1.0) / (n_train + distinct + 1.0))
                 yield pd.DataFrame(
                     {
                         "doc_id": pd.array(list(row["ids"]), dtype="Int64"),
                         "held_out": pack.held,
                         "n_tokens": pack.n_tokens,
-                        "n_known": np.add.reduceat((word > 0).astype(np.int64), pack.begins),
+                        "n_known": np.add.reduceat((pack.word > 0).astype(np.int64), pack.begins),
                         "train_tokens": n_train,
                         "base_score": np.add.reduceat(base, pack.begins),
                         "score": np.add.reduceat(np.log10(p), pack.begins),
@@ -247,7 +290,7 @@ def _scored(joined: DataFrame, buckets: int, bits: int, n_train: int, distinct:
     schema = (
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
-    return joined.mapInPandas(run, schema)
+    return counted.mapInPandas(run, schema)
 
 
 def interpolated_scores(docs: DataFrame, folds: int = 7, left_out: int = 2) -> DataFrame:
@@ -271,7 +314,7 @@ def interpolated_scores(docs: DataFrame, folds: int = 7, left_out: int = 2) -> D
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)) + F.count("*")).first()[0]
     tokens = max(1000, size / 4)
     buckets = min(1 << 15, max(8, math.ceil(tokens / BUCKET_ITEMS)))
-    bits = min(64, math.ceil(2 * math.log2(tokens)))
+    bits = min(48, math.ceil(2 * math.log2(tokens) - math.log2(buckets)))  # the bucket is from the other 16 bits
 
     sums = _sent(packs, buckets, bits).groupBy("kind", "bucket")
     sums = stored(sums.applyInPandas(_summed, "pack long, totals binary, tokens long, distinct long, kind int, bucket int"))
@@ -279,10 +322,10 @@ def interpolated_scores(docs: DataFrame, folds: int = 7, left_out: int = 2) -> D
     n_train, distinct = row[0] or 0, row[1] or 0
     back = sums.where("pack >= 0").groupBy("pack")
     back = back.agg(F.collect_list(F.struct("kind", "bucket", "totals")).alias("parts"))  # a pack's own items
-    joined = stored(packs.join(back, "pack"))
-    cells = _cells(joined, buckets, bits, n_train).toPandas()
+    counted = stored(_counted(packs.join(back, "pack"), buckets, bits))
+    cells = _cells(counted, n_train).toPandas()
     weights = mixture_weights(cells["cell"].to_numpy(np.int64), cells["n"].to_numpy(float), distinct)
-    return _scored(joined, buckets, bits, n_train, distinct, weights)
+    return _scored(counted, n_train, distinct, weights)
 
 
 by_value(__name__)

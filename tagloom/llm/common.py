@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tagloom.session import stored
 
-__all__ = ["by_value", "fold", "kept", "rank_within", "stored", "table"]
+__all__ = ["bounded_batches", "by_value", "fold", "kept", "rank_within", "stored", "table"]
 
 # ASCII white space: blank, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -27,6 +27,13 @@ def by_value(module: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[module])
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand texts to Python by ``rows`` at a time at most: ten thousand long texts are too much for a worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 def kept(name: str, make: Callable):
     """``make()`` once for each Python worker process: tokenizers and caches outlive a task."""
     state = sys.modules.setdefault("tagloom_worker_state", types.ModuleType("tagloom_worker_state")).__dict__

@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import by_value, fold, stored
+from tagloom.llm.common import bounded_batches, by_value, fold, stored
 
 PACK_BYTES = 8_000_000  # text that is tokenized together
 BUCKET_ITEMS = 400_000  # distinct words or pairs of all packs that are summed together, about
@@ -310,6 +310,7 @@ def interpolated_scores(docs: DataFrame, folds: int = 7, left_out: int = 2) -> D
     repeated rows count and are scored each; an empty table gives no rows. Without training rows all tokens are
     equally likely.
     """
+    bounded_batches(docs.sparkSession)
     packs = stored(packed(docs, folds, left_out))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)) + F.count("*")).first()[0]
     tokens = max(1000, size / 4)

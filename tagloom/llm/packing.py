@@ -15,9 +15,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import by_value, kept, rank_within, stored
+from tagloom.llm.common import bounded_batches, by_value, kept, rank_within, stored
 
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 LONGEST_CACHED = 64
 _TWO_SPACES = re.compile(r"\s\s")
 _BOUNDARY = re.compile(r"(?<=\S)(?= \S)")
@@ -91,6 +91,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, pattern: str, capacity: i
             frame["doc_id"] = frame["doc_id"].astype("Int64")
             yield frame
 
+    bounded_batches(docs.sparkSession)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(cut, schema)
 

@@ -12,11 +12,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import by_value, stored
+from tagloom.llm.common import bounded_batches, by_value, stored
 from tagloom.llm.weak import ABSTAIN, LabelModel, fit_linear
 
 WIDTH = 1 << 12
-SHAPES_KEPT = 400_000
+SHAPES_KEPT = 100_000
 _SYMBOLS = b"%$#&*|<>{}[]=_~^@+\\/"
 _UPPER = bytes(range(65, 91))
 _DIGITS = b"0123456789"
@@ -116,6 +116,7 @@ def quality_scores(docs: DataFrame, threshold: float = 0.5, sample_rows: int = 2
     NULL and empty texts are voted low; rows with a NULL id and repeated rows are scored each; an empty table gives
     no rows.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rate = min(1.0, sample_rows / max(1, rows.count()))
     pick = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(1_000_000)) < rate * 1_000_000

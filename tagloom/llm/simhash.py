@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import by_value, stored
+from tagloom.llm.common import bounded_batches, by_value, stored
 from tagloom.llm.graph import components
 
 BITS = 64
@@ -72,6 +72,7 @@ def fingerprints(docs: DataFrame, words: int) -> DataFrame:
             ids = batch["doc_id"].astype("Int64")
             yield pd.DataFrame({"doc_id": ids, "text_hash": batch["text_hash"], "print": prints})
 
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     return rows.mapInPandas(run, "doc_id long, text_hash long, print long")
 

@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import by_value, stored
+from tagloom.llm.common import bounded_batches, by_value, stored
 
 GRAM = 64  # bytes of the first rank
 ROWS = 20_000  # blocks that a task holds before it hands them on
@@ -103,6 +103,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def _keys(docs: DataFrame) -> DataFrame:
     """A NULL id counts as the least number; the print tells texts with the same id apart."""
+    bounded_batches(docs.sparkSession)
     number = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     return docs.select(number.alias("id"), F.xxhash64("doc_id", "text").alias("print"), "text")
 

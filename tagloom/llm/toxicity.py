@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import by_value, fold
+from tagloom.llm.common import bounded_batches, by_value, fold
 from tagloom.llm.weak import ABSTAIN, LabelModel, fit_linear
 
 # Insults of the seed lexicon.
@@ -29,7 +29,7 @@ PREFIXES = (4, 5, 6, 7, 8)
 GROUPS = 8  # of mined patterns, by their first letters
 LEAST_DOCS, LEAST_SHARE, LEAST_G, MOST_MINED = 5, 0.8, 22.0, 4096
 LEAST_RATE = 0.004  # of the words, for mined patterns to count
-WORDS_KEPT = 400_000
+WORDS_KEPT = 100_000
 _WORD = re.compile(r"[^\W\d_]+")
 _MASKED = re.compile(r"\b[^\W\d_][*@#$]{1,4}[^\W\d_]+\b")
 _ADDRESSED = re.compile(r"\b(?:you|du|vous|tu|usted)\b(?:'re| are| \w+)? ([^\W\d_]+)")
@@ -147,6 +147,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int, left_out: int,
     The sample's labels pick the mined patterns and give the share of toxic rows. The label model then sees votes
     only, and the classifier only the label model's posteriors.
     """
+    bounded_batches(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (fold(F.col("doc_id"), folds) != left_out))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))

@@ -40,16 +40,18 @@ def column_type(value_type: str) -> str:
 def cast_value(value: Column, value_type: str, strict: bool = True) -> Column:
     """Cast to the declared type.
 
-    Strict fails the job on a value that does not fit; lenient turns such a value into NULL. Date text
-    is stored as it comes when strict, and dropped to NULL when lenient and not an ISO date.
+    Strict fails the job on a value that does not fit; lenient turns such a value into NULL. A date is
+    text of an ISO date and stays text.
     """
     target = column_type(value_type)
-    if strict:
-        return value.cast(target)
     if value_type == DATE:
         text = value.cast("string")
-        return F.when(text.rlike(_ISO_DATE) & text.try_cast("date").isNotNull(), text)
-    return value.try_cast(target)
+        dated = F.when(text.rlike(_ISO_DATE) & text.try_cast("date").isNotNull(), text)
+        if not strict:
+            return dated
+        wrong = F.raise_error(F.concat(F.lit("not an ISO date: "), text)).cast("string")
+        return F.when(text.isNotNull(), F.coalesce(dated, wrong))
+    return value.cast(target) if strict else value.try_cast(target)
 
 
 def decode_label(value: Column, words: Mapping[str, str], default: str) -> Column:

@@ -3,16 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.functions.values import cast_value, check_day
 
-# Up to this many rules become one CASE expression; more are joined.
-INLINE_RULES = 200
-
 TaskSource = str | Callable[[SparkSession, str], DataFrame]
 
 
@@ -30,49 +26,33 @@ def task_query(spark: SparkSession, source: TaskSource, dt: str) -> DataFrame:
     return df.select("uid", "query_value")
 
 
-def map_rules(src: DataFrame, rules: DataFrame | None, inline_rules: int = INLINE_RULES) -> DataFrame:
+def map_rules(src: DataFrame, rules: DataFrame | None) -> DataFrame:
     """Replace ``query_value`` by the value its rule maps to, as ``tag_value``.
 
-    Keys compare as text and the lowest rule id wins between equal keys. A value without a rule, NULL
-    included, becomes NULL. A tag without any rule keeps its value.
+    Keys compare as text and the lowest rule id wins between equal keys, a rule without an id last. A value
+    without a rule, NULL included, becomes NULL. A tag without any rule keeps its value.
     """
-    if rules is None:
-        return src.select("uid", F.col("query_value").alias("tag_value"))
-    head = (
-        rules.select("id", "query_value", "sub_tag_value")
-        .orderBy("id")
-        .limit(inline_rules + 1)
-        .collect()
-    )
-    if not head:
+    if rules is None or rules.isEmpty():
         return src.select("uid", F.col("query_value").alias("tag_value"))
-    key = F.col("query_value").cast("string")
-    if len(head) <= inline_rules:
-        pairs = [(r["query_value"], r["sub_tag_value"]) for r in head if r["query_value"] is not None]
-        return src.select("uid", _case(key, pairs).alias("tag_value"))
-    first = rules.groupBy(F.col("query_value").alias("_key")).agg(
-        F.min_by("sub_tag_value", "id").alias("tag_value")
-    )
+    order = F.struct(F.col("id").isNull(), "id", "sub_tag_value")
+    first = rules.groupBy(F.col("query_value").alias("_key")).agg(F.min_by("sub_tag_value", order).alias("tag_value"))
     # Unhinted on purpose: Spark broadcasts the rules while they are small by its own statistics and
     # splits a hot key of the sort-merge join beyond that.
-    keyed = src.withColumn("_key", key)
+    keyed = src.withColumn("_key", F.col("query_value").cast("string"))
     return keyed.join(first, "_key", "left").select("uid", "tag_value")
 
 
-def _case(key: Column, pairs: list[tuple[str, str | None]]) -> Column:
-    return reduce(
-        lambda chain, kv: chain.when(key == F.lit(kv[0]), F.lit(kv[1])),
-        pairs,
-        F.when(F.lit(False), F.lit(None).cast("string")),
-    )
-
-
 def compute_tag(
     src: DataFrame, rules: DataFrame | None, value_type: str, strict: bool = True
 ) -> DataFrame:
-    """``(uid, query_value)`` to ``(uid string, tag_value)`` with the declared type."""
+    """``(uid, query_value)`` to ``(uid string, tag_value)`` with the declared type.
+
+    A row without a uid belongs to nobody: strict fails on it, lenient leaves it out.
+    """
+    if strict:
+        nobody = F.raise_error(F.lit("a tag query yields a row without uid")).cast("string")
+        uid = F.coalesce(F.col("uid").cast("string"), nobody)
+    else:
+        src, uid = src.filter(F.col("uid").isNotNull()), F.col("uid").cast("string")
     mapped = map_rules(src, rules)
-    return mapped.select(
-        F.col("uid").cast("string").alias("uid"),
-        cast_value(F.col("tag_value"), value_type, strict).alias("tag_value"),
-    )
+    return mapped.select(uid.alias("uid"), cast_value(F.col("tag_value"), value_type, strict).alias("tag_value"))

@@ -27,9 +27,6 @@ RULE_SCHEMA = "id bigint, tag_id bigint, task_id bigint, query_value string, sub
 TAG_LEVEL = 3
 ACTIVE = "1"
 
-# A wide table has one column per tag, so a longer catalogue is an error and never cut short.
-MAX_TAGS = 10_000
-
 _IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
 
 
@@ -81,8 +78,10 @@ def active_tags(
 
 
 def tag_of_task(tag_info: DataFrame, task_id: int) -> Row | None:
-    """The tag a task computes, None when it computes none."""
-    rows = tag_info.filter(F.col("tag_task_id") == task_id).orderBy("id").take(1)
+    """The tag a task computes, None when it computes none; two tags of one task are an error."""
+    rows = tag_info.filter(F.col("tag_task_id") == task_id).orderBy("id").take(2)
+    if len(rows) > 1:
+        raise ValueError(f"task {task_id} computes more than one tag")
     return rows[0] if rows else None
 
 
@@ -112,16 +111,15 @@ def rules_for(rules: DataFrame, tag_info: DataFrame, task_id: int) -> DataFrame:
     return resolved_rules(mine, tag_info).select("id", "query_value", "sub_tag_value")
 
 
-def tag_specs(active: DataFrame) -> list[TagSpec]:
-    """The catalogue as plan-time values, checked before any column is built from it."""
-    rows = (
-        active.select("id", "tag_code", "tag_value_type", "tag_name")
-        .orderBy("id")
-        .limit(MAX_TAGS + 1)
-        .collect()
-    )
-    if len(rows) > MAX_TAGS:
-        raise ValueError(f"more than {MAX_TAGS} active tags")
+def tag_specs(active: DataFrame, most: int | None = None) -> list[TagSpec]:
+    """The catalogue as plan-time values, checked before any column is built from it.
+
+    A wide table has one column per tag, so the catalogue is needed to plan it. A caller may say how many
+    tags there are at ``most``; a longer catalogue is then an error and never cut short.
+    """
+    rows = active.select("id", "tag_code", "tag_value_type", "tag_name").orderBy("id").collect()
+    if most is not None and len(rows) > most:
+        raise ValueError(f"more than {most} active tags")
     specs = [TagSpec(r["tag_code"], r["tag_value_type"], r["tag_name"] or "") for r in rows]
     check_specs(specs)
     return specs

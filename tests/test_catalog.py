@@ -42,8 +42,8 @@ def test_specs_keep_case_and_name_lower_case_columns(meta):
 
 def test_tag_of_task(meta):
     assert catalog.tag_of_task(meta.tag_info, 11)["tag_code"] == "TG_B"
-    # The lowest id when several tags name the task.
-    assert catalog.tag_of_task(meta.tag_info, 10)["tag_code"] == "TG_A"
+    with pytest.raises(ValueError, match="more than one tag"):
+        catalog.tag_of_task(meta.tag_info, 10)
     assert catalog.tag_of_task(meta.tag_info, 12345) is None
 
 
@@ -90,3 +90,17 @@ def test_metadata_from_jdbc_reads_the_three_tables(meta):
     catalog.Metadata.from_jdbc(SimpleNamespace(read=reader), "jdbc:x", {"user": "u"})
     assert [a[1] for a in asked] == ["tag_info", "task_info", "task_tag_rule"]
     assert all(a[0] == "jdbc:x" and a[2] == {"user": "u"} for a in asked)
+
+
+def test_a_task_with_two_tags_is_an_error(spark):
+    info = spark.createDataFrame([(1, 10), (2, 10), (3, 11)], "id long, tag_task_id long")
+    with pytest.raises(ValueError, match="more than one tag"):
+        catalog.tag_of_task(info, 10)
+    assert catalog.tag_of_task(info, 11)["id"] == 3 and catalog.tag_of_task(info, 12) is None
+
+
+def test_the_length_of_a_catalogue_is_up_to_the_caller(spark):
+    active = spark.range(30).selectExpr("id", "concat('T', id) as tag_code", "'3' as tag_value_type", "'' as tag_name")
+    assert len(catalog.tag_specs(active)) == 30
+    with pytest.raises(ValueError, match="more than 29"):
+        catalog.tag_specs(active, most=29)

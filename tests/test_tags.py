@@ -17,33 +17,32 @@ def values(df):
     return [r["tag_value"] for r in df.orderBy("uid").collect()]
 
 
-@pytest.mark.parametrize("inline", [200, 0], ids=["case", "join"])
 class TestRules:
-    def test_unmatched_and_null_become_null(self, spark, inline):
+    def test_unmatched_and_null_become_null(self, spark):
         rules = spark.createDataFrame([(1, "F", "female")], RULES)
-        out = map_rules(source(spark, ["F", "M", None]), rules, inline)
+        out = map_rules(source(spark, ["F", "M", None]), rules)
         assert values(out) == ["female", None, None]
 
-    def test_lowest_rule_id_wins(self, spark, inline):
+    def test_lowest_rule_id_wins(self, spark):
         rules = spark.createDataFrame([(2, "F", "late"), (1, "F", "early")], RULES)
-        assert values(map_rules(source(spark, ["F"]), rules, inline)) == ["early"]
+        assert values(map_rules(source(spark, ["F"]), rules)) == ["early"]
 
-    def test_quotes_in_keys_and_values(self, spark, inline):
+    def test_quotes_in_keys_and_values(self, spark):
         rules = spark.createDataFrame([(1, "it's", "driver's")], RULES)
-        assert values(map_rules(source(spark, ["it's", "its"]), rules, inline)) == ["driver's", None]
+        assert values(map_rules(source(spark, ["it's", "its"]), rules)) == ["driver's", None]
 
-    def test_numbers_compare_as_text(self, spark, inline):
+    def test_numbers_compare_as_text(self, spark):
         rules = spark.createDataFrame([(1, "abc", "text"), (2, "7", "seven")], RULES)
-        assert values(map_rules(source(spark, [7, 8], "bigint"), rules, inline)) == ["seven", None]
+        assert values(map_rules(source(spark, [7, 8], "bigint"), rules)) == ["seven", None]
 
-    def test_rule_with_null_key_never_matches(self, spark, inline):
+    def test_rule_with_null_key_never_matches(self, spark):
         rules = spark.createDataFrame([(1, None, "none"), (2, "a", "A")], RULES)
-        assert values(map_rules(source(spark, [None, "a"]), rules, inline)) == [None, "A"]
+        assert values(map_rules(source(spark, [None, "a"]), rules)) == [None, "A"]
 
-    def test_repeated_rows_stay(self, spark, inline):
+    def test_repeated_rows_stay(self, spark):
         rules = spark.createDataFrame([(1, "a", "A")], RULES)
         src = source(spark, ["a", "a", "a"]).unionByName(source(spark, ["a"]))
-        assert values(map_rules(src, rules, inline)) == ["A"] * 4
+        assert values(map_rules(src, rules)) == ["A"] * 4
 
 
 def test_without_rules_the_value_stays(spark):
@@ -80,7 +79,10 @@ def test_decimals_round_and_overflow(spark):
 
 def test_dates_stay_text(spark):
     src = source(spark, ["2024-02-29", "2023-02-29", "20240101", "9999-99-99"])
-    assert values(compute_tag(src, None, "4")) == ["2024-02-29", "2023-02-29", "20240101", "9999-99-99"]
+    assert values(compute_tag(src.limit(1), None, "4")) == ["2024-02-29"]
+    for wrong in ("2023-02-29", "20240101", "9999-99-99", "not a date"):
+        with pytest.raises(Exception, match="not an ISO date"):
+            compute_tag(source(spark, ["2024-02-29", wrong]), None, "4").collect()
     assert values(compute_tag(src, None, "4", strict=False)) == ["2024-02-29", None, None, None]
 
 
@@ -102,3 +104,21 @@ def test_query_needs_its_two_columns(spark):
 def test_day_must_be_a_day(spark):
     with pytest.raises(ValueError, match="yyyy-MM-dd"):
         task_query(spark, "select 1 as uid, 2 as query_value", "2024-1-31' or '1'='1")
+
+
+def test_rules_have_one_form_for_every_number(spark):
+    src = source(spark, ["k", "z", None])
+    few = [(None, "k", "nobody's"), (5, "k", "five"), (7, "k", "seven"), (1, None, "null")]
+    many = few + [(100 + i, f"other{i}", "x") for i in range(300)]
+    for rules in (few, many):
+        df = spark.createDataFrame(rules, "id long, query_value string, sub_tag_value string")
+        assert sorted(values(compute_tag(src, df, "3")), key=str) == [None, None, "five"]
+    none = spark.createDataFrame([], "id long, query_value string, sub_tag_value string")
+    assert values(compute_tag(src, none, "3")) == ["k", "z", None]
+
+
+def test_rows_without_a_uid(spark):
+    src = spark.createDataFrame([("1", "a"), (None, "b")], "uid string, query_value string")
+    with pytest.raises(Exception, match="without uid"):
+        compute_tag(src, None, "3").collect()
+    assert rows(compute_tag(src, None, "3", strict=False)) == [("1", "a")]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,9 @@ TAB_TEXT = (
     r"sep '\t', nullValue '\\N', ignoreLeadingWhiteSpace 'false', ignoreTrailingWhiteSpace 'false'"
 )
 
+# Backslashes before an N: the mark for NULL, and text that would be taken for it.
+MARKED = r"^\\+N$"
+
 OVERWRITE_MODE = "spark.sql.sources.partitionOverwriteMode"
 
 
@@ -70,7 +75,7 @@ def overwrite_day(df: DataFrame, table: str, dt: str, dynamic: tuple[str, ...] =
     spark = df.sparkSession
     data = [c for c in spark.table(table).columns if c != "dt" and c not in dynamic]
     if _is_text(spark, table):
-        df = df.withColumns({name: _one_line(name) for name, kind in df.dtypes if kind == "string"})
+        df = df.withColumns({name: _marked(_one_line(name)) for name, kind in df.dtypes if kind == "string"})
     spec = ", ".join([f"dt = '{check_day(dt)}'", *(f"`{c}`" for c in dynamic)])
     mode = spark.conf.get(OVERWRITE_MODE)
     spark.conf.set(OVERWRITE_MODE, "static")
@@ -96,9 +101,27 @@ def _one_line(name: str) -> Column:
     return F.when(text.rlike("[\n\r]"), broken.cast("string")).otherwise(text)
 
 
+def _marked(text: Column) -> Column:
+    """Text that looks like the mark for NULL, or like such text marked, gets one more backslash."""
+    return F.when(text.rlike(MARKED), F.concat(F.lit("\\"), text)).otherwise(text)
+
+
+def read_table(spark: SparkSession, table: str) -> DataFrame:
+    """All days of a table, with the text as it was written."""
+    df = spark.table(table)
+    if not _is_text(spark, table):
+        return df
+    plain = {
+        name: F.when(F.col(f"`{name}`").rlike(MARKED), F.expr(f"substring(`{name}`, 2)")).otherwise(F.col(f"`{name}`"))
+        for name, kind in df.dtypes
+        if kind == "string" and name != "dt"
+    }
+    return df.withColumns(plain)
+
+
 def read_day(spark: SparkSession, table: str, dt: str) -> DataFrame:
     """One day of a table; the filter prunes partitions."""
-    return spark.table(table).filter(F.col("dt") == check_day(dt))
+    return read_table(spark, table).filter(F.col("dt") == check_day(dt))
 
 
 def read_current(spark: SparkSession, table: str) -> DataFrame:
@@ -109,15 +132,34 @@ def read_current(spark: SparkSession, table: str) -> DataFrame:
 def replace_table(
     df: DataFrame, table: str, location: str | None = None, comment: str | None = None
 ) -> None:
-    """Drop and rebuild a whole table, with the frame's columns as they are today."""
+    """Rebuild a whole table, with the frame's columns as they are today.
+
+    The rows are computed into a fresh table, with a fresh folder below ``location``; only then does it take the
+    name. A job that fails before leaves the earlier table as it was.
+    """
     spark = df.sparkSession
-    spark.sql(f"DROP TABLE IF EXISTS {quoted(table)}")
-    writer = df.write.mode("overwrite").format("parquet")
+    version = f"version_{uuid.uuid4().hex}"
+    fresh = f"{table}_{version}"
+    writer = df.write.mode("errorifexists").format("parquet")
     if location:
-        writer = writer.option("path", location)
-    writer.saveAsTable(table)
+        writer = writer.option("path", f"{location.rstrip('/')}/{version}")
+    writer.saveAsTable(fresh)
     if comment:
-        spark.sql(f"COMMENT ON TABLE {quoted(table)} IS {_text(comment)}")
+        spark.sql(f"COMMENT ON TABLE {quoted(fresh)} IS {_text(comment)}")
+    spark.sql(f"DROP TABLE IF EXISTS {quoted(table)}")
+    spark.sql(f"ALTER TABLE {quoted(fresh)} RENAME TO {quoted(table)}")
+    if location:
+        _drop_versions(spark, location, version)
+
+
+def _drop_versions(spark: SparkSession, location: str, current: str) -> None:
+    """Remove the folders of earlier versions of a rebuilt table."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(location)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in files.listStatus(folder):
+        name = status.getPath().getName()
+        if name.startswith("version_") and name != current:
+            files.delete(status.getPath(), True)
 
 
 def publish_view(df: DataFrame, name: str) -> DataFrame:

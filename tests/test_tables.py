@@ -125,3 +125,26 @@ def test_days():
     for bad in ("20240131", "2024-01-31 ", "", "2024-01-31\n"):
         with pytest.raises(ValueError):
             check_day(bad)
+
+
+def test_text_tables_keep_what_looks_like_null(spark, database):
+    values = [r"\N", r"\\N", r"\\\N", "a\tb", 'q"u"ote', "'", r"\n", "N", "", " ", None, r"x\N"]
+    name = f"{database}.tg_marks"
+    tables.create_tag_table(spark, name, "3", tab_text=True)
+    df = spark.createDataFrame([(str(i), v) for i, v in enumerate(values)], "uid string, tag_value string")
+    tables.overwrite_day(df, name, "2024-01-31")
+    got = {r.uid: r.tag_value for r in tables.read_day(spark, name, "2024-01-31").collect()}
+    assert got == {str(i): v for i, v in enumerate(values)}
+
+
+@pytest.mark.parametrize("located", [False, True])
+def test_a_failing_rebuild_leaves_the_earlier_table(spark, database, tmp_path, located):
+    name, place = f"{database}.wide", str(tmp_path / "place") if located else None
+    tables.replace_table(spark.sql("select 1 as a"), name, place)
+    with pytest.raises(Exception, match="broken"):
+        tables.replace_table(spark.sql("select raise_error('broken') as b"), name, place)
+    assert rows(spark.table(name)) == [(1,)]
+    tables.replace_table(spark.sql("select 2 as c"), name, place)
+    assert spark.table(name).columns == ["c"] and rows(spark.table(name)) == [(2,)]
+    if located:
+        assert len([p for p in (tmp_path / "place").iterdir() if p.name.startswith("version_")]) == 1

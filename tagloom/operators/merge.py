@@ -33,13 +33,11 @@ def wide_table(
 ) -> DataFrame:
     """One row per user, one text column per tag; a user without a value has ``''``.
 
-    Values of a user that has a tag more than once are put one after the other in sorted order. For
-    that, equal rows are counted before anything is brought together by user, so a user (or a user's
-    one value) holding a large share of all rows leaves each map task as one row.
+    Values of a user that has a tag more than once are put one after the other in sorted order. The rows
+    cross the network once, to their user, where cells are put together in the row.
 
     ``one_value`` names the tags that a user has at most once, for example because their query groups
-    by user; True means all of them. Their rows go straight to the user, without the counting
-    shuffles. A tag that breaks this promise fails the job instead of losing a value.
+    by user; True means all of them. A tag that breaks this promise fails the job instead of losing a value.
     """
     columns = [c.lower() for c in codes]
     if not columns:
@@ -48,57 +46,31 @@ def wide_table(
         raise ValueError("tag codes must differ without case")
     single = set(columns) if one_value is True else {c.lower() for c in one_value or ()}
     # Empty text adds nothing to a cell; as NULL it falls together with the missing values.
-    rows = tall.select("uid", "tag_code", F.nullif("tag_value", F.lit("")).alias("tag_value"))
-    cells = _cells(rows, columns, single)
+    value = F.nullif(F.col("tag_value"), F.lit(""))
+    rows = tall.select("uid", F.when(value.isNotNull(), F.struct("tag_code", value.alias("cell"))).alias("entry"))
+    entries = rows.repartition("uid").groupBy("uid").agg(F.collect_list("entry").alias("entries"))
     # One map per user and a lookup per column: a pivot evaluates every column for every tall row.
-    entries = F.collect_list(F.when(F.col("cell").isNotNull(), F.struct("tag_code", "cell")))
-    users = cells.groupBy("uid").agg(_cell_map(entries, checked=bool(single)).alias("cells"))
-    return users.select(
-        "uid", *(F.coalesce(F.col("cells")[F.lit(c)], F.lit("")).alias(c) for c in columns)
-    )
+    users = entries.select("uid", _cell_map(F.col("entries"), single).alias("cells"))
+    cells = [f"coalesce(cells['{c}'], '') AS `{c}`" for c in columns]  # codes are checked identifiers
+    return users.selectExpr("uid", *cells)
 
 
-def _cell_map(entries: Column, checked: bool) -> Column:
-    """Cells by tag code; ``checked`` fails on a code that is there twice, whatever the session's policy."""
-    cells = F.map_from_entries(entries)
-    if not checked:
-        return cells
+def _cell_map(entries: Column, single: set[str]) -> Column:
+    """Cells by tag code. Only a user that has some tag twice pays for putting values together."""
     codes = entries["tag_code"]
-    broken = F.raise_error(F.lit("a user has a tag of one_value more than once"))
-    return F.when(F.size(F.array_distinct(codes)) == F.size(codes), cells).otherwise(
-        broken.cast("map<string,string>")
-    )
-
-
-def _cells(rows: DataFrame, columns: Sequence[str], single: set[str]) -> DataFrame:
-    """The cell of each user and tag, ``(uid, tag_code, cell)``, partitioned by user."""
-    whole = rows.withColumnRenamed("tag_value", "cell")
-    if single >= set(columns):
-        return whole.repartition("uid")
-    if not single:
-        # One partitioning by user serves this aggregation and the one by user after it.
-        return _joined(_counted(rows).repartition("uid"))
-    # The code is a literal in every branch of the union, so each filter drops whole branches.
-    once = F.col("tag_code").isin(sorted(single))
-    return whole.filter(once).union(_joined(_counted(rows.filter(~once)))).repartition("uid")
-
-
-def _counted(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("uid", "tag_code", "tag_value").agg(F.count("*").alias("n"))
-
-
-def _joined(counted: DataFrame) -> DataFrame:
-    """The distinct values of a cell in order, each as often as it was counted."""
-    parts = F.collect_list(F.when(F.col("tag_value").isNotNull(), F.struct("tag_value", "n")))
-    repeated = F.transform(
-        F.sort_array(parts), lambda p: F.repeat(p["tag_value"], p["n"].cast("int"))
-    )
-    alone = (F.size(parts) == 1) & (parts[0]["n"] == 1)
-    cell = (
-        F.when(alone, parts[0]["tag_value"])
-        .when(F.size(parts) > 0, F.array_join(repeated, ""))
-    )
-    return counted.groupBy("uid", "tag_code").agg(cell.alias("cell"))
+    own = F.array_distinct(codes)
+
+    def joined(code: Column) -> Column:
+        mine = F.filter(entries, lambda e: e["tag_code"] == code)
+        return F.struct(code, F.array_join(F.array_sort(F.transform(mine, lambda e: e["cell"])), ""))
+
+    repeated = F.map_from_entries(F.transform(own, joined))
+    if single:
+        promised = F.filter(codes, lambda c: c.isin(sorted(single)))
+        kept = F.size(F.array_distinct(promised)) == F.size(promised)
+        broken = F.raise_error(F.lit("a user has a tag of one_value more than once")).cast("map<string,string>")
+        repeated = F.when(kept, repeated).otherwise(broken)
+    return F.when(F.size(own) == F.size(codes), F.map_from_entries(entries)).otherwise(repeated)
 
 
 def duplicate_users(tall: DataFrame) -> DataFrame:

@@ -37,6 +37,11 @@ def word_of(position: Column) -> Column:
     return F.shiftright(position, 6).cast("int")
 
 
+def block_of(position: Column) -> Column:
+    """Sixteen words, 1,024 ids: what one task packs at a time."""
+    return F.shiftright(position, 10).cast("int")
+
+
 def bit_mask(position: Column) -> Column:
     """A bigint with only this position's bit set."""
     return F.call_function(

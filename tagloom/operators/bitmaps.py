@@ -6,15 +6,15 @@ users, however popular a value is.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from itertools import chain
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.functions.packing import (
     WORD_BITS,
     bit_mask,
+    block_of,
     bucket_of,
     member_id,
     numeric_id,
@@ -26,8 +26,13 @@ from tagloom.sources.catalog import TagSpec
 VALUE_KEYS = ("tag_code", "tag_value")
 
 
-def unpivot_tags(wide: DataFrame, codes: Sequence[str], ids: Sequence[str] = ("uid",)) -> DataFrame:
-    """One row per user and non-empty cell: ``(uid, tag_code, tag_value)``.
+def unpivot_tags(
+    wide: DataFrame,
+    codes: Sequence[str],
+    ids: Sequence[str] = ("uid",),
+    value_types: Sequence[str] | None = None,
+) -> DataFrame:
+    """One row per user and non-empty cell: ``(uid, tag_code, tag_value)``, and ``value_type`` if given.
 
     The code keeps the case it has in the catalogue while the column it names is lower case.
     """
@@ -36,28 +41,35 @@ def unpivot_tags(wide: DataFrame, codes: Sequence[str], ids: Sequence[str] = ("u
     # Exploding an array keeps the partitioning of the wide rows; Spark's unpivot would lose it.
     cells = F.array(
         *(
-            F.struct(F.lit(c).alias("tag_code"), F.col(f"`{c.lower()}`").alias("tag_value"))
-            for c in codes
+            F.struct(
+                F.lit(c).alias("tag_code"),
+                F.col(f"`{c.lower()}`").alias("tag_value"),
+                *([F.lit(value_types[i]).alias("value_type")] if value_types else []),
+            )
+            for i, c in enumerate(codes)
         )
     )
     return wide.select(*ids, F.inline(cells)).filter(F.col("tag_value") != "")
 
 
-def members_of_wide(wide: DataFrame, codes: Sequence[str], strict: bool = True) -> DataFrame:
-    """Members of all tag values, ``(tag_code, tag_value, bucket, position)``, from the wide table.
+def members_of_wide(
+    wide: DataFrame, codes: Sequence[str], strict: bool = True, value_types: Sequence[str] | None = None
+) -> DataFrame:
+    """Members of all tag values, ``(tag_code, tag_value, bucket, block, position)``, from the wide table.
 
-    The wide row is shuffled by bucket before it is unpivoted: a user crosses the network once, not
-    once per tag, and every aggregation below finds its groups in place.
+    The wide row is shuffled by block of 1,024 ids before it is unpivoted: a user crosses the network once, not
+    once per tag, and the words of a block are built in place. What is left to bring together by bucket is packed.
     """
     member = numeric_id(F.col("uid"), strict)
     placed = (
         wide.select("*", member.alias("_member"))
         .filter(F.col("_member").isNotNull())
         .withColumns({"bucket": bucket_of(F.col("_member")), "position": position_of(F.col("_member"))})
+        .withColumn("block", block_of(F.col("position")))
         .drop("uid", "_member")
-        .repartition("bucket")
+        .repartition("bucket", "block")
     )
-    return unpivot_tags(placed, codes, ids=("bucket", "position"))
+    return unpivot_tags(placed, codes, ("bucket", "block", "position"), value_types)
 
 
 def members_of_tall(tall: DataFrame, strict: bool = True) -> DataFrame:
@@ -73,7 +85,8 @@ def members_of_tall(tall: DataFrame, strict: bool = True) -> DataFrame:
         bucket_of(F.col("_member")).alias("bucket"),
         position_of(F.col("_member")).alias("position"),
     )
-    return placed.distinct().repartition("bucket")
+    placed = placed.withColumn("block", block_of(F.col("position")))
+    return placed.distinct().repartition("bucket", "block")
 
 
 def user_chunks(members: DataFrame) -> DataFrame:
@@ -82,10 +95,11 @@ def user_chunks(members: DataFrame) -> DataFrame:
     The bits of a word are or-ed together, which also drops repeats, and only words with a bit are
     kept: a rare value costs one word, a value everybody has costs 512 words for 32,768 users.
     """
-    words = members.groupBy(*VALUE_KEYS, "bucket", word_of(F.col("position")).alias("word")).agg(
+    keys = [*VALUE_KEYS, *(["value_type"] if "value_type" in members.columns else [])]
+    words = members.groupBy(*keys, "bucket", "block", word_of(F.col("position")).alias("word")).agg(
         F.bit_or(bit_mask(F.col("position"))).alias("bits")
     )
-    return words.groupBy(*VALUE_KEYS, "bucket").agg(
+    return words.groupBy(*keys, "bucket").agg(
         F.sum(F.bit_count("bits")).alias("n_users"),
         F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("words"),
     )
@@ -99,11 +113,11 @@ def user_counts(chunks: DataFrame) -> DataFrame:
 def chunk_users(chunks: DataFrame) -> DataFrame:
     """Packed members back to ids: ``(tag_code, tag_value, uid bigint)``."""
     words = chunks.select(*VALUE_KEYS, "bucket", F.inline("words"))
-    bits = words.select(
-        *VALUE_KEYS, "bucket", "word", "bits", F.explode(F.sequence(F.lit(0), F.lit(WORD_BITS - 1))).alias("bit")
-    )
+    every = F.sequence(F.lit(0), F.lit(WORD_BITS - 1))
+    members = F.filter(every, lambda bit: F.bit_get(F.col("bits"), bit) == 1)
+    bits = words.select(*VALUE_KEYS, "bucket", "word", F.explode(members).alias("bit"))
     position = F.col("word") * WORD_BITS + F.col("bit")
-    return bits.filter(F.bit_get("bits", "bit") == 1).select(
+    return bits.select(
         *VALUE_KEYS, member_id(F.col("bucket"), position.cast("bigint")).alias("uid")
     )
 
@@ -123,7 +137,8 @@ def user_bitmaps(members: DataFrame) -> DataFrame:
 
 def user_sets(members: DataFrame) -> DataFrame:
     """Members as sorted id arrays of one bucket each: ``(tag_code, tag_value, bucket, n_users, uids)``."""
-    sets = members.groupBy(*VALUE_KEYS, "bucket").agg(F.collect_set("position").alias("positions"))
+    blocks = members.groupBy(*VALUE_KEYS, "bucket", "block").agg(F.collect_set("position").alias("part"))
+    sets = blocks.groupBy(*VALUE_KEYS, "bucket").agg(F.flatten(F.collect_list("part")).alias("positions"))
     bucket = F.col("bucket")
     ids = F.sort_array(F.transform("positions", lambda p: member_id(bucket, p)))
     return sets.select(
@@ -131,21 +146,7 @@ def user_sets(members: DataFrame) -> DataFrame:
     )
 
 
-def value_type_of(specs: Sequence[TagSpec], code: Column) -> Column:
-    """Value type of a tag code, looked up in the catalogue."""
-    pairs = chain.from_iterable((F.lit(s.code), F.lit(s.value_type)) for s in specs)
-    return F.create_map(*pairs)[code]
-
-
 def chunks_by_type(wide: DataFrame, specs: Sequence[TagSpec]) -> DataFrame:
     """Packed members of all tags with the tag's ``value_type``, in one pass over the wide table."""
-    chunks = user_chunks(members_of_wide(wide, [s.code for s in specs]))
-    return chunks.withColumn("value_type", value_type_of(specs, F.col("tag_code")))
-
-
-def codes_by_type(specs: Sequence[TagSpec]) -> Mapping[str, list[str]]:
-    """Tag codes of each value type, in catalogue order."""
-    groups: dict[str, list[str]] = {}
-    for spec in specs:
-        groups.setdefault(spec.value_type, []).append(spec.code)
-    return groups
+    types = [s.value_type for s in specs]
+    return user_chunks(members_of_wide(wide, [s.code for s in specs], value_types=types))

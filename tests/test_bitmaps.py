@@ -95,18 +95,31 @@ def test_types(spark):
     out = bitmaps.chunks_by_type(wide(spark, ("1", "a", "7"), ("2", "a", "")), specs)
     got = rows(out.select("value_type", "tag_code", "tag_value", "n_users"))
     assert got == [("1", "H", "7", 1), ("3", "G", "a", 2)]
-    assert bitmaps.codes_by_type(specs + [TagSpec("I", "3")]) == {"3": ["G", "I"], "1": ["H"]}
 
 
 @pytest.mark.parametrize("form", [bitmaps.user_chunks, bitmaps.user_bitmaps, bitmaps.user_sets])
-def test_wide_rows_are_shuffled_once(spark, tmp_path, form):
+def test_wide_rows_are_shuffled_once_and_then_packed(spark, tmp_path, form):
     wide(spark, ("1", "a", "b")).write.parquet(str(tmp_path / "wide"))
     stored = spark.read.parquet(str(tmp_path / "wide"))
     plan = plan_of(form(bitmaps.members_of_wide(stored, ["G", "H"])))
-    assert plan.count("Exchange hashpartitioning") == 1
+    assert plan.count("Exchange hashpartitioning") == 2
     assert "Python" not in plan and "Cartesian" not in plan
     # The shuffle comes before the rows are multiplied by the number of tags.
-    assert plan.index("Generate") < plan.index("Exchange")
+    assert plan.index("Generate") < plan.rindex("Exchange")
+
+
+def test_ids_of_a_bucket_are_packed_by_many_tasks(spark):
+    """Neighbouring ids lie in blocks of 1,024, so dense ids are dealt to as many partitions as there are cores."""
+    dense = wide(spark, *[(str(i), "a", "b") for i in range(1, 16_384, 8)])
+    members = bitmaps.members_of_wide(dense, ["G", "H"])
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")  # so few rows would be put together again
+    try:
+        spread = members.select(F.spark_partition_id().alias("p")).distinct().count()
+    finally:
+        spark.conf.unset(key)
+    assert spread == 4
+    assert {r["n"] for r in members.groupBy("bucket").agg(F.count_distinct("block").alias("n")).collect()} == {16}
 
 
 @settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])

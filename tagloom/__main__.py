@@ -5,6 +5,9 @@ from __future__ import annotations
 import argparse
 
 from tagloom import plans
+from tagloom.operators.export import BATCH_ROWS, ISOLATION
+from tagloom.operators.features import DWELL_SETS, TOP_CATEGORIES, VISIT_ITEM_TYPE, VISIT_PAGE
+from tagloom.operators.model import BEHAVIOUR_PARAMS, feature_weights, tree_text
 from tagloom.session import spark_session
 from tagloom.sources.catalog import Metadata
 
@@ -14,6 +17,9 @@ def parse(argv: list[str] | None = None) -> argparse.Namespace:
     shared.add_argument("--dt", required=True, help="day, yyyy-MM-dd")
     shared.add_argument("--database", required=True, help="database of the tag tables")
     shared.add_argument("--metadata", help="database of tag_info, task_info and task_tag_rule")
+    shared.add_argument("--metadata-url", help="JDBC address of these tables, instead of a database of the catalogue")
+    shared.add_argument("--metadata-property", action="append", default=[], metavar="KEY=VALUE")
+    shared.add_argument("--hive", action="store_true", help="a catalogue that outlives the process (Hive support)")
     shared.add_argument("--prefix", default=plans.WIDE_TABLE_PREFIX, help="name of the wide tables before the day")
     shared.add_argument("--base", help="folder of the tables; the database's own unless given")
 
@@ -22,6 +28,7 @@ def parse(argv: list[str] | None = None) -> argparse.Namespace:
     tag = jobs.add_parser("tag", parents=[shared], help="compute the tag of one task")
     tag.add_argument("--task", type=int, required=True)
     tag.add_argument("--warehouse", help="database the task's query runs in")
+    tag.add_argument("--tab-text", action="store_true", help="store the tag as tab-delimited text")
     tag.add_argument("--lenient", action="store_true", help="values of the wrong type become NULL")
     merge = jobs.add_parser("merge", parents=[shared], help="merge the day's tags into the wide table")
     merge.add_argument("--one-value", nargs="*", default=[], help="tags a user has at most once")
@@ -29,6 +36,9 @@ def parse(argv: list[str] | None = None) -> argparse.Namespace:
     export.add_argument("--url", required=True)
     export.add_argument("--driver")
     export.add_argument("--partitions", type=int, default=4)
+    export.add_argument("--batchsize", type=int, default=BATCH_ROWS)
+    export.add_argument("--isolation", default=ISOLATION)
+    export.add_argument("--property", action="append", default=[], metavar="KEY=VALUE", help="user, password and so on")
     export.add_argument("--create-options", help="text after the target's CREATE TABLE")
     jobs.add_parser("bitmaps", parents=[shared], help="build the members of each tag value")
     label = argparse.ArgumentParser(add_help=False)
@@ -37,19 +47,57 @@ def parse(argv: list[str] | None = None) -> argparse.Namespace:
     label.add_argument("--items", required=True, help="table of item snapshots")
     label.add_argument("--users", required=True, help="table of users")
     label.add_argument("--dt-from", help="first log day; the last is --dt")
-    jobs.add_parser("train", parents=[shared, label], help="train the label model")
+    label.add_argument("--page-id", default=VISIT_PAGE)
+    label.add_argument("--item-type", default=VISIT_ITEM_TYPE)
+    label.add_argument("--item-dt", help="day of the item snapshot")
+    label.add_argument("--top", type=int, default=TOP_CATEGORIES, help="ranked categories that are features")
+    label.add_argument("--dwell-set", action="append", default=[], metavar="NAME=1,2,3", help="replaces the sets")
+    train = jobs.add_parser("train", parents=[shared, label], help="train the label model")
+    train.add_argument("--new-categories", choices=("keep", "error"), default="keep")
+    train.add_argument("--seed", type=int, default=0)
     predict = jobs.add_parser("predict", parents=[shared, label], help="write the label tag")
     predict.add_argument("--table", required=True, help="name of the label tag")
+    predict.add_argument("--treat-empty-as-missing", action="store_true")
     return parser.parse_args(argv)
 
 
+def pairs(given: list[str]) -> dict[str, str]:
+    """``KEY=VALUE`` arguments."""
+    return dict(each.split("=", 1) for each in given)
+
+
+def feature_options(args: argparse.Namespace) -> dict[str, object]:
+    """What training and prediction must have in common."""
+    sets = {name: tuple(map(int, members.split(","))) for name, members in pairs(args.dwell_set).items()}
+    return {
+        "k": args.top,
+        "sets": sets or DWELL_SETS,
+        "item_dt": args.item_dt,
+        "page_id": args.page_id,
+        "item_type": args.item_type,
+    }
+
+
 def main(argv: list[str] | None = None) -> None:
     args = parse(argv)
-    spark = spark_session(f"tagloom-{args.job}")
-    meta = lambda: Metadata.from_tables(spark, args.metadata or args.database)
+    spark = spark_session(f"tagloom-{args.job}", hive=args.hive)
+
+    def meta() -> Metadata:
+        if args.metadata_url:
+            return Metadata.from_jdbc(spark, args.metadata_url, pairs(args.metadata_property))
+        return Metadata.from_tables(spark, args.metadata or args.database)
+
     if args.job == "tag":
         plans.run_tag_task(
-            spark, meta(), args.task, args.dt, args.database, args.warehouse, args.base, strict=not args.lenient
+            spark,
+            meta(),
+            args.task,
+            args.dt,
+            args.database,
+            args.warehouse,
+            args.base,
+            strict=not args.lenient,
+            tab_text=args.tab_text,
         )
     elif args.job == "merge":
         plans.run_merge(spark, meta(), args.dt, args.database, args.base, args.prefix, args.one_value)
@@ -60,7 +108,10 @@ def main(argv: list[str] | None = None) -> None:
             args.database,
             args.url,
             args.prefix,
+            pairs(args.property),
             driver=args.driver,
+            batchsize=args.batchsize,
+            isolation=args.isolation,
             partitions=args.partitions,
             create_options=args.create_options,
         )
@@ -69,11 +120,27 @@ def main(argv: list[str] | None = None) -> None:
     else:
         inputs = (spark.table(args.logs), spark.table(args.items), spark.table(args.users))
         if args.job == "train":
-            _, report = plans.run_training(*inputs, args.model, args.dt_from or args.dt, args.dt)
+            params = BEHAVIOUR_PARAMS.with_(new_categories=args.new_categories)
+            fitted, report = plans.run_training(
+                *inputs, args.model, args.dt_from or args.dt, args.dt, params, args.seed, **feature_options(args)
+            )
+            print(tree_text(fitted))
+            feature_weights(spark, fitted).show(100, truncate=False)
             report.show(100, truncate=False)
         else:
             table = f"{args.database}.{args.table}"
-            plans.run_prediction(spark, *inputs, args.model, args.dt, table, args.dt_from)
+            location = f"{args.base.rstrip('/')}/{args.database}/{args.table}" if args.base else None
+            plans.run_prediction(
+                spark,
+                *inputs,
+                args.model,
+                args.dt,
+                table,
+                args.dt_from,
+                location,
+                args.treat_empty_as_missing,
+                **feature_options(args),
+            )
 
 
 if __name__ == "__main__":

@@ -19,14 +19,16 @@ PREDICTION_LABEL = "prediction_origin"
 FEATURE_VECTOR = "feature_assemble"
 INDEXED_FEATURES = "feature_index"
 
+# What a NULL feature counts as; category numbers and dwell sums are never negative.
+NULL_FEATURE = -1
+
 
 @dataclass(frozen=True)
 class TreeParams:
     """Tree settings. ``max_categories`` is the most distinct values a categorical feature may have.
 
-    ``null_features`` says what a row with a NULL feature does: ``error`` or ``skip``; fill such features
-    beforehand to score the row. ``new_categories`` says what a category unseen in training does:
-    ``error``, ``skip``, or ``keep`` as one further category.
+    ``new_categories`` says what a category unseen in training does: ``keep`` it as one further category, or
+    ``error``. No setting leaves rows out.
     """
 
     max_categories: int = 5
@@ -34,14 +36,11 @@ class TreeParams:
     max_depth: int = 5
     min_instances: int = 1
     min_info_gain: float = 0.0
-    null_features: str = "error"
-    new_categories: str = "error"
+    new_categories: str = "keep"
 
     def __post_init__(self) -> None:
-        if self.null_features not in ("error", "skip"):
-            raise ValueError("null_features is error or skip")
-        if self.new_categories not in ("error", "skip", "keep"):
-            raise ValueError("new_categories is error, skip or keep")
+        if self.new_categories not in ("error", "keep"):
+            raise ValueError("new_categories is error or keep")
 
     def with_(self, **changes: object) -> TreeParams:
         return replace(self, **changes)
@@ -70,6 +69,12 @@ def split_by_key(
     return df.filter(draw < cut), df.filter(draw >= cut)
 
 
+def coded_nulls(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """A NULL feature as a number of its own, so that its row is trained on and scored like any other."""
+    kinds = dict(df.dtypes)
+    return df.withColumns({f: F.coalesce(F.col(f), F.lit(NULL_FEATURE).cast(kinds[f])) for f in features})
+
+
 def build_pipeline(label: str, features: Sequence[str], params: TreeParams = TreeParams()) -> Pipeline:
     return Pipeline(
         stages=[
@@ -77,7 +82,7 @@ def build_pipeline(label: str, features: Sequence[str], params: TreeParams = Tre
             VectorAssembler(
                 inputCols=list(features),
                 outputCol=FEATURE_VECTOR,
-                handleInvalid=params.null_features,
+                handleInvalid="error",
             ),
             VectorIndexer(
                 inputCol=FEATURE_VECTOR,
@@ -101,7 +106,7 @@ def build_pipeline(label: str, features: Sequence[str], params: TreeParams = Tre
 
 def fit(df: DataFrame, label: str, features: Sequence[str], params: TreeParams = TreeParams()) -> PipelineModel:
     """Fit on all rows. The fit reads its input once per stage and tree level, so it is kept meanwhile."""
-    kept = df.select(label, *features).persist(StorageLevel.MEMORY_AND_DISK)
+    kept = coded_nulls(df.select(label, *features), features).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return build_pipeline(label, features, params).fit(kept)
     finally:
@@ -122,11 +127,11 @@ def train(
 
 
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """Add the predicted index and the label it stands for. The label column is not needed."""
+    """Add the predicted index and the label it stands for to every row. The label column is not needed."""
     back = IndexToString(
         inputCol=PREDICTION, outputCol=PREDICTION_LABEL, labels=model.stages[0].labels
     )
-    return back.transform(model.transform(df))
+    return back.transform(model.transform(coded_nulls(df, model.stages[1].getInputCols())))
 
 
 def tree_text(model: PipelineModel) -> str:
@@ -134,6 +139,20 @@ def tree_text(model: PipelineModel) -> str:
     return model.stages[3].toDebugString
 
 
+def label_index(spark: SparkSession, model: PipelineModel) -> DataFrame:
+    """``(label, idx)``: the most frequent label of the training rows is 0, equal ones are in text order."""
+    pairs = [(label, i) for i, label in enumerate(model.stages[0].labels)]
+    return spark.createDataFrame(pairs, "label string, idx int")
+
+
+def feature_categories(spark: SparkSession, model: PipelineModel) -> DataFrame:
+    """``(feature, category, idx)`` of the features that the model takes as categories."""
+    names = model.stages[1].getInputCols()
+    maps = model.stages[2].categoryMaps
+    rows = [(names[i], float(value), int(at)) for i, pairs in maps.items() for value, at in pairs.items()]
+    return spark.createDataFrame(rows, "feature string, category double, idx int")
+
+
 def feature_weights(spark: SparkSession, model: PipelineModel) -> DataFrame:
     """``(feature, weight)``, one row per feature."""
     names = model.stages[1].getInputCols()

@@ -135,14 +135,19 @@ def run_training(
     params: model.TreeParams = model.BEHAVIOUR_PARAMS,
     seed: int = 0,
     columns: Sequence[str] | None = None,
+    k: int = features.TOP_CATEGORIES,
+    sets: Mapping[str, Sequence[int]] = features.DWELL_SETS,
+    **options: object,
 ) -> tuple[PipelineModel, DataFrame]:
     """Train the label model, store it, and return it with the report on the held-out users.
 
-    Features cover the log days ``dt_from`` to ``dt_to``, or ``dt_from`` alone.
+    Features cover the log days ``dt_from`` to ``dt_to``, or ``dt_from`` alone; ``options`` are those of
+    ``behaviour_features``. The tree and its weights are had from the model.
     """
     # One pass over the logs: training, the held-out report and each tree level read the stored rows.
-    data = stored(features.behaviour_features(logs, items, users, dt_from, dt_to, labelled=True))
-    fitted, held_out = model.train(data, "gender", columns or features.feature_columns(), params, seed)
+    data = features.behaviour_features(logs, items, users, dt_from, dt_to, True, k, sets, **options)
+    data = stored(data)
+    fitted, held_out = model.train(data, "gender", columns or features.feature_columns(k, sets), params, seed)
     model.save(fitted, model_path)
     return fitted, model.evaluate(model.predict(fitted, held_out))
 
@@ -158,13 +163,15 @@ def run_prediction(
     dt_from: str | None = None,
     location: str | None = None,
     treat_empty_as_missing: bool = False,
+    **options: object,
 ) -> None:
     """Write the day's label tag: the model's word for users without a label, else their own.
 
-    Features cover the log days ``dt_from`` to ``dt``, or ``dt`` alone.
+    Features cover the log days ``dt_from`` to ``dt``, or ``dt`` alone; ``options`` are those of
+    ``behaviour_features`` and must be the ones of the training.
     """
     data = features.behaviour_features(
-        logs, items, users, dt_from or dt, dt, False, treat_empty_as_missing=treat_empty_as_missing
+        logs, items, users, dt_from or dt, dt, False, treat_empty_as_missing=treat_empty_as_missing, **options
     )
     predicted = model.predict(model.load(model_path), data)
     tag = labels.predicted_label_tag(predicted, users, treat_empty_as_missing=treat_empty_as_missing)

@@ -10,8 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
-def spark_session(app: str = "tagloom", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with adaptive execution on; on a cluster, leave ``master`` to spark-submit."""
+def spark_session(
+    app: str = "tagloom", master: str | None = None, hive: bool = False, **conf: str
+) -> SparkSession:
+    """A session with adaptive execution on; on a cluster, leave ``master`` to spark-submit.
+
+    With ``hive`` tables live in the Hive catalogue that the cluster's configuration names, where the next job
+    finds them. Spark's own catalogue ends with the process.
+    """
     builder = (
         SparkSession.builder.appName(app)
         .config("spark.sql.adaptive.enabled", "true")
@@ -19,6 +25,8 @@ def spark_session(app: str = "tagloom", master: str | None = None, **conf: str)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.parquet.compression.codec", "zstd")
     )
+    if hive:
+        builder = builder.enableHiveSupport()
     if master:
         builder = builder.master(master)
     for key, value in conf.items():

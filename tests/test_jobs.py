@@ -113,8 +113,7 @@ def test_train_and_predict_jobs(spark, database, tmp_path):
     logs = roles.page_logs(spark, sf).withColumn("page_id", roles.F.lit("good_detail"))
     inputs = (logs, roles.items(spark, sf), roles.users(spark, sf))
     path, table = str(tmp_path / "model"), f"{database}.tg_label"
-    params = model.BEHAVIOUR_PARAMS.with_(new_categories="keep")
-    _, report = plans.run_training(*inputs, path, "2024-01-01", DAY, params)
+    _, report = plans.run_training(*inputs, path, "2024-01-01", DAY)
     assert report.filter("metric = 'accuracy'").count() == 1
     for _ in range(2):
         plans.run_prediction(spark, *inputs, path, DAY, table, dt_from="2024-01-01")

@@ -52,7 +52,7 @@ def test_stages_follow_the_parameters(trained):
 def test_defaults():
     p = model.TreeParams()
     assert (p.max_categories, p.max_bins, p.max_depth, p.min_instances, p.min_info_gain) == (5, 5, 5, 1, 0.0)
-    assert p.with_(max_depth=9).max_depth == 9 and (p.null_features, p.new_categories) == ("error", "error")
+    assert p.with_(max_depth=9).max_depth == 9 and p.new_categories == "keep"
 
 
 def test_predictions_are_labels_of_the_training_set(trained):
@@ -125,19 +125,19 @@ def test_save_and_load_predict_the_same(trained, tmp_path):
     assert rows(before) == rows(after)
 
 
-def test_null_features_fail_or_are_skipped(people):
+def test_null_features_are_a_code_of_their_own(people):
     broken = people.withColumn("c1_rk1", F.when(F.col("user_id") % 10 != 0, F.col("c1_rk1")))
-    with pytest.raises(Exception, match="null"):
-        model.fit(broken, "gender", feature_columns(), model.BEHAVIOUR_PARAMS)
-    params = model.BEHAVIOUR_PARAMS.with_(null_features="skip")
-    fitted = model.fit(broken, "gender", feature_columns(), params)
-    assert model.predict(fitted, broken).count() == 360
-    assert model.predict(fitted, broken.fillna(-1, feature_columns()).filter("c1_rk1 >= 0")).count() == 360
+    fitted = model.fit(broken, "gender", feature_columns(), model.BEHAVIOUR_PARAMS)
+    predicted = model.predict(fitted, broken)
+    assert predicted.count() == people.count()
+    coded = model.predict(fitted, broken.fillna(-1, feature_columns()))
+    columns = ["user_id", model.PREDICTION_LABEL]
+    assert rows(predicted.select(*columns)) == rows(coded.select(*columns))
 
 
-def test_new_categories_fail_are_skipped_or_kept(people):
+def test_new_categories_fail_or_are_kept(people):
     new = people.withColumn("c1_rk1", F.when(F.col("user_id") < 100, 777).otherwise(F.col("c1_rk1")).cast("bigint"))
-    for choice, expected in (("error", None), ("skip", 300), ("keep", 400)):
+    for choice, expected in (("error", None), ("keep", 400)):
         params = model.BEHAVIOUR_PARAMS.with_(new_categories=choice)
         fitted = model.fit(people, "gender", feature_columns(), params)
         if expected is None:
@@ -148,10 +148,9 @@ def test_new_categories_fail_are_skipped_or_kept(people):
 
 
 def test_parameters_are_checked():
-    with pytest.raises(ValueError, match="null_features"):
-        model.TreeParams(null_features="keep")
-    with pytest.raises(ValueError, match="new_categories"):
-        model.TreeParams(new_categories="drop")
+    for choice in ("drop", "skip"):
+        with pytest.raises(ValueError, match="new_categories"):
+            model.TreeParams(new_categories=choice)
 
 
 def test_label_tag_is_prediction_and_declaration(spark):

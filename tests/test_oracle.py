@@ -5,9 +5,9 @@ from compare import connect, difference
 from conftest import plan_of
 
 import __spark_entry__ as contract
+from workload.oracles import ORACLES
 
 SF_DIR = "/root/testdata/sf0.01"
-ORACLES = contract.oracle_sql()
 
 # Operators that no query may need: crossed pairs, and rows passed through Python or one task.
 FORBIDDEN = (

@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
-from tagloom.operators.features import DWELL_SETS
-from tagloom.operators.labels import LABEL_WORDS, OTHER_WORD
-from workload.roles import DAY
-from workload.tagset import TAGS
+# Everything is written out here, so that a wrong constant of the code under test does not stay green.
+DAY = "2024-01-31"
+DWELL_SETS = {"male": (3, 4, 6), "female": (8, 11, 15)}
+TAG_TYPES = {
+    "TG_Segment": "3",
+    "TG_Nation": "3",
+    "TG_Balance": "2",
+    "TG_OrderCount": "1",
+    "TG_OrderAmount": "2",
+    "TG_LastOrder": "4",
+    "TG_Statuses": "3",
+    "TG_Quantity": "2",
+    "TG_Views": "1",
+}
+LABEL_WORDS = {"F": "女"}
+OTHER_WORD = "男"
 
 # One SELECT per tag: (uid, tag_value) with the stored type.
 TAG_SQL = {
@@ -44,26 +56,25 @@ TAG_SQL = {
 }
 
 TALL = " union all ".join(
-    f"select uid, cast(tag_value as varchar) as tag_value, '{t.code.lower()}' as tag_code "
-    f"from ({TAG_SQL[t.code]})"
-    for t in TAGS
+    f"select uid, cast(tag_value as varchar) as tag_value, '{code.lower()}' as tag_code from ({TAG_SQL[code]})"
+    for code in TAG_TYPES
 )
 
 WIDE = (
     "select uid, "
     + ", ".join(
         f"coalesce(string_agg(tag_value, '' order by tag_value) "
-        f"filter (tag_code = '{t.code.lower()}'), '') as {t.code.lower()}"
-        for t in TAGS
+        f"filter (tag_code = '{code.lower()}'), '') as {code.lower()}"
+        for code in TAG_TYPES
     )
     + f" from ({TALL}) group by uid"
 )
 
 # Non-empty wide cells with the code as the catalogue writes it, and with the tag's value type.
 CELLS = " union all ".join(
-    f"select cast(uid as bigint) as uid, '{t.code}' as tag_code, {t.code.lower()} as tag_value, "
-    f"'{t.value_type}' as value_type from wide where {t.code.lower()} <> ''"
-    for t in TAGS
+    f"select cast(uid as bigint) as uid, '{code}' as tag_code, {code.lower()} as tag_value, "
+    f"'{kind}' as value_type from wide where {code.lower()} <> ''"
+    for code, kind in TAG_TYPES.items()
 )
 WITH_CELLS = f"with wide as ({WIDE}), cells as ({CELLS})"
 
@@ -113,6 +124,16 @@ def _features(condition: str, label: bool, visits: str = VISITS) -> str:
     return f"select {columns} from ({profile}) join ({USERS}) on user_id = id where {condition}"
 
 
+# The sample table with its category codes, NULL where there is none, and the share it is trained on.
+SAMPLES = """
+    select cast(p_partkey as varchar) as uid,
+           case p_type when 'SMALL' then 101 when 'MEDIUM' then 102 when 'LARGE' then 103 end as hair,
+           case when p_size % 2 = 0 then 11 else 12 end as skirt,
+           case when p_size < 15 then 100 when p_size < 30 then 90 when p_size < 45 then 80 end as age,
+           case when p_size % 2 = 0 and p_type <> 'LARGE' then 'F' else 'M' end as gender,
+           cast('0x' || substr(md5('7:' || p_partkey), 1, 8) as bigint) % 10000 < 8000 as trained
+    from part"""
+
 WORD = " ".join(f"when '{k}' then '{v}'" for k, v in LABEL_WORDS.items())
 
 ORACLES: dict[str, str] = {
@@ -142,6 +163,13 @@ ORACLES: dict[str, str] = {
         select cast(o_orderkey as varchar) as uid,
                case when o_orderstatus <> 'F' then o_custkey end as tag_value
         from orders""",
+    "tag_text_values": f"""
+        select cast(o_orderkey as varchar) as uid,
+               case when o_orderkey % 11 > 0 then
+                   [chr(92) || 'N', chr(92) || chr(92) || 'N', 'tab' || chr(9) || 'here', 'quo"te',
+                    'back' || chr(92) || 'slash', '', ' blank ', 'plain'][o_orderkey % 8 + 1] end as tag_value,
+               '{DAY}' as dt
+        from orders""",
     "tag_partition_overwrite": f"""
         select uid, tag_value, dt
         from ({TAG_SQL["TG_Segment"]}), (values ('{DAY}'), ('2024-01-30')) as days(dt)""",
@@ -229,6 +257,21 @@ ORACLES: dict[str, str] = {
                coalesce(cast(count(*) filter (guess = label and actual = label) as double)
                         / nullif(count(*) filter (guess = label), 0), 0.0)
         from g, labels group by label""",
+    # The fitted tree finds the rule that the labels follow.
+    "sample_model_predictions": f"select uid, gender as label from ({SAMPLES})",
+    "label_index": f"""
+        select gender as label,
+               cast(row_number() over (order by count(*) desc, gender) - 1 as integer) as idx
+        from ({SAMPLES}) where trained group by gender""",
+    "feature_categories": f"""
+        select distinct feature, cast(category as integer) as category
+        from (select 'hair' as feature, coalesce(hair, -1) as category from ({SAMPLES}) where trained
+              union all select 'skirt', skirt from ({SAMPLES}) where trained
+              union all select 'age', coalesce(age, -1) from ({SAMPLES}) where trained)""",
+    "predicted_label_users": f"""
+        select uid, cast(1 as bigint) as n, cast(1 as bigint) as n_values
+        from (select cast(user_id as varchar) as uid from ({_features("gender is null", False)})
+              union all select cast(id as varchar) from ({USERS}) where gender is not null)""",
     "declared_label_tag": f"""
         select cast(id as varchar) as uid, case gender {WORD} else '{OTHER_WORD}' end as tag_value
         from ({USERS}) where gender is not null""",

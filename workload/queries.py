@@ -58,6 +58,21 @@ def tag_rule_join(spark, sf_dir):
     return mapped.select(F.col("uid").cast("string").alias("uid"), "tag_value")
 
 
+def tag_text_values(spark, sf_dir):
+    """Text tags that look like marks of the text format, written as tab-delimited text and read back."""
+    values = F.element_at(
+        F.array(*map(F.lit, [r"\N", r"\\N", "tab\there", 'quo"te', "back\\slash", "", " blank ", "plain"])),
+        (F.pmod("o_orderkey", F.lit(8)) + 1).cast("int"),
+    )
+    src = roles.table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("uid"), F.when(F.pmod("o_orderkey", F.lit(11)) > 0, values).alias("query_value")
+    )
+    db = _scratch_database(spark)
+    tables.create_tag_table(spark, f"{db}.tg_text", "3", tab_text=True)
+    tables.overwrite_day(tags.compute_tag(src, None, "3"), f"{db}.tg_text", DAY)
+    return tables.read_day(spark, f"{db}.tg_text", DAY)
+
+
 def tag_lenient_cast(spark, sf_dir):
     """Text that is not a number, and numbers that are, as a long tag without failing."""
     src = roles.table(spark, sf_dir, "orders").select(
@@ -264,7 +279,7 @@ def category_codes(spark, sf_dir):
 
 # --- label model ---
 
-TREE = model.BEHAVIOUR_PARAMS.with_(new_categories="keep")
+TREE = model.BEHAVIOUR_PARAMS
 
 
 def train_test_split(spark, sf_dir):
@@ -307,15 +322,44 @@ def feature_weights(spark, sf_dir):
     return model.feature_weights(spark, _trained(spark, sf_dir)[0])
 
 
-def sample_model_report(spark, sf_dir):
-    """The sample model: category codes, a tree on them, and its report."""
+def _sample_model(spark, sf_dir):
+    """The sample model: category codes and a tree on them; every sample is trained on or held out."""
     coded = features.category_codes(roles.samples(spark, sf_dir))
-    params = model.SAMPLE_PARAMS.with_(null_features="skip", new_categories="keep")
     columns = ["hair", "height", "skirt", "age"]
-    fitted, held_out = model.train(coded, "gender", columns, params, seed=7, key="uid")
+    return coded, *model.train(coded, "gender", columns, model.SAMPLE_PARAMS, seed=7, key="uid")
+
+
+def sample_model_report(spark, sf_dir):
+    _, fitted, held_out = _sample_model(spark, sf_dir)
     return model.evaluate(model.predict(fitted, held_out))
 
 
+def sample_model_predictions(spark, sf_dir):
+    """Every sample's label by the stored and reloaded sample model."""
+    coded, fitted, _ = _sample_model(spark, sf_dir)
+    path = scratch_dir(spark)
+    model.save(fitted, path)
+    predicted = model.predict(model.load(path), coded)
+    return predicted.select("uid", F.col("prediction_origin").alias("label"))
+
+
+def label_index(spark, sf_dir):
+    """The sample model's labels by their frequency among the training rows."""
+    return model.label_index(spark, _sample_model(spark, sf_dir)[1])
+
+
+def feature_categories(spark, sf_dir):
+    """What the sample model takes as categories."""
+    found = model.feature_categories(spark, _sample_model(spark, sf_dir)[1])
+    return found.select("feature", F.col("category").cast("int").alias("category"))
+
+
+def predicted_label_users(spark, sf_dir):
+    """Who gets a label tag, and how many times: users who declared a label, and those with features."""
+    tag = predicted_label_tag(spark, sf_dir)
+    return tag.groupBy("uid").agg(F.count("*").alias("n"), F.count("tag_value").alias("n_values"))
+
+
 # --- label tag ---
 
 
@@ -339,6 +383,7 @@ QUERIES: dict[str, Query] = {
     "tag_decimal_join": _tag("TG_Quantity"),
     "tag_date": _tag("TG_LastOrder"),
     "tag_lenient_cast": tag_lenient_cast,
+    "tag_text_values": tag_text_values,
     "tag_partition_overwrite": tag_partition_overwrite,
     "tag_partition_cleared": tag_partition_cleared,
     "tall_table": tall_table,
@@ -370,6 +415,10 @@ QUERIES: dict[str, Query] = {
     "model_report": model_report,
     "feature_weights": feature_weights,
     "sample_model_report": sample_model_report,
+    "sample_model_predictions": sample_model_predictions,
+    "label_index": label_index,
+    "feature_categories": feature_categories,
+    "predicted_label_users": predicted_label_users,
     "declared_label_tag": declared_label_tag,
     "predicted_label_tag": predicted_label_tag,
 }

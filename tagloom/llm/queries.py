@@ -108,4 +108,46 @@ with v as (
 select query_id, rank, vec_id, score from ranked where rank <= 5
 """
 
-ORACLES: dict[str, str] = {"op1_exact_top_k": OP1_SQL}
+OP4_SQL = r"""
+with d as (
+    select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
+           case when length(coalesce(text, '')) > 0 then
+               greatest(0.25::double, 1::double - 2::double
+                   * (length(text) - length(translate(text, '%$#&*|!<>{}[]=_~^@+\/', ''))) / length(text))
+           else 1::double end as quality
+    from documents
+), keyed as (
+    select *, -ln((('0x' || substr(md5('7:' || coalesce(doc_id::varchar, '') || ':' || size), 1, 13))::bigint + 0.5::double)
+                  / 4503599627370496::double) / quality as sort_key
+    from d
+), sources as (
+    select source, sum(size)::bigint as source_size,
+           ((row_number() over (order by source nulls last) - 1) % 3 + 1)::double as weight
+    from d group by source
+), levels as (
+    select *, 3::double * source_size as cap_size,
+           ((sum(source_size) over ())::double
+            - coalesce(sum(3::double * source_size) over (
+                order by 3::double * source_size / weight, source nulls last
+                rows between unbounded preceding and 1 preceding), 0))
+           / sum(weight) over (
+                order by 3::double * source_size / weight, source nulls last
+                rows between current row and unbounded following) as level
+    from sources
+), targets as (
+    select source, source_size, least(cap_size, weight * max(level) over ()) as target from levels
+), placed as (
+    select k.doc_id, k.size, t.source_size, t.target,
+           case when t.source_size > 0 then least(3, floor(t.target / t.source_size)) else 0 end as epochs,
+           coalesce(sum(k.size) over (
+               partition by k.source order by k.sort_key, k.doc_id, k.size
+               rows between unbounded preceding and 1 preceding), 0) as before
+    from keyed k join targets t on k.source is not distinct from t.source
+)
+select doc_id, size, source_size, target,
+       (size * (epochs + case when epochs < 3 and before + size / 2::double <= target - epochs * source_size
+                              then 1 else 0 end))::bigint as taken
+from placed
+"""
+
+ORACLES: dict[str, str] = {"op1_exact_top_k": OP1_SQL, "op4_source_mix": OP4_SQL}

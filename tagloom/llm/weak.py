@@ -10,12 +10,12 @@ ABSTAIN = -1
 
 
 class LabelModel:
-    """Voters say 1, 0 or abstain; how far their answers can be trusted is learned by expectation-maximisation.
+    """Voters say 1, 0 or abstain; how they answer under either hidden label is learned by expectation-maximisation.
 
-    To abstain says nothing, as many voters only know one kind of case. A voter's answer v shifts the odds of the
-    hidden label by the odds of ``trust[v]``, the chance of label 1 where the voter said v, against the prior odds.
-    Voters that still agree once the label is known count less: their shift is divided by one plus the sum of their
-    positive residual correlations with the others, though never below what the strongest of them says alone.
+    ``rate[y, j, v]`` is how often voter j says v when the label is y. An answer shifts the odds of the label by the
+    ratio of its rates; to abstain shifts nothing, as many voters only know one kind of case. Voters that still
+    agree once the label is known count less: their shift is divided by one plus the sum of their positive residual
+    correlations with the others, though all together never count less than the strongest of them alone.
     """
 
     def __init__(self, prior: float, strength: float = 10.0):
@@ -23,17 +23,16 @@ class LabelModel:
         self.strength = strength  # of the first guess, in votes
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        base = np.log(self.prior / (1 - self.prior))
         for_one = np.zeros((2, len(votes)))  # sum of the discounted shifts, and the largest full one
         for_zero = np.zeros((2, len(votes)))
         for j in range(votes.shape[1]):
             for v in (0, 1):
-                shift = np.log(self.trust[v, j] / (1 - self.trust[v, j])) - base
+                shift = np.log(self.rate[1, j, v] / self.rate[0, j, v])
                 side = for_one if shift > 0 else for_zero
                 said = votes[:, j] == v
                 side[0, said] += self.share[j] * abs(shift)
                 side[1, said] = np.maximum(side[1, said], abs(shift))
-        score = base + for_one.max(axis=0) - for_zero.max(axis=0)
+        score = np.log(self.prior / (1 - self.prior)) + for_one.max(axis=0) - for_zero.max(axis=0)
         return 1 / (1 + np.exp(-np.clip(score, -30, 30)))
 
     def _correlations(self, votes: np.ndarray, weight: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -51,31 +50,35 @@ class LabelModel:
     def fit(self, votes: np.ndarray, weight: np.ndarray, rounds: int = 60, fixed_prior: bool = False) -> LabelModel:
         """``votes``: rows x voters of 1, 0, ABSTAIN; ``weight``: how many documents voted like the row.
 
-        At first a voter is believed four times out of five, or more if its answer is the usual one.
+        At first a voter's answer is taken to be eight times likelier under its own label.
         """
         m = votes.shape[1]
         self.share = np.ones(m)
         self.correlations = np.zeros((m, m))
-        odds = self.prior / (1 - self.prior)
-        first = (1 - max(0.8, 1 / (1 + odds / 4)), max(0.8, 4 * odds / (1 + 4 * odds)))
-        self.trust = np.tile(np.array(first)[:, None], (1, m))
+        each = np.stack([weight @ (votes == v) for v in (0, 1)], axis=1) + 1.0  # voters x answers
+        each /= weight.sum() + 2.0
+        odd = np.sqrt(8.0)
+        first = np.clip(np.stack([each * [odd, 1 / odd], each * [1 / odd, odd]]), 1e-6, 0.99)
+        self.rate = first
         for step in range(rounds):
             q = self.posterior(votes)
             if step >= 5:
                 self.correlations = self._correlations(votes, weight, q)
                 self.share = 1 / (1 + np.clip(self.correlations, 0, None).sum(axis=1))
-            for v in (0, 1):
-                said = votes == v
-                yes, all_ = (weight * q) @ said, weight @ said
-                self.trust[v] = np.clip((yes + self.strength * first[v]) / (all_ + self.strength), 1e-4, 1 - 1e-4)
+            new = np.empty_like(first)
+            for y in (0, 1):
+                w = weight * (q if y else 1 - q)
+                for v in (0, 1):
+                    new[y, :, v] = (w @ (votes == v) + self.strength * first[y, :, v]) / (w.sum() + self.strength)
+            self.rate = np.clip(new, 1e-6, 1.0)
             if not fixed_prior:
                 self.prior = float(np.clip((weight @ q) / weight.sum(), 0.02, 0.98))
         return self
 
-    def accuracies(self, votes: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    def accuracies(self) -> np.ndarray:
         """How often each voter is right when it does not abstain."""
-        zero, one = weight @ (votes == 0), weight @ (votes == 1)
-        return (zero * (1 - self.trust[0]) + one * self.trust[1]) / np.maximum(zero + one, 1e-9)
+        both = np.stack([(1 - self.prior) * self.rate[0], self.prior * self.rate[1]])
+        return (both[0, :, 0] + both[1, :, 1]) / both.sum(axis=(0, 2))
 
 
 def fit_linear(

@@ -141,8 +141,37 @@ def behaviour_features(
     item_type: str = VISIT_ITEM_TYPE,
 ) -> DataFrame:
     """Features of the users with (or without) a label: ``(user_id, c1_rk1..k, <set>_dur..., [label])``."""
+    profile = behaviour_profile(logs, items, dt_from, dt_to, k, sets, item_dt, page_id, item_type)
+    return profile_of_users(profile, users, labelled, label, treat_empty_as_missing)
+
+
+def behaviour_profile(
+    logs: DataFrame,
+    items: DataFrame,
+    dt_from: str | None = None,
+    dt_to: str | None = None,
+    k: int = TOP_CATEGORIES,
+    sets: Mapping[str, Sequence[int]] = DWELL_SETS,
+    item_dt: str | None = None,
+    page_id: str = VISIT_PAGE,
+    item_type: str = VISIT_ITEM_TYPE,
+) -> DataFrame:
+    """The features of all users with visits, whatever their label: ``(user_id, c1_rk1..k, <set>_dur...)``.
+
+    Training and prediction on the same days differ in the users only, so they can share a stored profile.
+    """
     visits = item_visits(logs, items, dt_from, dt_to, item_dt, page_id, item_type)
-    profile = category_profile(rank_categories(category_visits(visits)), k, sets)
+    return category_profile(rank_categories(category_visits(visits)), k, sets)
+
+
+def profile_of_users(
+    profile: DataFrame,
+    users: DataFrame,
+    labelled: bool = True,
+    label: str = "gender",
+    treat_empty_as_missing: bool = False,
+) -> DataFrame:
+    """The rows of a profile for the users with (or without) a label."""
     wanted = (
         labelled_users(users, label)
         if labelled

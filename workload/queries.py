@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tagloom.operators import bitmaps, export, features, labels, merge, model, tags
 from tagloom.plans import run_bitmaps, run_merge, run_tag_task
-from tagloom.session import scratch_dir
+from tagloom.session import scratch_dir, stored
 from tagloom.sources import catalog, tables
 from workload import roles, tagset
 from workload.roles import DAY, VIEW_PAGE
@@ -199,8 +199,8 @@ def bitmap_job(spark, sf_dir):
     meta = tagset.metadata(spark)
     run_bitmaps(spark, meta, DAY, db)
     table = run_bitmaps(spark, meta, DAY, db)
-    stored = tables.read_day(spark, table, DAY)
-    return stored.groupBy("dt", "value_type", "tag_code").agg(
+    members = tables.read_day(spark, table, DAY)
+    return members.groupBy("dt", "value_type", "tag_code").agg(
         F.count_distinct("tag_value").alias("n_values"), F.sum("n_users").alias("n_users")
     )
 
@@ -296,21 +296,27 @@ def label_report(spark, sf_dir):
     return model.evaluate(guessed, label="gender", prediction="guess")
 
 
-def _trained(spark, sf_dir):
-    data = _features(spark, sf_dir, True)
+def _profile(spark, sf_dir) -> DataFrame:
+    """The visitors' profiles, computed once for training, report and prediction."""
+    logs, items = roles.page_logs(spark, sf_dir), roles.items(spark, sf_dir)
+    return stored(features.behaviour_profile(logs, items, item_dt=DAY, page_id=VIEW_PAGE))
+
+
+def _trained(spark, sf_dir, profile: DataFrame | None = None):
+    data = features.profile_of_users(_profile(spark, sf_dir) if profile is None else profile, roles.users(spark, sf_dir))
     return model.train(data, "gender", features.feature_columns(), TREE, seed=7)
 
 
-def _reloaded(spark, sf_dir):
-    path = scratch_dir(spark)
-    model.save(_trained(spark, sf_dir)[0], path)
-    return model.load(path)
+def _predicted(spark, sf_dir) -> DataFrame:
+    """Users without a label, scored by the stored and reloaded model."""
+    profile, path = _profile(spark, sf_dir), scratch_dir(spark)
+    model.save(_trained(spark, sf_dir, profile)[0], path)
+    return model.predict(model.load(path), features.profile_of_users(profile, roles.users(spark, sf_dir), False))
 
 
 def model_predictions(spark, sf_dir):
     """Labels predicted by the stored and reloaded model for users without one."""
-    predicted = model.predict(_reloaded(spark, sf_dir), _features(spark, sf_dir, False))
-    return predicted.select("user_id", "prediction_col", "prediction_origin")
+    return _predicted(spark, sf_dir).select("user_id", "prediction_col", "prediction_origin")
 
 
 def model_report(spark, sf_dir):
@@ -368,8 +374,7 @@ def declared_label_tag(spark, sf_dir):
 
 
 def predicted_label_tag(spark, sf_dir):
-    predicted = model.predict(_reloaded(spark, sf_dir), _features(spark, sf_dir, False))
-    return labels.predicted_label_tag(predicted, roles.users(spark, sf_dir))
+    return labels.predicted_label_tag(_predicted(spark, sf_dir), roles.users(spark, sf_dir))
 
 
 QUERIES: dict[str, Query] = {

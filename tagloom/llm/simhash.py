@@ -80,14 +80,18 @@ def fingerprints(docs: DataFrame, words: int) -> DataFrame:
 def covering_masks(radius: int) -> list[int]:
     """Signed 64-bit masks such that any two fingerprints within the radius agree on one of them.
 
-    Bit i gets the non-zero vector ``i mod (2^(r+1) - 1) + 1`` of r + 1 binary places; the mask of a non-zero
-    vector v keeps the bits whose vector has odd overlap with v. The vectors of r differing bits never span all
-    r + 1 places, so some v has even overlap with each of them, and its mask keeps none of them.
+    Bit i gets a non-zero vector of r + 1 binary places; the mask of a non-zero vector v keeps the bits whose vector
+    has odd overlap with v. The vectors of r differing bits never span all r + 1 places, so some v has even overlap
+    with each of them, and its mask keeps none of them. Below radius 6 the bits take the vectors in turn. At radius 6
+    bit i has ``64 + i``, which is the first-order Reed-Muller code: one mask keeps all bits, the others 32 each.
     """
+    if not 0 <= radius <= 6:
+        raise ValueError("a 64-bit fingerprint has masks for a radius of 0 to 6")
     vectors = 2 ** (radius + 1) - 1
+    of_bit = [64 + i if radius == 6 else i % vectors + 1 for i in range(BITS)]
     masks = []
     for v in range(1, vectors + 1):
-        mask = sum(1 << i for i in range(BITS) if ((i % vectors + 1) & v).bit_count() % 2)
+        mask = sum(1 << i for i in range(BITS) if (of_bit[i] & v).bit_count() % 2)
         masks.append(mask - (1 << BITS) if mask >> (BITS - 1) else mask)
     return masks
 
@@ -116,8 +120,11 @@ def links(prints: DataFrame, radius: int) -> DataFrame:
     is one comparison. A larger one is cut to blocks of about BLOCK by a hash, each pair of blocks is compared in one
     step, and a block returns its spanning links, one for each fingerprint at most, instead of all pairs.
     """
-    masked = F.array(*[F.col("print").bitwiseAND(F.lit(mask)) for mask in covering_masks(radius)])
-    keyed = prints.select("print", F.posexplode(masked).alias("table", "key"))
+    masks = covering_masks(radius)
+    masked = F.array(*[F.col("print").bitwiseAND(F.lit(mask)) for mask in masks])
+    # A small table of fingerprints would be one task, and each becomes a row for each mask.
+    tasks = max(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), len(masks) // 2)
+    keyed = prints.repartition(tasks, "print").select("print", F.posexplode(masked).alias("table", "key"))
     buckets = keyed.groupBy("table", "key").agg(
         F.count("*").alias("n"), F.min("print").alias("a"), F.max("print").alias("b")
     )

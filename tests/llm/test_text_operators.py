@@ -50,6 +50,7 @@ def test_masks_cover_every_pair(radius):
 
     masks = covering_masks(radius)
     assert len(masks) == 2 ** (radius + 1) - 1
+    assert min((m % (1 << 64)).bit_count() for m in masks) >= 27
     rng = random.Random(1)
     for _ in range(3000):
         diff = sum(1 << i for i in rng.sample(range(64), rng.randrange(radius + 1)))

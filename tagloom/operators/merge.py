@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Collection, Mapping, Sequence
 from functools import reduce
 
@@ -9,6 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+# Tags whose cells share one of a user's maps, about: a lookup passes through its map.
+MAP_CODES = 64
+
+
 def tall_table(tags: Mapping[str, DataFrame]) -> DataFrame:
     """Union of tag frames as ``(uid, tag_value, tag_code)``; all values become text first."""
     if not tags:
@@ -47,16 +52,22 @@ def wide_table(
     single = set(columns) if one_value is True else {c.lower() for c in one_value or ()}
     # Empty text adds nothing to a cell; as NULL it falls together with the missing values.
     value = F.nullif(F.col("tag_value"), F.lit(""))
-    rows = tall.select("uid", F.when(value.isNotNull(), F.struct("tag_code", value.alias("cell"))).alias("entry"))
+    parts = -(-len(columns) // MAP_CODES)
+    part = F.crc32(F.col("tag_code").cast("binary")) % parts if parts > 1 else F.lit(0).cast("bigint")
+    entry = F.struct(part.alias("part"), "tag_code", value.alias("cell"))
+    rows = tall.select("uid", F.when(value.isNotNull(), entry).alias("entry"))
     entries = rows.repartition("uid").groupBy("uid").agg(F.collect_list("entry").alias("entries"))
-    # One map per user and a lookup per column: a pivot evaluates every column for every tall row.
-    users = entries.select("uid", _cell_map(F.col("entries"), single).alias("cells"))
-    cells = [f"coalesce(cells['{c}'], '') AS `{c}`" for c in columns]  # codes are checked identifiers
+    # A lookup per column in a small map: a pivot evaluates every column for every tall row.
+    every = F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))
+    maps = F.transform(every, lambda p: _cell_map(F.filter("entries", lambda e: e["part"] == p), single))
+    users = entries.select("uid", (maps if parts > 1 else F.array(_cell_map(F.col("entries"), single))).alias("maps"))
+    cells = [f"coalesce(maps[{zlib.crc32(c.encode()) % parts}]['{c}'], '') AS `{c}`" for c in columns]
     return users.selectExpr("uid", *cells)
 
 
 def _cell_map(entries: Column, single: set[str]) -> Column:
     """Cells by tag code. Only a user that has some tag twice pays for putting values together."""
+    plain = F.map_from_entries(F.transform(entries, lambda e: F.struct(e["tag_code"], e["cell"])))
     codes = entries["tag_code"]
     own = F.array_distinct(codes)
 
@@ -70,7 +81,7 @@ def _cell_map(entries: Column, single: set[str]) -> Column:
         kept = F.size(F.array_distinct(promised)) == F.size(promised)
         broken = F.raise_error(F.lit("a user has a tag of one_value more than once")).cast("map<string,string>")
         repeated = F.when(kept, repeated).otherwise(broken)
-    return F.when(F.size(own) == F.size(codes), F.map_from_entries(entries)).otherwise(repeated)
+    return F.when(F.size(own) == F.size(codes), plain).otherwise(repeated)
 
 
 def duplicate_users(tall: DataFrame) -> DataFrame:

@@ -134,3 +134,14 @@ def test_unpivot_of_pivot_keeps_the_joined_cells(spark, data):
 def test_decimal_text_keeps_scale(spark):
     frame = spark.createDataFrame([("1", Decimal("0.00")), ("2", Decimal("-3.10"))], "uid string, tag_value decimal(16,2)")
     assert rows(wide_table(tall_table({"A": frame}), ["A"])) == [("1", "0.00"), ("2", "-3.10")]
+
+
+def test_many_tags_lie_in_several_maps(spark):
+    codes = [f"tag_{i}" for i in range(300)]
+    data = [(str(u), str(i * u), c) for u in (1, 2) for i, c in enumerate(codes) if (i + u) % 3]
+    got = {r.uid: r.asDict() for r in wide_table(tall(spark, *data, ("2", "z", "tag_7")), codes, one_value=codes[:5]).collect()}
+    for u in (1, 2):
+        want = {c: str(i * u) if (i + u) % 3 else "" for i, c in enumerate(codes)}
+        if u == 2:
+            want["tag_7"] = "".join(sorted([want["tag_7"], "z"]))
+        assert got[str(u)] == {"uid": str(u), **want}

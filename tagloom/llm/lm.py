@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import bounded_batches, by_value, fold, stored
+from tagloom.llm.common import bounded_batches, by_value, fold, lean, stored
 
 PACK_BYTES = 8_000_000  # text that is tokenized together
 BUCKET_ITEMS = 400_000  # distinct words or pairs of all packs that are summed together, about
@@ -64,7 +64,7 @@ def packed(docs: DataFrame, folds: int, left_out: int) -> DataFrame:
             yield full()
 
     schema = "pack long, ids array<long>, held_out array<boolean>, lengths array<long>, texts binary"
-    return rows.mapInPandas(pack, schema)
+    return rows.mapInPandas(lean(pack), schema)
 
 
 class Pack:
@@ -146,7 +146,7 @@ def _sent(packs: DataFrame, buckets: int, bits: int) -> DataFrame:
                 rows = [(row["pack"], *part) for part in Pack(row, buckets, bits).sent()]
                 yield pd.DataFrame(rows, columns=["pack", "kind", "bucket", "n", "keys", "counts"])
 
-    return packs.mapInPandas(run, "pack long, kind int, bucket int, n long, keys binary, counts binary")
+    return packs.mapInPandas(lean(run), "pack long, kind int, bucket int, n long, keys binary, counts binary")
 
 
 def _summed(part: pd.DataFrame) -> pd.DataFrame:
@@ -197,7 +197,7 @@ def _counted(joined: DataFrame, buckets: int, bits: int) -> DataFrame:
                 )
 
     schema = "ids array<long>, held_out array<boolean>, n_tokens array<long>, end long, words binary, pairs binary"
-    return joined.mapInPandas(run, schema)
+    return joined.mapInPandas(lean(run), schema)
 
 
 def _columns(numbers: np.ndarray) -> bytes:
@@ -242,7 +242,7 @@ def _cells(counted: DataFrame, n_train: int) -> DataFrame:
                 cell, n = np.unique((_context(context) * PAIR_STEPS + a) * WORD_STEPS + b, return_counts=True)
                 yield pd.DataFrame({"cell": cell, "n": n})
 
-    return counted.mapInPandas(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    return counted.mapInPandas(lean(run), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
 
 
 def mixture_weights(cells: np.ndarray, counts: np.ndarray, distinct: int, rounds: int = 200) -> np.ndarray:
@@ -290,7 +290,7 @@ def _scored(counted: DataFrame, n_train: int, distinct: int, weights: np.ndarray
     schema = (
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
-    return counted.mapInPandas(run, schema)
+    return counted.mapInPandas(lean(run), schema)
 
 
 def interpolated_scores(docs: DataFrame, folds: int = 7, left_out: int = 2) -> DataFrame:

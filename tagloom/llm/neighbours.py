@@ -128,8 +128,8 @@ def nearest(
     vectors: DataFrame,
     is_query: Column,
     k: int = 20,
-    tables: int = 6,
-    probes: int = 12,
+    tables: int = 8,
+    probes: int = 16,
     seed: int = 3,
     id_col: str = "vec_id",
     vector_col: str = "embedding",

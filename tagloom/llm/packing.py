@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import bounded_batches, by_value, kept, rank_within, stored
+from tagloom.llm.common import bounded_batches, by_value, kept, lean, rank_within, stored
 
 CACHE_WORDS = 250_000
 LONGEST_CACHED = 64
@@ -93,7 +93,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, pattern: str, capacity: i
 
     bounded_batches(docs.sparkSession)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(cut, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(lean(cut), schema)
 
 
 def dominant_sets(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int]]:

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import bounded_batches, by_value, stored
+from tagloom.llm.common import bounded_batches, by_value, lean, stored
 from tagloom.llm.weak import ABSTAIN, LabelModel, fit_linear
 
 WIDTH = 1 << 12
@@ -132,7 +132,7 @@ def quality_scores(docs: DataFrame, threshold: float = 0.5, sample_rows: int = 2
             ]
             yield pd.DataFrame({"votes": votes, "active": active})
 
-    voted = stored(rows.select("text", pick.alias("pick")).mapInPandas(vote, "votes array<int>, active array<long>"))
+    voted = stored(rows.select("text", pick.alias("pick")).mapInPandas(lean(vote), "votes array<int>, active array<long>"))
     counts = voted.groupBy("votes").count().toPandas()  # at most 3 ** labellers rows
     sample = voted.where(F.col("active").isNotNull()).toPandas()
     if len(sample):
@@ -153,7 +153,7 @@ def quality_scores(docs: DataFrame, threshold: float = 0.5, sample_rows: int = 2
             out["keep"] = out["score"] >= threshold
             yield out
 
-    return rows.mapInPandas(score, "doc_id long, score double, predicted int, keep boolean")
+    return rows.mapInPandas(lean(score), "doc_id long, score double, predicted int, keep boolean")
 
 
 by_value(__name__)

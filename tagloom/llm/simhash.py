@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import bounded_batches, by_value, stored
+from tagloom.llm.common import bounded_batches, by_value, lean, stored
 from tagloom.llm.graph import components
 
 BITS = 64
@@ -74,7 +74,7 @@ def fingerprints(docs: DataFrame, words: int) -> DataFrame:
 
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInPandas(run, "doc_id long, text_hash long, print long")
+    return rows.mapInPandas(lean(run), "doc_id long, text_hash long, print long")
 
 
 def covering_masks(radius: int) -> list[int]:
@@ -156,7 +156,7 @@ def links(prints: DataFrame, radius: int) -> DataFrame:
             pairs = np.concatenate(found)
             yield pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    return two.union(blocks.mapInPandas(compare, "a long, b long")).distinct()
+    return two.union(blocks.mapInPandas(lean(compare), "a long, b long")).distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:

@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import bounded_batches, by_value, stored
+from tagloom.llm.common import bounded_batches, by_value, lean, stored
 
 GRAM = 64  # bytes of the first rank
 ROWS = 20_000  # blocks that a task holds before it hands them on
@@ -98,7 +98,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
                 }
             )
 
-    return _keys(docs).mapInPandas(pack, "id long, print long, packed binary")
+    return _keys(docs).mapInPandas(lean(pack), "id long, print long, packed binary")
 
 
 def _keys(docs: DataFrame) -> DataFrame:
@@ -136,7 +136,7 @@ def runs_of(docs: DataFrame, length: int) -> DataFrame:
                 )
 
     schema = "id long, print long, class long, span long, first long, n int, lead int"
-    return _keys(docs).where(F.octet_length("text") >= length).mapInPandas(run, schema)
+    return _keys(docs).where(F.octet_length("text") >= length).mapInPandas(lean(run), schema)
 
 
 def _blocks(texts: DataFrame, length: int, block: int) -> DataFrame:
@@ -181,7 +181,7 @@ def _blocks(texts: DataFrame, length: int, block: int) -> DataFrame:
     schema = (
         "id long, print long, class long, k int, core long, outer long, first long, n int, weight int, names array<long>"
     )
-    return texts.mapInPandas(run, schema)
+    return texts.mapInPandas(lean(run), schema)
 
 
 def _decided(rows: DataFrame, rank: list[str], whole: str) -> tuple[DataFrame, DataFrame]:
@@ -285,7 +285,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, block: int = 16) -> DataF
             yield frame
 
     texts = _keyed(docs).join(spans, ["id", "print"], "left").select("id", "packed", "spans")
-    return texts.mapInPandas(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return texts.mapInPandas(lean(cut), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def without_repeats(docs: DataFrame, length: int = 400, block: int = 16) -> DataFrame:

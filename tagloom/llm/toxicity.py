@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import bounded_batches, by_value, fold
+from tagloom.llm.common import bounded_batches, by_value, fold, lean
 from tagloom.llm.weak import ABSTAIN, LabelModel, fit_linear
 
 # Insults of the seed lexicon.
@@ -164,7 +164,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int, left_out: int,
             both = [evidence(t) for t in batch["text"]]
             yield pd.DataFrame({"active": [a.tolist() for a, _ in both], "votes": [v for _, v in both]})
 
-    seen = sample.mapInPandas(shown, "active array<long>, votes array<int>").toPandas()  # numbers, no texts
+    seen = sample.mapInPandas(lean(shown), "active array<long>, votes array<int>").toPandas()  # numbers, no texts
     if not len(seen):
         coef = np.zeros(evidence.width)
         coef[len(evidence.ratio) : len(evidence.ratio) + len(evidence.seeds)] = 6.0
@@ -205,7 +205,7 @@ def toxicity_scores(
 
     held = (fold(F.col("doc_id"), folds) == left_out).alias("held_out")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held, "text")
-    return rows.mapInPandas(score, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInPandas(lean(score), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def without_toxic(
@@ -224,7 +224,7 @@ def without_toxic(
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             yield batch.filter(pa.array([model.score(t) < threshold for t in texts], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(lean(keep), docs.schema)
 
 
 by_value(__name__)

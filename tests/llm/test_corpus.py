@@ -61,7 +61,7 @@ def test_mix_prefers_quality(spark):
     from tagloom.llm.mixing import mix
 
     rows = [(i, ("%%% ### " * 20) if i % 2 else ("good words " * 20), "a") for i in range(4000)]
-    rows += [(10_000 + i, "other words", f"b{i}") for i in range(5)]
+    rows += [(10_000 + i, "other words " * 20, "b") for i in range(1000)]
     got = mix(sourced(spark, rows), weights=(1, 30)).where("source = 'a'").collect()
     epoch = min(r.copies for r in got)
     good = sum(r.copies > epoch for r in got if r.doc_id % 2 == 0)

@@ -30,6 +30,7 @@ GROUPS = 8  # of mined patterns, by their first letters
 LEAST_DOCS, LEAST_SHARE, LEAST_G, MOST_MINED = 5, 0.8, 22.0, 4096
 LEAST_RATE = 0.004  # of the words, for mined patterns to count
 WORDS_KEPT = 100_000
+PATTERNS_HELD = 200_000  # by a task, before it hands its counts on
 _WORD = re.compile(r"[^\W\d_]+")
 _MASKED = re.compile(r"\b[^\W\d_][*@#$]{1,4}[^\W\d_]+\b")
 _ADDRESSED = re.compile(r"\b(?:you|du|vous|tu|usted)\b(?:'re| are| \w+)? ([^\W\d_]+)")
@@ -40,15 +41,24 @@ def word_patterns(word: str) -> list[str]:
     return [word + "$", *[word[:n] for n in PREFIXES if len(word) > n]]
 
 
-def _partial_counts(frames: Iterator[pd.DataFrame], wanted: frozenset[str] | None, label: int) -> pd.DataFrame:
+def _partial_counts(
+    frames: Iterator[pd.DataFrame], wanted: frozenset[str] | None, label: int
+) -> Iterator[pd.DataFrame]:
     found: Counter[str] = Counter()
+
+    def counted() -> pd.DataFrame:
+        patterns = pd.Series(list(found), dtype=object)
+        return pd.DataFrame({"pattern": patterns, "n": np.array(list(found.values()), dtype=np.int64)})
+
     for batch in frames:
         for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
             if toxic == label:
                 own = {p for w in set(_WORD.findall((text or "").lower())) for p in word_patterns(w)}
                 found.update(own if wanted is None else own & wanted)
-    patterns = pd.Series(list(found), dtype=object)
-    return pd.DataFrame({"pattern": patterns, "n": np.array(list(found.values()), dtype=np.int64)})
+            if len(found) > PATTERNS_HELD:
+                yield counted()
+                found.clear()
+    yield counted()
 
 
 def mined_patterns(sample: DataFrame, positives: int, negatives: int) -> dict[str, float]:
@@ -56,7 +66,7 @@ def mined_patterns(sample: DataFrame, positives: int, negatives: int) -> dict[st
     schema = "pattern string, n long"
 
     def count(wanted: frozenset[str] | None, label: int, least: int) -> dict[str, int]:
-        part = sample.mapInPandas(lambda frames: iter([_partial_counts(frames, wanted, label)]), schema)
+        part = sample.mapInPandas(lean(lambda frames: _partial_counts(frames, wanted, label)), schema)
         total = part.groupBy("pattern").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
         return {r["pattern"]: r["n"] for r in total.collect()}  # bounded by the sample
 

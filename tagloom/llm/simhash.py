@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -16,6 +17,7 @@ from tagloom.llm.graph import components
 BITS = 64
 CHUNK = 1 << 17  # shingles whose bits are counted at a time
 BLOCK = 1024  # fingerprints of a bucket compared at a time
+TABLES = 32  # masks whose buckets are made at a time
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -116,15 +118,22 @@ def _forest(prints: np.ndarray, radius: int) -> np.ndarray:
 def links(prints: DataFrame, radius: int) -> DataFrame:
     """Links ``(a, b)`` that connect all fingerprints within the radius of each other.
 
-    ``prints`` has distinct fingerprints ``print``. They fall into a bucket for each covering mask. A bucket of two
-    is one comparison. A larger one is cut to blocks of about BLOCK by a hash, each pair of blocks is compared in one
-    step, and a block returns its spanning links, one for each fingerprint at most, instead of all pairs.
+    ``prints`` has distinct fingerprints ``print``. They fall into a bucket for each covering mask, TABLES masks at a
+    time. A bucket of two is one comparison. A larger one is cut to blocks of about BLOCK by a hash, each pair of
+    blocks is compared in one step, and a block returns its spanning links, one for each fingerprint at most, instead
+    of all pairs.
     """
     masks = covering_masks(radius)
-    masked = F.array(*[F.col("print").bitwiseAND(F.lit(mask)) for mask in masks])
     # A small table of fingerprints would be one task, and each becomes a row for each mask.
-    tasks = max(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), len(masks) // 2)
-    keyed = prints.repartition(tasks, "print").select("print", F.posexplode(masked).alias("table", "key"))
+    tasks = max(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(len(masks), TABLES))
+    dealt = prints.repartition(tasks, "print")
+    parts = [masks[at : at + TABLES] for at in range(0, len(masks), TABLES)]
+    return reduce(DataFrame.union, [stored(_table_links(dealt, part, radius)) for part in parts]).distinct()
+
+
+def _table_links(prints: DataFrame, masks: list[int], radius: int) -> DataFrame:
+    masked = F.array(*[F.col("print").bitwiseAND(F.lit(mask)) for mask in masks])
+    keyed = prints.select("print", F.posexplode(masked).alias("table", "key"))
     buckets = keyed.groupBy("table", "key").agg(
         F.count("*").alias("n"), F.min("print").alias("a"), F.max("print").alias("b")
     )
@@ -156,7 +165,7 @@ def links(prints: DataFrame, radius: int) -> DataFrame:
             pairs = np.concatenate(found)
             yield pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    return two.union(blocks.mapInPandas(lean(compare), "a long, b long")).distinct()
+    return two.union(blocks.mapInPandas(lean(compare), "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:

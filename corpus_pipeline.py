@@ -6,9 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tagloom.llm.common import stored, table
+from tagloom.llm.copies import without_near_copies
 from tagloom.llm.mixing import mixed
 from tagloom.llm.packing import pack_documents
-from tagloom.llm.simhash import one_of_each
 from tagloom.llm.suffix import without_repeats
 from tagloom.llm.toxicity import without_toxic
 
@@ -19,11 +19,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class stays: SimHash of five-word shingles, linked within 6 of 64 bits.
-
-    The angle of 6 bits stands for a similarity of the shingles above 0.9, so every link is above 0.8.
-    """
-    return one_of_each(docs, words=5, radius=6)
+    """One document of each class stays: sets of five-word shingles, linked by a Jaccard similarity of 0.8 or more."""
+    return without_near_copies(docs, words=5, similarity=0.8)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

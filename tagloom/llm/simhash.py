@@ -196,7 +196,13 @@ def one_of_each(docs: DataFrame, words: int = 5, radius: int = 6) -> DataFrame:
 
     A row without an id stays only where its class has no id; of equal rows one stays.
     """
-    classes = near_duplicates(docs, words, radius).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "root")
+    classes = near_duplicates(docs, words, radius)
+    return first_of_each(docs, classes.select("doc_id", "text_hash", "root"))
+
+
+def first_of_each(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that come first in their class; ``classes`` has doc_id, text_hash and root."""
+    classes = classes.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "root")
     first = F.min(F.struct(F.col("_id").isNull().alias("missing"), "_id", "_hash")).alias("first")
     kept = stored(classes.groupBy("root").agg(first).select("first._id", "first._hash"))
     rows = docs.withColumn("_own", F.col("doc_id").cast("long")).withColumn("_text", F.xxhash64("text"))

@@ -28,7 +28,8 @@ INSULTS = frozenset(
 PREFIXES = (4, 5, 6, 7, 8)
 GROUPS = 8  # of mined patterns, by their first letters
 LEAST_DOCS, LEAST_SHARE, LEAST_G, MOST_MINED = 5, 0.8, 22.0, 4096
-LEAST_RATE = 0.004  # of the words, for mined patterns to count
+LEAST_RATE = 0.004  # of the words of a text or window, for mined patterns to count
+WINDOW = 500  # words that are looked at together
 WORDS_KEPT = 100_000
 PATTERNS_HELD = 200_000  # by a task, before it hands its counts on
 _WORD = re.compile(r"[^\W\d_]+")
@@ -110,15 +111,43 @@ class Evidence:
                 self.words[word] = found
         return found
 
+    def _strongest(self, words: list[str]) -> list[int]:
+        """Mined features of the window of WINDOW words with the greatest strength, of those with enough hits.
+
+        Every window of the text is weighed, so what stands around a passage does not matter, nor how much of it.
+        """
+        found = [(i, own) for i, w in enumerate(words) if (own := [f for f in self._of(w) if f < len(self.ratio)])]
+        at = np.array([i for i, _ in found])
+        ends = np.searchsorted(at, at + WINDOW)  # a window begins at a hit
+        n = ends - np.arange(len(at))
+        enough = n >= LEAST_RATE * min(len(words), WINDOW)
+        if not enough.any():
+            return []
+        best = np.zeros((GROUPS, len(at)))
+        for i, (_, own) in enumerate(found):
+            for f in own:
+                best[self.group[f], i] = max(best[self.group[f], i], self.ratio[f])
+        strength = np.zeros(len(at))
+        width, table = 1, best  # maxima of ``width`` hits from each on
+        while width <= n.max():
+            now = np.flatnonzero((n >= width) & (n < 2 * width))
+            strength[now] = np.maximum(table[:, now], table[:, ends[now] - width]).sum(axis=0)
+            table = np.maximum(table[:, : max(0, table.shape[1] - width)], table[:, width:])
+            width *= 2
+        i = int(np.argmax(np.where(enough, strength, -1.0)))
+        return sorted({f for _, own in found[i : ends[i]] for f in own})
+
     def __call__(self, text: str | None) -> tuple[np.ndarray, list[int]]:
         lowered = (text or "").lower()
         words = _WORD.findall(lowered)
         active = {f for word in set(words) for f in self._of(word)}
         mined = [f for f in active if f < len(self.ratio)]
-        hits = sum(any(f < len(self.ratio) for f in self._of(w)) for w in words) if mined else 0
-        if hits < LEAST_RATE * len(words):  # a long text meets some pattern by chance
+        met = bool(mined)
+        hits = sum(any(f < len(self.ratio) for f in self._of(w)) for w in words) if met else 0
+        if hits < LEAST_RATE * len(words):  # a long text meets some pattern by chance: its strongest window speaks for it
             active.difference_update(mined)
-            mined = []
+            mined = self._strongest(words) if met else []
+            active.update(mined)
         seeds = sum(w in INSULTS for w in words) if any(f >= len(self.ratio) for f in active) else 0
         groups = {self.group[f] for f in mined}
         # patterns that begin alike are one piece of evidence
@@ -131,10 +160,10 @@ class Evidence:
             1 if seeds else ABSTAIN,
             1 if seeds > 1 else ABSTAIN,
             1 if seeds >= max(1, 0.005 * len(words)) else ABSTAIN,
-            1 if strength >= 2.5 else (ABSTAIN if strength else 0),
+            1 if strength >= 2.5 else (ABSTAIN if met else 0),
             1 if _MASKED.search(lowered) else ABSTAIN,
             1 if aimed else ABSTAIN,
-            ABSTAIN if active else 0,
+            ABSTAIN if active or met else 0,
             *[1 if g in groups else ABSTAIN for g in range(GROUPS)],
         ]
         first = len(self.ratio) + len(self.seeds)
@@ -199,7 +228,9 @@ def toxicity_scores(
 
     ``docs`` needs doc_id and text, ``labels`` doc_id and toxic. Voters are a seed lexicon, groups of patterns mined
     from the labelled sample, and patterns of use; their accuracies and correlations are estimated from overlaps, and
-    a linear classifier over the same evidence learns the posterior. Without labelled rows the seed lexicon decides.
+    a linear classifier over the same evidence learns the posterior. A text whose mined
+    patterns are rarer than LEAST_RATE counts by its strongest window of WINDOW words, wherever it stands; where no
+    window meets that rate, the pattern voter abstains. Without labelled rows the seed lexicon decides.
 
     NULL and empty texts show no evidence and are scored for that; rows with a NULL id are scored and belong to
     the fold of an empty id; repeated rows are scored each; an empty table gives no rows.

@@ -1,0 +1,68 @@
+"""A toxic passage counts however long the text around it is."""
+
+import random
+
+import pytest
+from test_text_operators import table
+
+WORDS = [a + b + c for a in ("ba", "lo", "mi", "ter", "su", "ka") for b in ("na", "ri", "do", "pel") for c in ("m", "to", "s", "ra")]
+BAD = ["grunzel", "hobvark", "quizzot", "yubblek"]
+
+
+def clean(rng, n):
+    return [rng.choice(WORDS) for _ in range(n)]
+
+
+@pytest.mark.parametrize("size", [200, 1_000, 5_000, 20_000])
+def test_evidence_does_not_fade_with_length(size):
+    from tagloom.llm.toxicity import ABSTAIN, Evidence
+
+    evidence = Evidence({w + "$": 3.0 for w in BAD})
+    words = clean(random.Random(size), size)
+    for at in (0, size // 2, size - 3):
+        active, votes = evidence(" ".join([*words[:at], *BAD[:3], *words[at:]]))
+        assert {0, 1, 2} <= set(active.tolist()) and votes[3] == 1
+    _, votes = evidence(" ".join([*words, BAD[0]]))
+    assert votes[3] != 0 and votes[6] == ABSTAIN
+    active, votes = evidence(" ".join(words))
+    assert votes[3] == 0 and votes[6] == 0
+
+
+def test_strongest_window_equals_all_windows():
+    from tagloom.llm import toxicity
+
+    rng = random.Random(3)
+    evidence = toxicity.Evidence({w + "$": rng.uniform(0.5, 4) for w in WORDS[:12]})
+
+    def strength(features):
+        best = {}
+        for f in features:
+            best[evidence.group[f]] = max(best.get(evidence.group[f], 0), evidence.ratio[f])
+        return sum(best.values())
+
+    for n in (3, 400, 700, 2500):
+        words = [rng.choice(WORDS[:12]) if rng.random() < 0.02 else "x" for _ in range(n)]
+        want = 0.0
+        for i in range(n):
+            window = [evidence._of(w) for w in words[i : i + toxicity.WINDOW]]
+            if sum(map(bool, window)) >= toxicity.LEAST_RATE * min(n, toxicity.WINDOW):
+                want = max(want, strength({f for own in window for f in own}))
+        assert abs(strength(evidence._strongest(words) if any(w != "x" for w in words) else []) - want) < 1e-9
+
+
+def test_toxic_passage_in_a_long_text_leaves(spark):
+    from tagloom.llm.toxicity import toxicity_scores, without_toxic
+
+    rng = random.Random(7)
+    rows = [(i, " ".join(clean(rng, rng.randrange(30, 300)))) for i in range(300)]
+    for i in range(0, 300, 4):
+        words = rows[i][1].split()
+        rows[i] = (i, " ".join([*words[:10], *rng.sample(BAD, 3), *words[10:]]))
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(300)], "doc_id long, toxic int")
+    long = clean(rng, 20_000)
+    rows += [(1000, " ".join(long)), (1001, " ".join([*long[:9_000], *BAD[:3], *long[9_000:]]))]
+    docs = table(spark, rows)
+    got = {r.doc_id: r.predicted for r in toxicity_scores(docs, labels).collect()}
+    assert (got[1000], got[1001]) == (0, 1)
+    kept = {r.doc_id for r in without_toxic(docs, labels).collect()}
+    assert 1000 in kept and 1001 not in kept

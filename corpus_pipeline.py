@@ -24,8 +24,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts lose every string of 400 bytes that also starts elsewhere."""
-    return without_repeats(docs, length=400)
+    """Texts lose every string of 400 bytes and every run of 50 words that also starts elsewhere."""
+    return without_repeats(docs, length=400, words=50)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

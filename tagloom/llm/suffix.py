@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +17,9 @@ from tagloom.llm.common import bounded_batches, by_value, lean, stored
 GRAM = 64  # bytes of the first rank
 ROWS = 20_000  # blocks that a task holds before it hands them on
 PIECE = 1 << 19  # window starts of a text that are looked at together
+CODE = 6  # letters that stand for a word
+_LETTERS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
+_WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _LOW = np.uint64((1 << 20) - 1)
@@ -288,29 +293,83 @@ def remove_repeats(docs: DataFrame, length: int = 400, block: int = 16) -> DataF
     return texts.mapInPandas(lean(cut), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
-def without_repeats(docs: DataFrame, length: int = 400, block: int = 16) -> DataFrame:
+def coded(text: str) -> str:
+    """CODE letters for each word of the text: equal words have equal letters, whatever blanks are between them."""
+    words = text.encode("utf-8", "surrogatepass").split()
+    digest = xxhash.xxh64_intdigest
+    names = np.fromiter((digest(w, 7) for w in words), dtype=np.uint64, count=len(words))
+    places = np.arange(CODE, dtype=np.uint64) * np.uint64(6)
+    return _LETTERS[((names[:, None] >> places) & np.uint64(63)).astype(np.intp)].tobytes().decode()
+
+
+def _word_spans(docs: DataFrame, words: int, block: int) -> DataFrame:
+    """``id, spans``: runs of ``words`` words that also start elsewhere, in letters of the coded text.
+
+    The id is the print of ``_keys``. Two runs are taken for each other only if all words but one are equal and that
+    one's letters coincide, with a probability of 2^-36.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"doc_id": batch["print"], "text": [coded(t) for t in batch["text"]]})
+
+    rows = _keys(docs).where(F.octet_length("text") >= 2 * words - 1).select("print", "text")
+    codes = stored(rows.mapInPandas(lean(run), "doc_id long, text string").where(F.length("text") >= CODE * words))
+    return _spans(codes, CODE * words, block).select("id", "spans")
+
+
+def _gone_words(data: bytes, spans, words: int) -> np.ndarray:
+    """Which bytes the repeated words and the blanks after them cover."""
+    starts = np.array([m.start() for m in _WORD.finditer(data)])
+    first = np.array([x["first"] for x in spans])
+    last = (first + np.array([x["n"] for x in spans]) - 1) // CODE
+    first = -(-first // CODE)
+    whole = first <= last  # windows that start with a word
+    step = np.zeros(len(starts) + 1, dtype=np.int64)
+    np.add.at(step, first[whole], 1)
+    np.add.at(step, last[whole] + words, -1)
+    edges = np.append(starts, len(data))
+    edges[0] = 0
+    return np.repeat(np.cumsum(step[:-1]) > 0, np.diff(edges))
+
+
+def without_repeats(docs: DataFrame, length: int = 400, block: int = 16, words: int | None = None) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose texts have lost repeated strings.
 
+    With ``words`` they also lose every run of that many words that starts elsewhere too, however short its words are
+    and whatever blanks stand between them, with the blanks after its words.
+
     ``n_chars``, where it is there, follows the text; a character that is cut inside goes as a whole. A text of which
     nothing is left leaves the table.
     """
     spans = _spans(docs, length, block).select(F.col("id").alias("_id"), F.col("print").alias("_print"), F.col("spans").alias("_spans"))
 
     @F.pandas_udf("string")
-    def cut(texts: pd.Series, lists: pd.Series) -> pd.Series:
+    def cut(texts: pd.Series, lists: pd.Series, runs: pd.Series) -> pd.Series:
         out = []
-        for text, own in zip(texts, lists, strict=True):
-            data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-            out.append(data[~_gone(len(data), own, length)].tobytes().decode("utf-8", "ignore"))
+        for text, own, own_runs in zip(texts, lists, runs, strict=True):
+            data = text.encode("utf-8", "surrogatepass")
+            gone = np.zeros(len(data), dtype=bool)
+            if own is not None:
+                gone |= _gone(len(data), own, length)
+            if own_runs is not None:
+                gone |= _gone_words(data, own_runs, words)
+            out.append(np.frombuffer(data, np.uint8)[~gone].tobytes().decode("utf-8", "ignore"))
         return pd.Series(out, dtype=object)
 
     number = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     keyed = docs.withColumn("_id", number).withColumn("_print", F.xxhash64("doc_id", "text"))
-    joined = stored(keyed.join(spans, ["_id", "_print"], "left"))
-    touched = joined.where(F.col("_spans").isNotNull()).withColumn("text", cut("text", "_spans")).where(F.col("text") != "")
+    joined = keyed.join(spans, ["_id", "_print"], "left")
+    if words is None:
+        joined = stored(joined.withColumn("_runs", F.lit(None).cast(spans.schema["_spans"].dataType)))
+    else:
+        runs = _word_spans(docs, words, block).select(F.col("id").alias("_print"), F.col("spans").alias("_runs"))
+        joined = stored(joined.join(runs, "_print", "left"))
+    some = F.col("_spans").isNotNull() | F.col("_runs").isNotNull()
+    touched = joined.where(some).withColumn("text", cut("text", "_spans", "_runs")).where(F.col("text") != "")
     if "n_chars" in docs.columns:
         touched = touched.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return joined.where(F.col("_spans").isNull()).select(*docs.columns).union(touched.select(*docs.columns))
+    return joined.where(~some).select(*docs.columns).union(touched.select(*docs.columns))
 
 
 by_value(__name__)

@@ -1,0 +1,53 @@
+"""Repeated runs of words through the pipeline's stage."""
+
+import random
+from collections import Counter
+
+from test_text_operators import ROWS, table
+
+
+def brute_words(rows, length, words):
+    """The words that stay in each text: neither 400-byte strings nor runs of words that start elsewhere too."""
+    data = [(d, (t or "").encode()) for d, t in rows]
+    strings = Counter(b[i : i + length] for _, b in data for i in range(len(b) - length + 1))
+    split = [b.split() for _, b in data]
+    runs = Counter(tuple(w[i : i + words]) for w in split for i in range(len(w) - words + 1))
+    out = Counter()
+    for (d, b), w in zip(data, split, strict=True):
+        gone = bytearray(len(b))
+        for i in range(len(b) - length + 1):
+            if strings[b[i : i + length]] > 1:
+                gone[i : i + length] = b"\x01" * length
+        ends, at = [], 0
+        for word in w:
+            at = b.index(word, at) + len(word)
+            ends.append(at)
+        for i in range(len(w) - words + 1):
+            if runs[tuple(w[i : i + words])] > 1:
+                low = ends[i] - len(w[i])
+                gone[low : ends[i + words - 1]] = b"\x01" * (ends[i + words - 1] - low)
+        kept = bytes(c for c, g in zip(b, gone, strict=True) if not g)
+        out[d, b"".join(kept.decode("utf-8", "ignore").encode().split())] += 1
+    return out
+
+
+def test_words_equal_all_runs(spark):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    passages = [[word() for _ in range(51)], ["a", "b", "c", "d", "e"] * 11, [word() for _ in range(49)]]
+    passages[1] = [rng.choice("abcdefghijklmn") for _ in range(51)]
+    rows = [(d, t) for d, t in ROWS if d is not None]
+    for i in range(24):
+        own = lambda: [word() for _ in range(rng.randrange(5, 40))]
+        blank = rng.choice([" ", "\n", "  "])
+        rows.append((2000 + i, " ".join([*own(), blank.join(passages[i % 3]), *own()])))
+    rows += [(3000, " ".join(passages[0])), (3001, "\n" + " ".join(passages[0]) + "\n")]
+    out = corpus_pipeline.repeated_strings(spark, table(spark, rows), "").collect()
+    got = Counter((r.doc_id, b"".join((r.text or "").encode().split())) for r in out)
+    want = brute_words(rows, 400, 50)
+    assert {k: n for k, n in got.items() if k[1]} == {k: n for k, n in want.items() if k[1]}
+    short = {r.doc_id: r.text for r in out}
+    assert 3000 not in short and 3001 not in short
+    assert " ".join(passages[0]) not in short[2000] and passages[2][20] in short[2002]

@@ -34,13 +34,3 @@ def database(spark, tmp_path):
     name = f"test_{uuid.uuid4().hex}"
     spark.sql(f"CREATE DATABASE {name} LOCATION '{tmp_path / name}'")
     return name
-
-
-def rows(df):
-    """All rows as sorted plain tuples; NULL sorts first."""
-    return sorted((tuple(r) for r in df.collect()), key=lambda t: [(v is not None, str(v)) for v in t])
-
-
-def plan_of(df) -> str:
-    """The executed physical plan as text."""
-    return df._jdf.queryExecution().executedPlan().toString()

@@ -1,5 +1,5 @@
 import pytest
-from conftest import plan_of, rows
+from frames import plan_of, rows
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F

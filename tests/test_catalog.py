@@ -1,5 +1,5 @@
 import pytest
-from conftest import rows
+from frames import rows
 
 from tagloom.sources import catalog
 

@@ -1,5 +1,5 @@
 import pytest
-from conftest import plan_of, rows
+from frames import plan_of, rows
 
 from tagloom.operators import features
 

@@ -2,7 +2,7 @@
 
 import pytest
 from compare import connect, difference
-from conftest import plan_of
+from frames import plan_of
 
 import __spark_entry__ as contract
 from workload.oracles import ORACLES

@@ -1,7 +1,7 @@
 from decimal import Decimal
 
 import pytest
-from conftest import rows
+from frames import rows
 
 from tagloom.functions import check_day, day_suffix
 from tagloom.sources import tables

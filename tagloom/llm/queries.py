@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.llm.common import table
+from tagloom.llm.licenses import license_sql
 
 
 def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +74,28 @@ def op10_interpolated_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interpolated_scores(table(spark, sf_dir, "documents"), folds=7, left_out=2)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tagloom.llm.negatives import hard_negatives
+
+    turned = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label_col=turned)
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tagloom.llm.licenses import license_scan
+
+    return license_scan(table(spark, sf_dir, "documents")).drop("places")
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tagloom.llm.alignment import align_tokenizers
+
+    files = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return align_tokenizers(table(spark, sf_dir, "documents"), *files)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -90,6 +113,9 @@ QUERIES = {
     "op8_packed_sequences": op8_packed_sequences,
     "op9_repeated_strings": op9_repeated_strings,
     "op10_interpolated_scores": op10_interpolated_scores,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_license_scan": op12_license_scan,
+    "op13_token_alignment": op13_token_alignment,
     "pipeline": pipeline,
 }
 
@@ -150,4 +176,34 @@ select doc_id, size, source_size, target,
 from placed
 """
 
-ORACLES: dict[str, str] = {"op1_exact_top_k": OP1_SQL, "op4_source_mix": OP4_SQL}
+OP11_SQL = """
+with v as (
+    select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+           list_transform(embedding, lambda x: floor(256 * x::double)) as ints
+    from embeddings
+    where vec_id is not null and label is not null and embedding is not null
+      and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as (
+    select a.vec_id as anchor_id, c.vec_id, a.label = c.label as same, list_inner_product(a.ints, c.ints)::bigint as score
+    from v a join v c on a.vec_id % 100 = 0 and c.vec_id <> a.vec_id
+), positives as (
+    select anchor_id, vec_id as positive_id, score as positive_score,
+           row_number() over (partition by anchor_id order by score desc, vec_id) as turn
+    from scored where same
+), windows as (
+    select p.anchor_id, positive_id, positive_score, s.vec_id as negative_id, s.score as negative_score,
+           row_number() over (partition by p.anchor_id, positive_id order by s.score desc, s.vec_id)::integer as rank
+    from positives p join scored s
+      on p.anchor_id = s.anchor_id and not s.same
+         and 30 * positive_score <= 100 * s.score and 100 * s.score <= 90 * positive_score
+    where turn <= 5
+)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from windows where rank <= 10
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_exact_top_k": OP1_SQL,
+    "op4_source_mix": OP4_SQL,
+    "op11_hard_negatives": OP11_SQL,
+    "op12_license_scan": license_sql(),
+}

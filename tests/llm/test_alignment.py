@@ -1,5 +1,6 @@
 """Alignment of two tokenizers against plain loops over their tokens."""
 
+import bisect
 import hashlib
 from collections import Counter, defaultdict
 
@@ -48,13 +49,17 @@ def plain(rows):
                 at += len(x)
                 own.append((at, i))
             ends.append(own)
-        links = [(i, j) for e, i in ends[0] for f, j in ends[1] if e == f] if len(a) < 400 else [
-            (dict(ends[0])[e], dict(ends[1])[e]) for e in sorted(set(dict(ends[0])) & set(dict(ends[1])))
-        ]
-        groups, last = [], 0
-        for cut in sorted({e for e, _ in ends[0]} & {e for e, _ in ends[1]}):
-            groups.append("|".join(",".join(str(i) for e, i in own if last < e <= cut) for own in ends))
-            last = cut
+        by_end = [defaultdict(list), defaultdict(list)]
+        for own, at in zip(ends, by_end, strict=True):
+            for e, i in own:
+                at[e].append(i)
+        cuts = sorted(set(by_end[0]) & set(by_end[1]))
+        links = [(i, j) for e in cuts for i in by_end[0][e] for j in by_end[1][e]]
+        parts = [[[] for _ in cuts] for _ in ends]
+        for own, part in zip(ends, parts, strict=True):
+            for e, i in own:
+                part[bisect.bisect_left(cuts, e)].append(str(i))
+        groups = [f"{','.join(x)}|{','.join(y)}" for x, y in zip(*parts, strict=True)]
         count.update(links)
         seen.append((d, len(a), len(b), len(groups), links, hashlib.sha256(";".join(groups).encode()).hexdigest() if a else ""))
     best = defaultdict(int)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 import re
 from collections.abc import Iterator
 
@@ -17,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.llm.common import bounded_batches, by_value, kept, lean, stored
+from tagloom.llm.packing import WordTokenizer
 
 CHUNK_BYTES = 1_000_000  # text that is tokenized together
 PACK_BYTES = 8_000_000  # text whose pairs are sent together
@@ -34,12 +34,9 @@ class Aligner:
     """Both tokenizers, and the bytes of each id."""
 
     def __init__(self, byte_level: str, pieces: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(byte_level)
-        self.a.encode_special_tokens = True  # their strings in a text are text
+        self.a = WordTokenizer(byte_level, plain=True)
         letters = _letters_of_bytes()
         with open(byte_level, encoding="utf-8") as file:
             spec = json.load(file)
@@ -58,10 +55,15 @@ class Aligner:
 
     def ids(self, texts: list[str]) -> tuple[pa.LargeListArray, pa.LargeListArray]:
         """The ids of each text: A reads a space before it, B adds one itself."""
-        a = [e.ids for e in self.a.encode_batch([" " + t for t in texts], add_special_tokens=False)]
-        b = self.b.encode(texts, num_threads=1)
-        kind = pa.large_list(pa.int64())
-        return pa.array(a, kind), pa.array(b, kind)
+        a = [np.frombuffer(self.a(" " + t), "<u4") for t in texts]
+        b = [np.array(ids, dtype=np.int64) for ids in self.b.encode(texts, num_threads=1)]
+        return _listed(a), _listed(b)
+
+
+def _listed(rows: list[np.ndarray]) -> pa.LargeListArray:
+    offsets = np.append(0, np.cumsum([len(r) for r in rows])).astype(np.int64)
+    flat = np.concatenate(rows).astype(np.int64) if rows else np.zeros(0, np.int64)
+    return pa.LargeListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 
 def _same_bytes(ids: pa.LargeListArray, table: pa.Array, texts: list[bytes]) -> np.ndarray:
@@ -93,6 +95,12 @@ def _joined_ids(tokens: pa.Table, name: str, cut: np.ndarray) -> pa.Array:
     return pc.binary_join(pa.LargeListArray.from_arrays(offsets, digits), pa.scalar(",", pa.large_string()))
 
 
+def _among(keys: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Which of the rising keys are among the other rising keys."""
+    at = np.minimum(np.searchsorted(others, keys), max(0, len(others) - 1))
+    return others[at] == keys if len(others) else np.zeros(len(keys), dtype=bool)
+
+
 def aligned(aligner: Aligner, texts: list[bytes | None]) -> tuple[pa.Table, pa.Table]:
     """Per text ``n_a, n_b, n_groups, n_links, groups``; and ``doc, pair, n``: how many links of a text hold a pair."""
     n = len(texts)
@@ -116,9 +124,8 @@ def aligned(aligner: Aligner, texts: list[bytes | None]) -> tuple[pa.Table, pa.T
     # Both ends grow along a document, and a document's last ones are the same: doc and end make one rising key.
     span = int(pc.max(a["end"]).as_py() or 0) + 1 if len(a) else 1
     key = lambda t: pc.add(pc.multiply(t["doc"], span), t["end"])
-    a_key, b_key = key(a), key(b)
-    a_cut = pc.is_in(a_key, value_set=b_key.combine_chunks()).to_numpy()
-    b_cut = pc.is_in(b_key, value_set=a_key.combine_chunks()).to_numpy()
+    a_key, b_key = key(a).to_numpy(), key(b).to_numpy()
+    a_cut, b_cut = _among(a_key, b_key), _among(b_key, a_key)
     bar = pa.scalar("|", pa.large_string())
     groups = pc.binary_join_element_wise(_joined_ids(a, "a", a_cut), _joined_ids(b, "b", b_cut), bar)
     n_groups = np.bincount(a["doc"].to_numpy()[a_cut], minlength=len(own))

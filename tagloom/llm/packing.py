@@ -28,10 +28,11 @@ class WordTokenizer:
 
     A byte-level vocabulary never joins across a single blank between two characters that are not white space, so a
     text may be cut there and the ids of a word remembered. The memory holds CACHE_WORDS words and then starts anew.
-    A vocabulary comes as a tokenizer file or as a rank file with the pattern that splits text before merges.
+    A vocabulary comes as a tokenizer file or as a rank file with the pattern that splits text before merges. The
+    special tokens of a tokenizer file are found in a text unless it is ``plain``; a rank file has none.
     """
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str = "", plain: bool = False):
         self.words: dict[str, bytes] = {}
         if path.endswith(".tiktoken"):
             import tiktoken
@@ -45,7 +46,7 @@ class WordTokenizer:
             from tokenizers import Tokenizer
 
             whole = Tokenizer.from_file(path)
-            whole.encode_special_tokens = True  # their strings in a text are ordinary text
+            whole.encode_special_tokens = plain
             self._ids = lambda pieces: (e.ids for e in whole.encode_batch(pieces, add_special_tokens=False))
 
     def _encoded(self, pieces: list[str]) -> list[bytes]:

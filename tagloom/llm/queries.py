@@ -56,9 +56,8 @@ def op8_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from tagloom.llm.packing import pack_documents
 
-    # The same vocabulary as byte_bpe_50k.json; tests compare the ids of both.
-    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return pack_documents(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    file = public_tokenizers.path("byte_bpe_50k.json")
+    return pack_documents(table(spark, sf_dir, "documents"), file, public_tokenizers.PATTERN)
 
 
 def op9_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -177,10 +177,13 @@ def test_packed_ids_are_those_of_the_tokenizer(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     rows = [(r.doc_id, r.text) for r in docs[:250]]
     rows += [(5000, "<|endoftext|> it's  two \n\n spaces\t x "), (5001, None), (5002, ""), (5003, "z" * 30_000)]
-    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    whole.encode_special_tokens = True
-    ids = {d: np.array([*whole.encode(t or "", add_special_tokens=False).ids, 0], dtype="<u4") for d, t in rows}
-    for path, capacity in ((RANKS, 2048), (RANKS, 50), (public_tokenizers.path("byte_bpe_50k.json"), 2048)):
+    rows += [(5004, "x<|endoftext|>y  <|endoftext|>\n<|endoftext|> z <|endoftext|>"), (5005, "<|endoftext|>" * 3)]
+    file = public_tokenizers.path("byte_bpe_50k.json")
+    whole = Tokenizer.from_file(file)
+    for path, capacity in ((file, 2048), (file, 50), (RANKS, 2048)):
+        whole.encode_special_tokens = path == RANKS  # a rank file has no special tokens
+        ids = {d: np.array([*whole.encode(t or "", add_special_tokens=False).ids, 0], dtype="<u4") for d, t in rows}
+        assert (50256 in ids[5004]) == (path == file)
         out = pack_documents(table(spark, rows), path, public_tokenizers.PATTERN, capacity).collect()
         pieces, used = defaultdict(list), defaultdict(list)
         for r in out:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 
 from tagloom import plans
+from tagloom.functions.packing import SIGNED, UNSIGNED
 from tagloom.operators.export import BATCH_ROWS, ISOLATION
 from tagloom.operators.features import DWELL_SETS, TOP_CATEGORIES, VISIT_ITEM_TYPE, VISIT_PAGE
 from tagloom.operators.model import BEHAVIOUR_PARAMS, feature_weights, tree_text
@@ -40,7 +41,9 @@ def parse(argv: list[str] | None = None) -> argparse.Namespace:
     export.add_argument("--isolation", default=ISOLATION)
     export.add_argument("--property", action="append", default=[], metavar="KEY=VALUE", help="user, password and so on")
     export.add_argument("--create-options", help="text after the target's CREATE TABLE")
-    jobs.add_parser("bitmaps", parents=[shared], help="build the members of each tag value")
+    bitmaps = jobs.add_parser("bitmaps", parents=[shared], help="build the members of each tag value")
+    bitmaps.add_argument("--unsigned", action="store_true", help="uids are numbers from 0 to 2^64 - 1")
+    bitmaps.add_argument("--runs", action="store_true", help="write containers, with runs of consecutive users")
     label = argparse.ArgumentParser(add_help=False)
     label.add_argument("--model", required=True, help="folder of the model")
     label.add_argument("--logs", required=True, help="table of page views")
@@ -116,7 +119,8 @@ def main(argv: list[str] | None = None) -> None:
             create_options=args.create_options,
         )
     elif args.job == "bitmaps":
-        plans.run_bitmaps(spark, meta(), args.dt, args.database, args.base, args.prefix)
+        ids = UNSIGNED if args.unsigned else SIGNED
+        plans.run_bitmaps(spark, meta(), args.dt, args.database, args.base, args.prefix, ids=ids, with_runs=args.runs)
     else:
         inputs = (spark.table(args.logs), spark.table(args.items), spark.table(args.users))
         if args.job == "train":

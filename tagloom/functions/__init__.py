@@ -1,6 +1,6 @@
 """Column-level helpers: value types and casts, decodes, and member-id packing."""
 
-from .packing import CHUNK_SIZE, WORD_BITS, bucket_of, member_id, position_of
+from .packing import CHUNK_SIZE, SIGNED, UNSIGNED, WORD_BITS, IdSpace, bucket_of, member_id, position_of
 from .values import (
     DATE,
     DECIMAL,
@@ -20,9 +20,12 @@ __all__ = [
     "DATE",
     "DECIMAL",
     "LONG",
+    "SIGNED",
     "TEXT",
+    "UNSIGNED",
     "VALUE_TYPES",
     "WORD_BITS",
+    "IdSpace",
     "bucket_of",
     "cast_value",
     "check_day",

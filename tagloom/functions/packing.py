@@ -1,11 +1,17 @@
 """Packing of numeric member ids.
 
-An id belongs to a bucket of ``CHUNK_SIZE`` consecutive ids and has a position inside it (Spark's own
-``bitmap_*`` numbering). A position is one bit of one 64-bit word, so a bucket has 512 words.
+An id belongs to a bucket of ``CHUNK_SIZE`` consecutive ids and has a position inside it. A position is one bit of
+one 64-bit word, so a bucket has 512 words. Signed ids use Spark's own ``bitmap_*`` numbering. Unsigned ids, 0 to
+2^64 - 1, are kept as the bigint with the same 64 bits: the upper 49 bits are the bucket, the lower 15 the position,
+so buckets are in the order of the ids and nothing overflows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,3 +53,42 @@ def bit_mask(position: Column) -> Column:
     return F.call_function(
         "shiftleft", F.lit(1).cast("bigint"), position.bitwiseAND(F.lit(WORD_BITS - 1)).cast("int")
     )
+
+
+def unsigned_id(uid: Column, strict: bool = True) -> Column:
+    """An id from 0 to 2^64 - 1 as the bigint with the same bits; ``strict`` fails on anything else, else it is NULL."""
+    text = uid.cast("string")
+    whole = F.when(text.rlike(r"^\s*\+?0*[0-9]{1,20}\s*$"), F.trim(text)).try_cast("decimal(38,0)")
+    half = F.lit(Decimal(1 << 63)).cast("decimal(38,0)")
+    value = F.when(whole < half + half, whole)
+    # Above 2^63 the same bits are the negative number 2^64 below.
+    bits = F.when(value < half, value.cast("bigint")).otherwise((value - half - half).cast("bigint"))
+    if not strict:
+        return bits
+    wrong = F.raise_error(F.concat(F.lit("no unsigned 64-bit id: "), text)).cast("bigint")
+    return F.when(text.isNotNull(), F.coalesce(bits, wrong))
+
+
+def unsigned_value(bits: Column) -> Column:
+    """Inverse of ``unsigned_id``: the id as decimal(20,0)."""
+    value = bits.cast("decimal(20,0)")
+    return F.when(bits < 0, value + F.lit(Decimal(1 << 64)).cast("decimal(20,0)")).otherwise(value).cast("decimal(20,0)")
+
+
+@dataclass(frozen=True)
+class IdSpace:
+    """How ids are read, placed and written back."""
+
+    read: Callable[[Column, bool], Column]
+    bucket: Callable[[Column], Column]
+    position: Callable[[Column], Column]
+    id_of: Callable[[Column, Column], Column]
+
+
+SIGNED = IdSpace(numeric_id, bucket_of, position_of, member_id)
+UNSIGNED = IdSpace(
+    unsigned_id,
+    lambda bits: F.shiftrightunsigned(bits, 15),
+    lambda bits: bits.bitwiseAND(F.lit(CHUNK_SIZE - 1)),
+    lambda bucket, position: unsigned_value(F.shiftleft(bucket.cast("bigint"), 15).bitwiseOR(position.cast("bigint"))),
+)

@@ -8,19 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.functions.packing import (
-    WORD_BITS,
-    bit_mask,
-    block_of,
-    bucket_of,
-    member_id,
-    numeric_id,
-    position_of,
-    word_of,
-)
+from tagloom.functions.packing import SIGNED, WORD_BITS, IdSpace, bit_mask, block_of, word_of
 from tagloom.sources.catalog import TagSpec
 
 VALUE_KEYS = ("tag_code", "tag_value")
@@ -53,18 +44,24 @@ def unpivot_tags(
 
 
 def members_of_wide(
-    wide: DataFrame, codes: Sequence[str], strict: bool = True, value_types: Sequence[str] | None = None
+    wide: DataFrame,
+    codes: Sequence[str],
+    strict: bool = True,
+    value_types: Sequence[str] | None = None,
+    ids: IdSpace = SIGNED,
 ) -> DataFrame:
     """Members of all tag values, ``(tag_code, tag_value, bucket, block, position)``, from the wide table.
 
+    ``ids`` is SIGNED or UNSIGNED, and must be the same wherever these members are read.
+
     The wide row is shuffled by block of 1,024 ids before it is unpivoted: a user crosses the network once, not
     once per tag, and the words of a block are built in place. What is left to bring together by bucket is packed.
     """
-    member = numeric_id(F.col("uid"), strict)
+    member = ids.read(F.col("uid"), strict)
     placed = (
         wide.select("*", member.alias("_member"))
         .filter(F.col("_member").isNotNull())
-        .withColumns({"bucket": bucket_of(F.col("_member")), "position": position_of(F.col("_member"))})
+        .withColumns({"bucket": ids.bucket(F.col("_member")), "position": ids.position(F.col("_member"))})
         .withColumn("block", block_of(F.col("position")))
         .drop("uid", "_member")
         .repartition("bucket", "block")
@@ -72,18 +69,18 @@ def members_of_wide(
     return unpivot_tags(placed, codes, ("bucket", "block", "position"), value_types)
 
 
-def members_of_tall(tall: DataFrame, strict: bool = True) -> DataFrame:
+def members_of_tall(tall: DataFrame, strict: bool = True, ids: IdSpace = SIGNED) -> DataFrame:
     """The same from ``(uid, tag_code, tag_value)`` rows, in which a user may repeat.
 
     Repeats are dropped before the rows are placed by bucket, so a user holding a large share of the
     rows leaves each map task once per value.
     """
-    member = numeric_id(F.col("uid"), strict)
+    member = ids.read(F.col("uid"), strict)
     rows = tall.filter(F.col("tag_value") != "").select(*VALUE_KEYS, member.alias("_member"))
     placed = rows.filter(F.col("_member").isNotNull()).select(
         *VALUE_KEYS,
-        bucket_of(F.col("_member")).alias("bucket"),
-        position_of(F.col("_member")).alias("position"),
+        ids.bucket(F.col("_member")).alias("bucket"),
+        ids.position(F.col("_member")).alias("position"),
     )
     placed = placed.withColumn("block", block_of(F.col("position")))
     return placed.distinct().repartition("bucket", "block")
@@ -110,16 +107,18 @@ def user_counts(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy(*VALUE_KEYS).agg(F.sum("n_users").alias("n_users"))
 
 
-def chunk_users(chunks: DataFrame) -> DataFrame:
-    """Packed members back to ids: ``(tag_code, tag_value, uid bigint)``."""
-    words = chunks.select(*VALUE_KEYS, "bucket", F.inline("words"))
+def chunk_users(chunks: DataFrame, ids: IdSpace = SIGNED) -> DataFrame:
+    """Packed members back to ids, with the columns before the bucket: ``(tag_code, tag_value, uid)``.
+
+    A signed uid is a bigint, an unsigned one a decimal(20,0).
+    """
+    keys = [c for c in VALUE_KEYS if c in chunks.columns]
+    words = chunks.select(*keys, "bucket", F.inline("words"))
     every = F.sequence(F.lit(0), F.lit(WORD_BITS - 1))
     members = F.filter(every, lambda bit: F.bit_get(F.col("bits"), bit) == 1)
-    bits = words.select(*VALUE_KEYS, "bucket", "word", F.explode(members).alias("bit"))
+    bits = words.select(*keys, "bucket", "word", F.explode(members).alias("bit"))
     position = F.col("word") * WORD_BITS + F.col("bit")
-    return bits.select(
-        *VALUE_KEYS, member_id(F.col("bucket"), position.cast("bigint")).alias("uid")
-    )
+    return bits.select(*keys, ids.id_of(F.col("bucket"), position.cast("bigint")).alias("uid"))
 
 
 def user_bitmaps(members: DataFrame) -> DataFrame:
@@ -135,18 +134,25 @@ def user_bitmaps(members: DataFrame) -> DataFrame:
     )
 
 
-def user_sets(members: DataFrame) -> DataFrame:
-    """Members as sorted id arrays of one bucket each: ``(tag_code, tag_value, bucket, n_users, uids)``."""
-    blocks = members.groupBy(*VALUE_KEYS, "bucket", "block").agg(F.collect_set("position").alias("part"))
-    sets = blocks.groupBy(*VALUE_KEYS, "bucket").agg(F.flatten(F.collect_list("part")).alias("positions"))
+def user_sets(members: DataFrame, ids: IdSpace = SIGNED) -> DataFrame:
+    """Members as sorted id arrays of one bucket each: ``(tag_code, tag_value, bucket, n_users, uids)``.
+
+    Sets are read from packed words: a word is or-ed as one number, and its bits become ids once, in order.
+    """
     bucket = F.col("bucket")
-    ids = F.sort_array(F.transform("positions", lambda p: member_id(bucket, p)))
-    return sets.select(
-        *VALUE_KEYS, "bucket", F.size("positions").cast("bigint").alias("n_users"), ids.alias("uids")
-    )
+    every = F.sequence(F.lit(0), F.lit(WORD_BITS - 1))
+
+    def of_word(word: Column) -> Column:
+        own = F.filter(every, lambda bit: F.bit_get(word["bits"], bit) == 1)
+        return F.transform(own, lambda bit: ids.id_of(bucket, (word["word"] * WORD_BITS + bit).cast("bigint")))
+
+    # Below zero, signed positions count away from zero.
+    uids = F.flatten(F.transform("words", of_word))
+    ordered = uids if ids is not SIGNED else F.when(bucket > 0, uids).otherwise(F.reverse(uids))
+    return user_chunks(members).select(*VALUE_KEYS, "bucket", "n_users", ordered.alias("uids"))
 
 
-def chunks_by_type(wide: DataFrame, specs: Sequence[TagSpec]) -> DataFrame:
+def chunks_by_type(wide: DataFrame, specs: Sequence[TagSpec], ids: IdSpace = SIGNED) -> DataFrame:
     """Packed members of all tags with the tag's ``value_type``, in one pass over the wide table."""
     types = [s.value_type for s in specs]
-    return user_chunks(members_of_wide(wide, [s.code for s in specs], value_types=types))
+    return user_chunks(members_of_wide(wide, [s.code for s in specs], value_types=types, ids=ids))

@@ -98,6 +98,31 @@ def category_profile(
     return ranked.groupBy("user_id").agg(*tops, *dwell)
 
 
+def visited_profile(
+    visited: DataFrame,
+    k: int = TOP_CATEGORIES,
+    sets: Mapping[str, Sequence[int]] = DWELL_SETS,
+) -> DataFrame:
+    """``category_profile`` of ``rank_categories`` in one aggregation, without a window or a sort of all rows.
+
+    A user's categories and counts are put together in the aggregate that also sums the dwell sets, and the first
+    ``k`` are read off it. What a user holds there is bounded by the number of categories, as a category is one row.
+    """
+    c1, dur = F.col("c1"), F.col("dur_time")
+    rows = visited.select("user_id", F.col("category1_id").cast("bigint").alias("c1"), "ct", "dur_time")
+    dwell = [
+        F.sum(F.when(c1.isin(list(members)), dur).otherwise(0)).alias(f"{name}_dur")
+        for name, members in sets.items()
+    ]
+    # Most visits first, and among equal counts the lowest category; a category without a number is the lowest.
+    order = F.struct((-F.col("ct")).alias("less"), "c1")
+    users = rows.groupBy("user_id").agg(F.collect_list(order).alias("_order"), *dwell)
+    first = F.slice(F.sort_array("_order"), 1, max(k, 1))
+    users = users.withColumn("_order", first)
+    tops = [F.coalesce(F.get("_order", F.lit(r - 1))["c1"], F.lit(0)).alias(f"c1_rk{r}") for r in range(1, k + 1)]
+    return users.select("user_id", *tops, *(f"{name}_dur" for name in sets))
+
+
 def labelled_users(users: DataFrame, label: str = "gender") -> DataFrame:
     """Current users whose label is present: neither NULL nor empty."""
     return _current(users).filter(F.col(label) != "").select("id", label)
@@ -161,7 +186,7 @@ def behaviour_profile(
     Training and prediction on the same days differ in the users only, so they can share a stored profile.
     """
     visits = item_visits(logs, items, dt_from, dt_to, item_dt, page_id, item_type)
-    return category_profile(rank_categories(category_visits(visits)), k, sets)
+    return visited_profile(category_visits(visits), k, sets)
 
 
 def profile_of_users(

@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 MAP_CODES = 64
 
 
-def tall_table(tags: Mapping[str, DataFrame]) -> DataFrame:
-    """Union of tag frames as ``(uid, tag_value, tag_code)``; all values become text first."""
-    if not tags:
-        raise ValueError("no tag to merge")
+def tall_table(tags: Mapping[str, DataFrame], shared: Sequence[DataFrame] = ()) -> DataFrame:
+    """Union of tag frames as ``(uid, tag_value, tag_code)``; all values become text first.
+
+    ``shared`` are frames that have this form already, of tags that share their source.
+    """
     branches = [
         df.select(
             "uid",
@@ -26,6 +27,9 @@ def tall_table(tags: Mapping[str, DataFrame]) -> DataFrame:
         )
         for code, df in tags.items()
     ]
+    branches += [df.select("uid", "tag_value", "tag_code") for df in shared]
+    if not branches:
+        raise ValueError("no tag to merge")
     # Pairwise, so that planning hundreds of tags does not revisit a growing plan for each of them.
     while len(branches) > 1:
         pairs = [branches[i : i + 2] for i in range(0, len(branches), 2)]
@@ -34,15 +38,20 @@ def tall_table(tags: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def wide_table(
-    tall: DataFrame, codes: Sequence[str], one_value: bool | Collection[str] = False
+    tall: DataFrame,
+    codes: Sequence[str],
+    one_value: bool | Collection[str] = False,
+    repeated: DataFrame | None = None,
 ) -> DataFrame:
     """One row per user, one text column per tag; a user without a value has ``''``.
 
-    Values of a user that has a tag more than once are put one after the other in sorted order. The rows
-    cross the network once, to their user, where cells are put together in the row.
+    Values of a user that has a tag more than once are put one after the other in sorted order.
 
     ``one_value`` names the tags that a user has at most once, for example because their query groups
-    by user; True means all of them. A tag that breaks this promise fails the job instead of losing a value.
+    by user; True means all of them. A tag that breaks this promise fails the job instead of losing a value. Rows
+    of these tags cross the network once, to their user, where cells are put together in the row. Rows of the other
+    tags are counted by user and value first: a user who holds a large share of all rows leaves a map task as one
+    row for each distinct value. ``repeated`` gives their rows apart from ``tall``, so that neither is read twice.
     """
     columns = [c.lower() for c in codes]
     if not columns:
@@ -54,8 +63,25 @@ def wide_table(
     value = F.nullif(F.col("tag_value"), F.lit(""))
     parts = -(-len(columns) // MAP_CODES)
     part = F.crc32(F.col("tag_code").cast("binary")) % parts if parts > 1 else F.lit(0).cast("bigint")
-    entry = F.struct(part.alias("part"), "tag_code", value.alias("cell"))
-    rows = tall.select("uid", F.when(value.isNotNull(), entry).alias("entry"))
+
+    def entries_of(rows: DataFrame, times: Column) -> DataFrame:
+        entry = F.struct(part.alias("part"), "tag_code", F.col("_cell").alias("cell"), times.alias("times"))
+        return rows.select("uid", F.when(F.col("_cell").isNotNull(), entry).alias("entry"))
+
+    def counted(rows: DataFrame) -> DataFrame:
+        sums = rows.groupBy("uid", "tag_code", value.alias("_cell")).agg(F.count("*").cast("int").alias("_times"))
+        return entries_of(sums, F.col("_times"))
+
+    once = F.lit(1)
+    if one_value is True and repeated is None:
+        rows = entries_of(tall.withColumn("_cell", value), once)
+    elif repeated is not None:
+        rows = entries_of(tall.withColumn("_cell", value), once).union(counted(repeated))
+    elif not single:
+        rows = counted(tall)
+    else:
+        kept = F.col("tag_code").isin(sorted(single))
+        rows = entries_of(tall.filter(kept).withColumn("_cell", value), once).union(counted(tall.filter(~kept)))
     entries = rows.repartition("uid").groupBy("uid").agg(F.collect_list("entry").alias("entries"))
     # A lookup per column in a small map: a pivot evaluates every column for every tall row.
     every = F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))
@@ -73,7 +99,8 @@ def _cell_map(entries: Column, single: set[str]) -> Column:
 
     def joined(code: Column) -> Column:
         mine = F.filter(entries, lambda e: e["tag_code"] == code)
-        return F.struct(code, F.array_join(F.array_sort(F.transform(mine, lambda e: e["cell"])), ""))
+        ordered = F.array_sort(F.transform(mine, lambda e: F.struct(e["cell"].alias("cell"), e["times"].alias("times"))))
+        return F.struct(code, F.array_join(F.transform(ordered, lambda e: F.repeat(e["cell"], e["times"])), ""))
 
     repeated = F.map_from_entries(F.transform(own, joined))
     if single:
@@ -81,7 +108,8 @@ def _cell_map(entries: Column, single: set[str]) -> Column:
         kept = F.size(F.array_distinct(promised)) == F.size(promised)
         broken = F.raise_error(F.lit("a user has a tag of one_value more than once")).cast("map<string,string>")
         repeated = F.when(kept, repeated).otherwise(broken)
-    return F.when(F.size(own) == F.size(codes), plain).otherwise(repeated)
+    each_once = (F.size(own) == F.size(codes)) & F.forall(entries, lambda e: e["times"] == 1)
+    return F.when(each_once, plain).otherwise(repeated)
 
 
 def duplicate_users(tall: DataFrame) -> DataFrame:

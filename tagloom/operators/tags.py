@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.functions.values import cast_value, check_day
@@ -18,12 +19,24 @@ def task_query(spark: SparkSession, source: TaskSource, dt: str) -> DataFrame:
     The source is SQL text in which ``$dt`` stands for the day, or a function of session and day. It
     must yield ``uid`` and ``query_value``.
     """
+    return _run(spark, source, dt, ["uid", "query_value"])
+
+
+def shared_query(spark: SparkSession, source: TaskSource, dt: str, codes: Sequence[str]) -> DataFrame:
+    """Run one source query that several tags share: it yields ``uid`` and a column for each tag code.
+
+    Tags that are grouped from the same rows are then one scan and one aggregation, whatever their number.
+    """
+    return _run(spark, source, dt, ["uid", *(c.lower() for c in codes)])
+
+
+def _run(spark: SparkSession, source: TaskSource, dt: str, columns: Sequence[str]) -> DataFrame:
     check_day(dt)
     df = source(spark, dt) if callable(source) else spark.sql(source.replace("$dt", dt))
-    missing = {"uid", "query_value"} - {c.lower() for c in df.columns}
+    missing = set(columns) - {c.lower() for c in df.columns}
     if missing:
-        raise ValueError(f"a tag query must yield uid and query_value; missing {sorted(missing)}")
-    return df.select("uid", "query_value")
+        raise ValueError(f"a tag query must yield {', '.join(columns)}; missing {sorted(missing)}")
+    return df.select(*(F.col(f"`{c}`").alias(c) for c in columns))
 
 
 def map_rules(src: DataFrame, rules: DataFrame | None) -> DataFrame:
@@ -49,10 +62,55 @@ def compute_tag(
 
     A row without a uid belongs to nobody: strict fails on it, lenient leaves it out.
     """
-    if strict:
-        nobody = F.raise_error(F.lit("a tag query yields a row without uid")).cast("string")
-        uid = F.coalesce(F.col("uid").cast("string"), nobody)
-    else:
-        src, uid = src.filter(F.col("uid").isNotNull()), F.col("uid").cast("string")
+    src, uid = _somebody(src, strict)
     mapped = map_rules(src, rules)
     return mapped.select(uid.alias("uid"), cast_value(F.col("tag_value"), value_type, strict).alias("tag_value"))
+
+
+def _somebody(src: DataFrame, strict: bool) -> tuple[DataFrame, Column]:
+    if not strict:
+        return src.filter(F.col("uid").isNotNull()), F.col("uid").cast("string")
+    nobody = F.raise_error(F.lit("a tag query yields a row without uid")).cast("string")
+    return src, F.coalesce(F.col("uid").cast("string"), nobody)
+
+
+@dataclass(frozen=True)
+class SharedTag:
+    """One of several tags of a shared source: its code, value type and rules, if it has any."""
+
+    code: str
+    value_type: str
+    rules: DataFrame | None = None
+
+
+def typed_columns(src: DataFrame, tags: Sequence[SharedTag], strict: bool = True) -> DataFrame:
+    """``uid`` and a typed column for each tag, from a shared query. Rules are joined one after the other."""
+    src, uid = _somebody(src, strict)
+    for tag in tags:
+        if tag.rules is not None:
+            name = tag.code.lower()
+            rest = [c for c in src.columns if c != name]
+            kept = src.select(F.struct(*rest).alias("uid"), F.col(f"`{name}`").alias("query_value"))
+            src = map_rules(kept, tag.rules).select("uid.*", F.col("tag_value").alias(name))
+    values = [cast_value(F.col(f"`{t.code.lower()}`"), t.value_type, strict).alias(t.code.lower()) for t in tags]
+    return src.select(uid.alias("uid"), *values)
+
+
+def shared_tall(src: DataFrame, tags: Sequence[SharedTag], strict: bool = True) -> DataFrame:
+    """Several tags of one source as ``(uid, tag_value, tag_code)`` rows, values as text, in one pass.
+
+    The rows are those that each tag alone would yield from a query with the same rows; a NULL value is a row too.
+    """
+    typed = typed_columns(src, tags, strict)
+    cells = F.array(
+        *(
+            F.struct(F.col(f"`{t.code.lower()}`").cast("string").alias("tag_value"), F.lit(t.code.lower()).alias("tag_code"))
+            for t in tags
+        )
+    )
+    return typed.select("uid", F.inline(cells))
+
+
+def grouped_source(rows: DataFrame, uid: str, values: Mapping[str, Column]) -> DataFrame:
+    """A shared source from rows: one aggregation by user that yields an aggregate for each tag code."""
+    return rows.groupBy(F.col(uid).alias("uid")).agg(*(value.alias(code.lower()) for code, value in values.items()))

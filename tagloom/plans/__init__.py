@@ -2,11 +2,13 @@
 
 from .jobs import (
     BITMAP_TABLE,
+    CONTAINER_TABLE,
     WIDE_TABLE_PREFIX,
     run_bitmaps,
     run_export,
     run_merge,
     run_prediction,
+    run_shared_tasks,
     run_tag_task,
     run_training,
     wide_table_name,
@@ -14,11 +16,13 @@ from .jobs import (
 
 __all__ = [
     "BITMAP_TABLE",
+    "CONTAINER_TABLE",
     "WIDE_TABLE_PREFIX",
     "run_bitmaps",
     "run_export",
     "run_merge",
     "run_prediction",
+    "run_shared_tasks",
     "run_tag_task",
     "run_training",
     "wide_table_name",

@@ -6,19 +6,24 @@ from collections.abc import Collection, Mapping, Sequence
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tagloom.functions.packing import SIGNED, IdSpace
 from tagloom.functions.values import TEXT, check_day, day_suffix
-from tagloom.operators import bitmaps, export, features, labels, merge, model, tags
-from tagloom.session import stored
+from tagloom.operators import audience, bitmaps, export, features, labels, merge, model, tags
+from tagloom.session import scope, stored
 from tagloom.sources import catalog, tables
 
 WIDE_TABLE_PREFIX = "wide_tags"
 BITMAP_TABLE = "tag_members"
 
+CONTAINER_TABLE = "tag_containers"
+
 CHUNK_COLUMNS = (
     "tag_code string, tag_value string, bucket bigint, n_users bigint, "
     "words array<struct<word: int, bits: bigint>>"
 )
+CONTAINER_COLUMNS = f"{CHUNK_COLUMNS}, runs array<struct<first: int, last: int>>"
 
 
 def wide_table_name(dt: str, prefix: str = WIDE_TABLE_PREFIX) -> str:
@@ -69,6 +74,51 @@ def run_tag_task(
     return table
 
 
+def run_shared_tasks(
+    spark: SparkSession,
+    meta: catalog.Metadata,
+    task_ids: Sequence[int],
+    dt: str,
+    database: str,
+    source: tags.TaskSource,
+    warehouse: str | None = None,
+    base: str | None = None,
+    strict: bool = True,
+    tab_text: bool = False,
+) -> list[str]:
+    """Compute the tags of several tasks from one source query for one day; returns the table names.
+
+    The query yields ``uid`` and a column for each tag code. It is run once, into the shared scratch folder; each
+    tag's table takes its column from there. A user is a row of each of the tables.
+    """
+    check_day(dt)
+    specs, shared = [], []
+    for task_id in task_ids:
+        tag = catalog.tag_of_task(meta.tag_info, task_id)
+        if tag is None:
+            raise LookupError(f"task {task_id} computes no tag")
+        specs.append(catalog.TagSpec(tag["tag_code"], tag["tag_value_type"], tag["tag_name"] or ""))
+        rules = catalog.rules_for(meta.rules, meta.tag_info, task_id)
+        shared.append(tags.SharedTag(tag["tag_code"], tag["tag_value_type"], None if rules.isEmpty() else rules))
+    catalog.check_specs(specs)
+
+    names = [f"{database}.{spec.column}" for spec in specs]
+    before = spark.catalog.currentDatabase()
+    with scope(spark):
+        if warehouse:
+            spark.catalog.setCurrentDatabase(warehouse)
+        try:
+            src = tags.shared_query(spark, source, dt, [spec.column for spec in specs])
+            values = stored(tags.typed_columns(src, shared, strict))
+        finally:
+            spark.catalog.setCurrentDatabase(before)
+        for spec, name in zip(specs, names, strict=True):
+            place = _place(base, database, spec.column)
+            tables.create_tag_table(spark, name, spec.value_type, place, spec.name or None, tab_text)
+            tables.overwrite_day(values.select("uid", F.col(f"`{spec.column}`").alias("tag_value")), name, dt)
+    return names
+
+
 def run_merge(
     spark: SparkSession,
     meta: catalog.Metadata,
@@ -81,6 +131,7 @@ def run_merge(
     """Merge the day's slices of all active tags into the day's wide table; returns its name."""
     specs = catalog.tag_specs(catalog.active_tags(meta.tag_info, meta.task_info))
     slices = {s.column: tables.read_day(spark, f"{database}.{s.column}", dt) for s in specs}
+    # Rows of a tag keep its code as a literal, so the two ways of the merge read each table once.
     wide = merge.wide_table(merge.tall_table(slices), list(slices), one_value)
     name = wide_table_name(dt, prefix)
     tables.replace_table(wide, f"{database}.{name}", _place(base, database, name))
@@ -108,20 +159,23 @@ def run_bitmaps(
     database: str,
     base: str | None = None,
     prefix: str = WIDE_TABLE_PREFIX,
-    table: str = BITMAP_TABLE,
+    table: str | None = None,
+    ids: IdSpace = SIGNED,
+    with_runs: bool = False,
 ) -> str:
     """Member chunks of the day, in one table partitioned by day and value type; returns its name.
 
     One pass writes all types. The overwrite is static on the day, so a type that has no tag any more
-    loses its partition.
+    loses its partition. ``ids`` says how uids are read; ``with_runs`` writes containers, into a table of their own.
     """
     specs = catalog.tag_specs(catalog.active_tags(meta.tag_info, meta.task_info))
     wide = spark.table(f"{database}.{wide_table_name(dt, prefix)}")
+    table = table or (CONTAINER_TABLE if with_runs else BITMAP_TABLE)
     name = f"{database}.{table}"
-    tables.create_day_table(
-        spark, name, CHUNK_COLUMNS, "dt string, value_type string", _place(base, database, table)
-    )
-    tables.overwrite_day(bitmaps.chunks_by_type(wide, specs), name, dt, dynamic=("value_type",))
+    columns = CONTAINER_COLUMNS if with_runs else CHUNK_COLUMNS
+    tables.create_day_table(spark, name, columns, "dt string, value_type string", _place(base, database, table))
+    chunks = bitmaps.chunks_by_type(wide, specs, ids)
+    tables.overwrite_day(audience.containers(chunks) if with_runs else chunks, name, dt, dynamic=("value_type",))
     return name
 
 

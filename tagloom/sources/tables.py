@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.functions.values import check_day, column_type
+from tagloom.session import remove_folder
 
 # Fixed value: the partition that holds the open rows of a history table.
 CURRENT_DAY = "9999-99-99"
@@ -130,36 +133,53 @@ def read_current(spark: SparkSession, table: str) -> DataFrame:
 
 
 def replace_table(
-    df: DataFrame, table: str, location: str | None = None, comment: str | None = None
+    df: DataFrame, table: str, location: str | None = None, comment: str | None = None, keep: int = 1
 ) -> None:
-    """Rebuild a whole table, with the frame's columns as they are today.
-
-    The rows are computed into a fresh table, with a fresh folder below ``location``; only then does it take the
-    name. A job that fails before leaves the earlier table as it was.
+    """Rebuild a whole table, with the frame's columns as they are today, and publish it in one step.
+
+    The rows are computed into a version of their own, ``<table>_version_<time>_<random>``, with a folder of its own
+    below ``location``. The name itself is a view of the current version, and replacing a view is one change of the
+    catalogue: a reader sees the earlier version or the new one, and never none. A job that fails before leaves the
+    earlier version published. The ``keep`` versions before the new one stay, so that readers which have started
+    can end; older ones and half-written ones are dropped. A plain table of this name, as earlier releases made it,
+    becomes the first version.
     """
     spark = df.sparkSession
-    version = f"version_{uuid.uuid4().hex}"
+    version = f"version_{time.time_ns():020d}_{uuid.uuid4().hex[:8]}"
     fresh = f"{table}_{version}"
     writer = df.write.mode("errorifexists").format("parquet")
     if location:
         writer = writer.option("path", f"{location.rstrip('/')}/{version}")
-    writer.saveAsTable(fresh)
-    if comment:
-        spark.sql(f"COMMENT ON TABLE {quoted(fresh)} IS {_text(comment)}")
-    spark.sql(f"DROP TABLE IF EXISTS {quoted(table)}")
-    spark.sql(f"ALTER TABLE {quoted(fresh)} RENAME TO {quoted(table)}")
-    if location:
-        _drop_versions(spark, location, version)
+    try:
+        writer.saveAsTable(fresh)
+    except BaseException:
+        _drop_version(spark, fresh, location)
+        raise
+    if spark.catalog.tableExists(table) and not _is_view(spark, table):
+        spark.sql(f"ALTER TABLE {quoted(table)} RENAME TO {quoted(f'{table}_version_{0:020d}_{uuid.uuid4().hex[:8]}')}")
+    said = f" COMMENT {_text(comment)}" if comment else ""
+    spark.sql(f"CREATE OR REPLACE VIEW {quoted(table)}{said} AS SELECT * FROM {quoted(fresh)}")
+    for old in table_versions(spark, table)[: -1 - keep]:
+        _drop_version(spark, old, location)
+
 
+def _is_view(spark: SparkSession, table: str) -> bool:
+    return spark.catalog.getTable(quoted(table)).tableType == "VIEW"
 
-def _drop_versions(spark: SparkSession, location: str, current: str) -> None:
-    """Remove the folders of earlier versions of a rebuilt table."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(location)
-    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    for status in files.listStatus(folder):
-        name = status.getPath().getName()
-        if name.startswith("version_") and name != current:
-            files.delete(status.getPath(), True)
+
+def table_versions(spark: SparkSession, table: str) -> list[str]:
+    """The stored versions of a published table, oldest first."""
+    *database, name = table.split(".")
+    place = f" IN {quoted('.'.join(database))}" if database else ""
+    found = spark.sql(f"SHOW TABLES{place}").select("tableName").collect()
+    names = sorted(r[0] for r in found if re.fullmatch(re.escape(name.lower()) + r"_version_\d{20}_[0-9a-f]{8}", r[0].lower()))
+    return [".".join([*database, n]) for n in names]
+
+
+def _drop_version(spark: SparkSession, version: str, location: str | None) -> None:
+    spark.sql(f"DROP TABLE IF EXISTS {quoted(version)}")
+    if location:
+        remove_folder(spark, f"{location.rstrip('/')}/version_{version.rsplit('_version_', 1)[1]}")
 
 
 def publish_view(df: DataFrame, name: str) -> DataFrame:

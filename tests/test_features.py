@@ -170,3 +170,23 @@ def test_one_hot_user_and_item(spark):
 def test_days_are_checked(spark, bad):
     with pytest.raises(ValueError):
         features.item_visits(logs(spark), items(spark), bad)
+
+
+def test_profile_in_one_aggregation_equals_the_ranked_one(spark):
+    from workload import roles
+
+    sf = "/root/testdata/sf0.01"
+    visits = features.item_visits(roles.page_logs(spark, sf), roles.items(spark, sf), item_dt=roles.DAY, page_id=roles.VIEW_PAGE)
+    visited = features.category_visits(visits).union(spark.createDataFrame([(5, None, 9, 1.0), (5, "x", 9, 2.0)], "a bigint, b string, c bigint, d double")
+        .selectExpr("a", "case when b is null then b else '7' end", "c", "cast(d as decimal(26,2))"))
+    for k, sets in ((3, features.DWELL_SETS), (5, {}), (0, features.DWELL_SETS), (1, {"s": (7,)})):
+        plain = features.category_profile(features.rank_categories(visited), k, sets)
+        one = features.visited_profile(visited, k, sets)
+        assert one.columns == plain.columns and rows(one) == rows(plain)
+
+
+def test_features_need_no_window(spark):
+    from workload import queries
+
+    plan = plan_of(queries.behaviour_features_train(spark, "/root/testdata/sf0.001"))
+    assert "Window" not in plan and "Sort " not in plan

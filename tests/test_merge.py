@@ -97,16 +97,59 @@ def test_many_tags_in_one_plan(spark):
 
 
 def test_shuffles(spark, tmp_path):
-    """One shuffle by user, whether users repeat or not."""
+    """One shuffle by user; rows of tags that may repeat are counted before it."""
     path = str(tmp_path / "tall")
     tall(spark, ("1", "a", "g"), ("1", "b", "h")).write.parquet(path)
     stored = spark.read.parquet(path)
-    for promise in (True, False, ["g"]):
+    for promise, shuffles in ((True, 1), (False, 2), (["g"], 2)):
         plan = plan_of(wide_table(stored, ["g", "h"], one_value=promise))
-        assert plan.count("Exchange hashpartitioning") == 1
+        assert plan.count("Exchange hashpartitioning") == shuffles
+        assert plan.count("partial_count") == shuffles - 1
         assert "Cartesian" not in plan and "Python" not in plan
 
 
+def test_a_hot_user_leaves_a_map_task_as_one_row_for_each_value(spark, tmp_path):
+    """A user with a third of all rows: what is shuffled is counted, in rows, from the metrics of the exchanges."""
+    from pyspark.sql import functions as F
+
+    path = str(tmp_path / "tall")
+    hot = spark.range(30_000).select(
+        F.lit("hot").alias("uid"), (F.col("id") % 7).cast("string").alias("tag_value"), F.lit("h").alias("tag_code")
+    )
+    cold = spark.range(60_000).select(
+        F.col("id").cast("string").alias("uid"), F.lit("x").alias("tag_value"), F.lit("g").alias("tag_code")
+    )
+    hot.union(cold).repartition(4).write.parquet(path)
+    out = wide_table(spark.read.parquet(path), ["g", "h"], one_value=["g"])
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = wide_table(spark.read.parquet(path), ["g", "h"], one_value=["g"])
+        cells = {r.uid: r.h for r in out.filter("uid in ('hot', '5')").collect()}
+        whole = wide_table(spark.read.parquet(path), ["g", "h"], one_value=["g"])
+        assert len(whole.collect()) == 60_001
+        written, todo = [], [whole._jdf.queryExecution().executedPlan()]
+        while todo:
+            node = todo.pop()
+            if node.nodeName() == "Exchange":
+                written.append(node.metrics().apply("shuffleRecordsWritten").value())
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    size = 30_000
+    assert cells["hot"] == "".join(str(v) * (size // 7 + (v < size % 7)) for v in range(7)) and cells["5"] == ""
+    # By user: all cold rows and seven counted rows. Before that: seven rows from each of the map tasks.
+    assert sorted(written)[1] == 60_007 and sorted(written)[0] <= 7 * 8
+
+
+def test_rows_of_repeated_tags_may_come_apart(spark):
+    once = tall(spark, ("1", "a", "g"), ("2", "b", "g"))
+    often = tall(spark, ("1", "y", "h"), ("1", "x", "h"), ("1", "x", "h"), ("3", None, "h"))
+    out = wide_table(once, ["g", "h"], ["g"], often)
+    assert rows(out) == [("1", "a", "xxy"), ("2", "b", ""), ("3", "", "")]
+    with pytest.raises(Exception, match="more than once"):
+        wide_table(once.union(once), ["g", "h"], ["g"], often).collect()
+
+
 def test_one_value_prunes_whole_branches(spark, tmp_path):
     frames = {}
     for code in ("a", "b", "c"):

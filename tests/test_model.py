@@ -164,3 +164,67 @@ def test_label_tag_is_prediction_and_declaration(spark):
     assert strict == {k: v for k, v in words.items() if k != "5"}
     custom = labels.declared_label_tag(users, {"F": "f", "x": "x"}, "other")
     assert dict(rows(custom)) == {"3": "f", "4": "x", "5": "other"}
+
+
+def test_a_failing_save_leaves_the_earlier_model(spark, trained, people, tmp_path, monkeypatch):
+    fitted, held_out = trained
+    path = str(tmp_path / "model")
+    first = model.save(fitted, path)
+    want = rows(model.predict(model.load(path), held_out).select("user_id", "prediction_col"))
+
+    def broken(folder):
+        raise OSError("half-written")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(model.PipelineModel, "load", broken)
+        with pytest.raises(OSError, match="half-written"):
+            model.save(fitted, path)
+    assert model.current_folder(path) == first and len(model.model_versions(spark, path)) == 1
+    assert rows(model.predict(model.load(path), held_out).select("user_id", "prediction_col")) == want
+
+
+def test_versions_of_a_model(spark, trained, tmp_path):
+    fitted, _ = trained
+    path = str(tmp_path / "model")
+    folders = [model.save(fitted, path, keep=1) for _ in range(3)]
+    assert [f"{path}/{v}" for v in model.model_versions(spark, path)] == folders[1:]
+    assert model.current_folder(path) == folders[-1] and model.load(path).uid == fitted.uid
+    fitted.write().save(str(tmp_path / "plain"))  # as earlier releases wrote it
+    assert model.load(str(tmp_path / "plain")).uid == fitted.uid
+
+
+def test_duckdb_scores_the_exported_tree(spark, trained, people, tmp_path):
+    """The node table alone, walked from the root in another engine, gives the model's predictions."""
+    import duckdb
+
+    fitted, _ = trained
+    path, names = str(tmp_path / "model"), feature_columns()
+    model.save(fitted, path)
+    odd = people.withColumn("c1_rk2", F.when(F.col("user_id") % 9 == 0, 77).otherwise(F.col("c1_rk2")))  # never seen
+    odd = odd.withColumn("c1_rk1", F.when(F.col("user_id") % 11 > 0, F.col("c1_rk1")))  # and NULL
+    nodes = model.tree_nodes(spark, path)
+    nodes.write.parquet(str(tmp_path / "nodes"))
+    odd.write.parquet(str(tmp_path / "people"))
+    con = duckdb.connect()
+    con.execute(f"create view nodes as select * from '{tmp_path}/nodes/*.parquet'")
+    con.execute(f"create view people as select * from '{tmp_path}/people/*.parquet'")
+    values = " union all ".join(f"select user_id, '{n}' as feature, coalesce({n}, -1)::double as value from people" for n in names)
+    walked = con.execute(f"""
+        with recursive long as ({values}), walk as (
+            select user_id, 0 as node from people
+            union all
+            select w.user_id, c.node
+            from walk w join nodes n on w.node = n.node and not n.is_leaf
+            join long l on l.user_id = w.user_id and l.feature = n.feature
+            join nodes c on c.parent = n.node and c.is_left = (case
+                when n.threshold is not null then l.value <= n.threshold
+                when n.unseen_left then not list_contains(n.right_categories, l.value)
+                else list_contains(n.left_categories, l.value) end)
+        )
+        select w.user_id, n.prediction, n.label from walk w join nodes n on w.node = n.node where n.is_leaf""").fetchall()
+    by_model = model.predict(model.load(path), odd).select("user_id", "prediction_col", "prediction_origin")
+    assert sorted(walked) == sorted(map(tuple, by_model.collect()))
+    by_paths = model.score_by_paths(odd, model.tree_paths(nodes), names)
+    assert sorted(map(tuple, by_paths.select("user_id", "prediction_col", "prediction_origin").collect())) == sorted(walked)
+    weights = {r.feature: r.weight for r in model.feature_weights(spark, fitted).collect()}
+    assert {r.feature: pytest.approx(r.weight) for r in model.node_weights(nodes, names).collect()} == weights

@@ -22,6 +22,12 @@ FORBIDDEN = (
 )
 
 
+NODES = [
+    "node", "parent", "is_left", "depth", "is_leaf", "n", "impurity", "gain", "prediction", "label", "feature",
+    "threshold", "left_categories", "right_categories", "unseen_left",
+]
+
+
 @pytest.fixture(scope="module")
 def duck():
     con = connect(SF_DIR)
@@ -48,6 +54,7 @@ def test_query_equals_its_sql(spark, duck, name):
         ("feature_weights", ["feature", "weight"]),
         ("sample_model_report", ["metric", "label", "value"]),
         ("predicted_label_tag", ["uid", "tag_value"]),
+        ("model_tree_nodes", NODES),
     ],
 )
 def test_model_queries(spark, name, columns):

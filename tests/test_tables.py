@@ -146,5 +146,42 @@ def test_a_failing_rebuild_leaves_the_earlier_table(spark, database, tmp_path, l
     assert rows(spark.table(name)) == [(1,)]
     tables.replace_table(spark.sql("select 2 as c"), name, place)
     assert spark.table(name).columns == ["c"] and rows(spark.table(name)) == [(2,)]
+    assert len(tables.table_versions(spark, name)) == 2  # the one before stays for its readers
+    tables.replace_table(spark.sql("select 3 as c"), name, place, comment="it's wide", keep=0)
+    assert len(tables.table_versions(spark, name)) == 1 and rows(spark.table(name)) == [(3,)]
     if located:
         assert len([p for p in (tmp_path / "place").iterdir() if p.name.startswith("version_")]) == 1
+
+
+def test_a_reader_never_misses_the_table(spark, database):
+    """A thread reads all the time while the table is published again and again with other columns."""
+    import threading
+
+    name = f"{database}.wide"
+    tables.replace_table(spark.sql("select 0 as v, 0 as c0"), name)
+    seen, failed, stop = [], [], threading.Event()
+
+    def read():
+        while not stop.is_set():
+            try:
+                (row,) = spark.table(name).collect()
+                seen.append(row["v"])
+                assert f"c{row['v']}" in row.asDict()
+            except Exception as error:  # noqa: BLE001
+                failed.append(error)
+
+    reader = threading.Thread(target=read)
+    reader.start()
+    for v in range(1, 9):
+        tables.replace_table(spark.sql(f"select {v} as v, {v} as c{v}"), name, keep=2)
+    stop.set()
+    reader.join()
+    assert not failed and len(seen) >= 8 and seen == sorted(seen)
+
+
+def test_a_plain_table_of_the_name_becomes_the_first_version(spark, database):
+    name = f"{database}.wide"
+    spark.sql("select 1 as a").write.saveAsTable(name)
+    tables.replace_table(spark.sql("select 2 as b"), name)
+    assert rows(spark.table(name)) == [(2,)]
+    assert [rows(spark.table(v)) for v in tables.table_versions(spark, name)] == [[(1,)], [(2,)]]

@@ -2,7 +2,9 @@ from decimal import Decimal
 
 import pytest
 from frames import rows
+from pyspark.sql import functions as F
 
+from tagloom.operators import tags
 from tagloom.operators.tags import compute_tag, map_rules, task_query
 
 RULES = "id bigint, query_value string, sub_tag_value string"
@@ -122,3 +124,38 @@ def test_rows_without_a_uid(spark):
     with pytest.raises(Exception, match="without uid"):
         compute_tag(src, None, "3").collect()
     assert rows(compute_tag(src, None, "3", strict=False)) == [("1", "a")]
+
+
+def test_shared_tags_equal_their_own_queries(spark):
+    """Several tags from one aggregation: the rows of each tag's own query, NULL values and rules included."""
+    from tagloom.operators.merge import tall_table
+
+    people = [(1, "F", 10.5), (1, "F", 2.0), (2, "M", None), (3, "x", 7.25), (4, None, 1.0)]
+    spark.createDataFrame(people, "id bigint, sex string, paid double").createOrReplaceTempView("shared_people")
+    rules = spark.createDataFrame([(1, "F", "female"), (2, "M", "male")], "id bigint, query_value string, sub_tag_value string")
+    kinds = {"TG_N": ("1", None, "count(*)"), "TG_Paid": ("2", None, "sum(paid)"), "TG_Sex": ("3", rules, "max(sex)")}
+    own = {
+        code: tags.compute_tag(
+            tags.task_query(spark, f"select id as uid, {sql} as query_value from shared_people group by id", "2024-01-31"), r, kind
+        )
+        for code, (kind, r, sql) in kinds.items()
+    }
+    columns = ", ".join(f"{sql} as {code}" for code, (_, _, sql) in kinds.items())
+    src = tags.shared_query(spark, f"select id as uid, {columns} from shared_people group by id", "2024-01-31", list(kinds))
+    shared = [tags.SharedTag(code, kind, r) for code, (kind, r, _) in kinds.items()]
+    assert rows(tags.shared_tall(src, shared)) == rows(tall_table(own))
+    grouped = tags.grouped_source(
+        spark.table("shared_people"), "id", {"TG_N": F.count("*"), "TG_Paid": F.sum("paid"), "TG_Sex": F.max("sex")}
+    )
+    assert rows(tags.shared_tall(grouped, shared)) == rows(tall_table(own))
+    with pytest.raises(ValueError, match="tg_other"):
+        tags.shared_query(spark, "select 1 as uid", "2024-01-31", ["TG_Other"])
+
+
+def test_shared_tags_scan_their_source_once(spark):
+    from workload import tagset
+
+    plan = tagset.tall(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "FileScan" in line]
+    # Orders: counts, amounts and last orders together, then statuses and quantities; customers: two tags, and nations.
+    assert sum("o_custkey" in s for s in scans) == 3 and sum("c_custkey" in s for s in scans) == 2

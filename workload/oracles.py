@@ -80,6 +80,18 @@ WITH_CELLS = f"with wide as ({WIDE}), cells as ({CELLS})"
 
 BUCKET = "case when uid > 0 then (uid - 1) // 32768 + 1 else uid // 32768 end"
 
+# Unsigned ids: even users from 2^63 on, the others down from 2^64 - 1.
+HIGH = """cast(case when uid % 2 = 0 then 9223372036854775808::ubigint + cast(uid as ubigint)
+               else 18446744073709551615::ubigint - cast(uid as ubigint) + 1::ubigint end as ubigint)"""
+
+AUDIENCE = """
+    select distinct uid from cells
+    where (uid in (select uid from cells where tag_code = 'TG_Segment' and tag_value in ('builder', 'maker'))
+           and uid in (select uid from cells where tag_code = 'TG_Views')
+           and uid not in (select uid from cells where tag_code = 'TG_Statuses' and tag_value = 'o'))
+       or (uid in (select uid from cells where tag_code = 'TG_Nation' and tag_value = 'NATION_3')
+           and uid not in (select uid from cells where tag_code = 'TG_Segment'))"""
+
 VISITS = """
     select user_id, cast(p_size as varchar) as category1_id, cast(value as decimal(16,2)) as during_time,
            strftime(ts, '%Y-%m-%d') as dt
@@ -213,6 +225,24 @@ ORACLES: dict[str, str] = {
                cast(count(*) as bigint) as n_users
         from (select distinct value_type, tag_code, tag_value, uid from cells)
         group by value_type, tag_code""",
+    "tag_unsigned_members": f"""
+        select distinct tag_code, tag_value, cast({HIGH} as varchar) as uid
+        from (select tag_code, tag_value, cast(uid as bigint) as uid from ({TALL}) where tag_value <> '')""",
+    "tag_unsigned_counts": f"""
+        select tag_code, tag_value, cast(high // 32768 as bigint) as bucket, cast(count(*) as bigint) as n_users,
+               cast(min(high) as varchar) as first, cast(max(high) as varchar) as last
+        from (select distinct tag_code, tag_value, {HIGH} as high
+              from (select tag_code, tag_value, cast(uid as bigint) as uid from ({TALL}) where tag_value <> ''))
+        group by tag_code, tag_value, high // 32768""",
+    "audience_members": f"{WITH_CELLS} {AUDIENCE}",
+    "audience_count": f"""
+        {WITH_CELLS}, chosen as ({AUDIENCE})
+        select cast({BUCKET} as bigint) as bucket, cast(count(*) as bigint) as n_users from chosen group by {BUCKET}""",
+    "tag_container_members": f"{WITH_CELLS} select distinct tag_code, tag_value, uid from cells",
+    "shared_tag_job": " union all ".join(
+        f"select uid, cast(tag_value as varchar) as tag_value, '{code.lower()}' as tag_code from ({TAG_SQL[code]})"
+        for code in ("TG_OrderCount", "TG_OrderAmount", "TG_LastOrder")
+    ),
     "item_join": f"select user_id, category1_id, during_time from ({VISITS})",
     "category_visits": f"""
         select user_id, category1_id, cast(count(*) as bigint) as ct,
@@ -259,6 +289,13 @@ ORACLES: dict[str, str] = {
         from g, labels group by label""",
     # The fitted tree finds the rule that the labels follow.
     "sample_model_predictions": f"select uid, gender as label from ({SAMPLES})",
+    "sample_path_predictions": f"select uid, gender as label from ({SAMPLES})",
+    # The exported tree in SQL says what the model says, for every user and every feature.
+    "tree_path_agreement": f"""
+        select user_id, cast(1 as integer) as agrees from ({_features("gender is null", False)})""",
+    "tree_weight_agreement": """
+        select feature, cast(1 as integer) as agrees
+        from (values ('c1_rk1'), ('c1_rk2'), ('c1_rk3'), ('male_dur'), ('female_dur')) as f(feature)""",
     "label_index": f"""
         select gender as label,
                cast(row_number() over (order by count(*) desc, gender) - 1 as integer) as idx

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.operators import bitmaps, export, features, labels, merge, model, tags
-from tagloom.plans import run_bitmaps, run_merge, run_tag_task
+from tagloom.functions.packing import UNSIGNED
+from tagloom.operators import audience, bitmaps, export, features, labels, merge, model, tags
+from tagloom.plans import run_bitmaps, run_merge, run_shared_tasks, run_tag_task
 from tagloom.session import scratch_dir, stored
 from tagloom.sources import catalog, tables
 from workload import roles, tagset
@@ -205,6 +207,64 @@ def bitmap_job(spark, sf_dir):
     )
 
 
+def _unsigned_members(spark, sf_dir):
+    """All tags, with users of even numbers from 2^63 on and the others down from 2^64 - 1."""
+    tall = tagset.tall(spark, sf_dir)
+    number, half = F.col("uid").cast("decimal(20,0)"), F.lit(Decimal(1 << 63)).cast("decimal(20,0)")
+    high = F.when(F.col("uid").cast("bigint") % 2 == 0, half + number).otherwise(half + half - number)
+    return bitmaps.members_of_tall(tall.withColumn("uid", high.cast("decimal(20,0)").cast("string")), ids=UNSIGNED)
+
+
+def tag_unsigned_members(spark, sf_dir):
+    """Unsigned ids above 2^63, packed and unpacked again."""
+    users = bitmaps.chunk_users(bitmaps.user_chunks(_unsigned_members(spark, sf_dir)), UNSIGNED)
+    return users.withColumn("uid", F.col("uid").cast("string"))
+
+
+def tag_unsigned_counts(spark, sf_dir):
+    """Users by bucket of unsigned ids, whose buckets are in the order of the ids."""
+    sets = bitmaps.user_sets(_unsigned_members(spark, sf_dir), UNSIGNED)
+    first, last = F.get("uids", F.lit(0)), F.element_at("uids", -1)
+    return sets.select(
+        "tag_code", "tag_value", "bucket", "n_users", first.cast("string").alias("first"), last.cast("string").alias("last")
+    )
+
+
+# Builders and makers who have views but no order that is still open, and everybody from one nation.
+AUDIENCE = (
+    (audience.has("TG_Segment", "builder") | audience.has("TG_Segment", "maker")) & audience.has("TG_Views")
+    - audience.has("TG_Statuses", "o")
+) | (audience.has("TG_Nation", "NATION_3") - audience.has("TG_Segment"))
+
+
+def audience_members(spark, sf_dir):
+    """An audience from several tags by set algebra on packed words, and its users."""
+    chunks = bitmaps.user_chunks(_members(spark, sf_dir))
+    return bitmaps.chunk_users(audience.audience_chunks(chunks, AUDIENCE))
+
+
+def audience_count(spark, sf_dir):
+    """The same audience from containers, counted without unpacking."""
+    packed = audience.containers(bitmaps.user_chunks(_members(spark, sf_dir)))
+    return audience.audience_chunks(packed, AUDIENCE).select("bucket", "n_users")
+
+
+def tag_container_members(spark, sf_dir):
+    """Every tag value as containers, of which some keep runs, and back to users."""
+    return audience.container_users(audience.containers(bitmaps.user_chunks(_members(spark, sf_dir))))
+
+
+def shared_tag_job(spark, sf_dir):
+    """Three tags of one source query, written to a table each by one job, and read back."""
+    db = _scratch_database(spark)
+    tagset.publish_sources(spark, sf_dir)
+    codes = next(group for group in tagset.SHARED if "TG_OrderCount" in group)
+    ids = [tagset.CODES.index(code) + 1 for code in codes]
+    names = run_shared_tasks(spark, tagset.metadata(spark), ids, DAY, db, tagset.SHARED[codes])
+    slices = {code: tables.read_day(spark, name, DAY) for code, name in zip(codes, names, strict=True)}
+    return merge.tall_table(slices)
+
+
 # --- behaviour features ---
 
 
@@ -335,6 +395,46 @@ def _sample_model(spark, sf_dir):
     return coded, *model.train(coded, "gender", columns, model.SAMPLE_PARAMS, seed=7, key="uid")
 
 
+def _stored_tree(spark, sf_dir):
+    """The label model stored, its nodes as rows, and the features of users without a label."""
+    profile, path = _profile(spark, sf_dir), scratch_dir(spark)
+    fitted = _trained(spark, sf_dir, profile)[0]
+    model.save(fitted, path)
+    return fitted, model.tree_nodes(spark, path), features.profile_of_users(profile, roles.users(spark, sf_dir), False)
+
+
+def model_tree_nodes(spark, sf_dir):
+    return _stored_tree(spark, sf_dir)[1]
+
+
+def tree_path_agreement(spark, sf_dir):
+    """Whether SQL over the exported tree says of each user what the model says."""
+    fitted, nodes, data = _stored_tree(spark, sf_dir)
+    by_model = model.predict(fitted, data).select("user_id", "prediction_col", "prediction_origin")
+    by_paths = model.score_by_paths(data, model.tree_paths(nodes), features.feature_columns())
+    joined = by_model.alias("m").join(by_paths.alias("p"), "user_id")
+    same = F.expr("m.prediction_col = p.prediction_col and m.prediction_origin = p.prediction_origin and p.leaf is not null")
+    return joined.select("user_id", same.cast("int").alias("agrees"))
+
+
+def tree_weight_agreement(spark, sf_dir):
+    """Whether the weights from the exported tree are those of the model, for each feature."""
+    fitted, nodes, _ = _stored_tree(spark, sf_dir)
+    own = model.node_weights(nodes, features.feature_columns()).withColumnRenamed("weight", "own")
+    both = own.join(model.feature_weights(spark, fitted), "feature")
+    return both.select("feature", (F.abs(F.col("own") - F.col("weight")) < 1e-9).cast("int").alias("agrees"))
+
+
+def sample_path_predictions(spark, sf_dir):
+    """Every sample's label by SQL over the paths of the stored sample tree."""
+    coded, fitted, _ = _sample_model(spark, sf_dir)
+    path = scratch_dir(spark)
+    model.save(fitted, path)
+    paths = model.tree_paths(model.tree_nodes(spark, path))
+    scored = model.score_by_paths(coded, paths, ["hair", "height", "skirt", "age"])
+    return scored.select("uid", F.col("prediction_origin").alias("label"))
+
+
 def sample_model_report(spark, sf_dir):
     _, fitted, held_out = _sample_model(spark, sf_dir)
     return model.evaluate(model.predict(fitted, held_out))
@@ -404,6 +504,12 @@ QUERIES: dict[str, Query] = {
     "tag_tall_bitmap_counts": tag_tall_bitmap_counts,
     "bitmaps_by_type": bitmaps_by_type,
     "bitmap_job": bitmap_job,
+    "tag_unsigned_members": tag_unsigned_members,
+    "tag_unsigned_counts": tag_unsigned_counts,
+    "audience_members": audience_members,
+    "audience_count": audience_count,
+    "tag_container_members": tag_container_members,
+    "shared_tag_job": shared_tag_job,
     "item_join": item_join,
     "category_visits": category_visits,
     "category_rank": category_rank,
@@ -419,6 +525,10 @@ QUERIES: dict[str, Query] = {
     "model_predictions": model_predictions,
     "model_report": model_report,
     "feature_weights": feature_weights,
+    "model_tree_nodes": model_tree_nodes,
+    "tree_path_agreement": tree_path_agreement,
+    "tree_weight_agreement": tree_weight_agreement,
+    "sample_path_predictions": sample_path_predictions,
     "sample_model_report": sample_model_report,
     "sample_model_predictions": sample_model_predictions,
     "label_index": label_index,

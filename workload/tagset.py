@@ -139,17 +139,47 @@ def tag_frame(spark: SparkSession, sf_dir: str, code: str) -> DataFrame:
 
 
 def _compute(spark: SparkSession, tag: Tag) -> DataFrame:
-    rules = None
-    if tag.rules:
-        rows = [(i, k, v) for i, (k, v) in enumerate(tag.rules.items())]
-        rules = local_frame(spark, rows, id=pa.int64(), query_value=pa.string(), sub_tag_value=pa.string())
-    return tags.compute_tag(tags.task_query(spark, tag.sql, DAY), rules, tag.value_type)
+    return tags.compute_tag(tags.task_query(spark, tag.sql, DAY), _rules(spark, tag), tag.value_type)
+
+
+# Source queries that several tags share: the same rows as their own queries, in one scan and one aggregation.
+SHARED = {
+    ("TG_OrderCount", "TG_OrderAmount", "TG_LastOrder"): (
+        "select o_custkey as uid, count(*) as tg_ordercount, "
+        "sum(cast(o_totalprice as decimal(16,2))) as tg_orderamount, cast(max(o_orderdate) as date) as tg_lastorder "
+        "from orders where o_orderdate < date_add(date'$dt', 1) group by o_custkey"
+    ),
+    ("TG_Segment", "TG_Balance"): (
+        "select c_custkey as uid, c_mktsegment as tg_segment, c_acctbal as tg_balance from customer"
+    ),
+}
+
+
+def _rules(spark: SparkSession, tag: Tag) -> DataFrame | None:
+    if not tag.rules:
+        return None
+    rows = [(i, k, v) for i, (k, v) in enumerate(tag.rules.items())]
+    return local_frame(spark, rows, id=pa.int64(), query_value=pa.string(), sub_tag_value=pa.string())
+
+
+def _branches(spark: SparkSession, codes: list[str]) -> DataFrame:
+    """Tall rows of these tags; tags whose source is shared are computed together."""
+    shared = []
+    left = list(codes)
+    for group, sql in SHARED.items():
+        if set(group) <= set(left):
+            left = [c for c in left if c not in group]
+            own = [tags.SharedTag(c, BY_CODE[c].value_type, _rules(spark, BY_CODE[c])) for c in group]
+            shared.append(tags.shared_tall(tags.shared_query(spark, sql, DAY, group), own))
+    return merge.tall_table({c: _compute(spark, BY_CODE[c]) for c in left}, shared)
 
 
 def tall(spark: SparkSession, sf_dir: str) -> DataFrame:
     publish_sources(spark, sf_dir)
-    return merge.tall_table({t.code: _compute(spark, t) for t in TAGS})
+    return _branches(spark, CODES)
 
 
 def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merge.wide_table(tall(spark, sf_dir), CODES, one_value=ONE_VALUE)
+    publish_sources(spark, sf_dir)
+    repeated = [c for c in CODES if c not in ONE_VALUE]
+    return merge.wide_table(_branches(spark, ONE_VALUE), CODES, ONE_VALUE, _branches(spark, repeated))

@@ -14,9 +14,9 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.session import stored
+from tagloom.session import scope, stored
 
-__all__ = ["bounded_batches", "by_value", "fold", "kept", "lean", "rank_within", "stored", "table"]
+__all__ = ["bounded_batches", "by_value", "fold", "kept", "lean", "rank_within", "scope", "stored", "table"]
 
 # ASCII white space: blank, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"

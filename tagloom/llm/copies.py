@@ -10,12 +10,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import bounded_batches, by_value, lean, stored
+from tagloom.llm.common import bounded_batches, by_value, lean, scope, stored
 from tagloom.llm.graph import components
 from tagloom.llm.simhash import first_of_each, fingerprints_of, links, shingle_hashes
 
 BANDS, DEEP = 40, 8  # a pair of similarity s shares a band with probability 1 - (1 - s^8)^40: 0.9994 at 0.8
 PART = 1 << 12  # shingles whose permutations are made at a time
+BLOCK = 512  # units of a band that meet each other in one step
 _ODD = np.random.default_rng(42).integers(0, 1 << 32, BANDS * DEEP, dtype=np.uint32) | np.uint32(1)
 
 
@@ -82,7 +83,12 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _similar(pairs: DataFrame, units: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs ``(a, b)`` of units whose sets of shingles have at least this Jaccard similarity."""
+    """The pairs ``(a, b)`` of units whose sets of shingles have at least this Jaccard similarity, stored."""
+    with scope(docs.sparkSession) as own:
+        return own.keep(_similar_pairs(pairs, units, docs, words, similarity))
+
+
+def _similar_pairs(pairs: DataFrame, units: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
     sizes = units.select("unit", "size", "text_hash")
     left = sizes.select(F.col("unit").alias("a"), F.col("size").alias("size_a"))
     right = sizes.select(F.col("unit").alias("b"), F.col("size").alias("size_b"))
@@ -101,7 +107,42 @@ def _similar(pairs: DataFrame, units: DataFrame, docs: DataFrame, words: int, si
     both = pairs.join(sets.select(F.col("unit").alias("a"), F.col("shingles").alias("of_a")), "a")
     both = both.join(sets.select(F.col("unit").alias("b"), F.col("shingles").alias("of_b")), "b")
     common = F.size(F.array_intersect("of_a", "of_b"))
-    return stored(both.where(common >= F.lit(similarity) * (F.col("size_a") + F.col("size_b") - common)).select("a", "b"))
+    return both.where(common >= F.lit(similarity) * (F.col("size_a") + F.col("size_b") - common)).select("a", "b")
+
+
+def _settled(edges: DataFrame) -> DataFrame:
+    """``unit, root`` of the components, stored; their rounds are dropped."""
+    with scope(edges.sparkSession) as own:
+        return own.keep(components(edges).toDF("unit", "root"))
+
+
+def _across(members: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``(a, b)`` of units that share a band, are not yet of one class, and whose sizes allow the similarity.
+
+    A band's units are dealt to blocks of about BLOCK, and two blocks meet in one step, so neither a class nor a band
+    is ever one row or one group, however large it is.
+    """
+    rooted = members.join(roots, "unit", "left").withColumn("root", F.coalesce("root", "unit"))
+    bands = rooted.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
+    bands = stored(bands.where("low != high").select("key", F.ceil(F.col("n") / F.lit(float(BLOCK))).cast("long").alias("parts")))
+    many = rooted.join(bands, "key").withColumn("own", F.pmod(F.xxhash64("unit"), F.col("parts")))
+    many = many.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    unit = F.struct("unit", "root", "size", "own")
+    pair = [F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")]
+    blocks = many.select("key", *pair, unit.alias("unit")).groupBy("key", "i", "j").agg(F.collect_list("unit").alias("units"))
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for i, j, block in zip(batch["i"], batch["j"], batch["units"], strict=True):
+                unit, root, size, own = (np.array([x[f] for x in block], dtype=np.int64) for f in ("unit", "root", "size", "own"))
+                left = np.flatnonzero(own == i)
+                right = left if i == j else np.flatnonzero(own == j)
+                fits = np.minimum(size[left][:, None], size[right][None, :]) >= similarity * np.maximum(size[left][:, None], size[right][None, :])
+                fits &= root[left][:, None] != root[right][None, :]
+                a, b = (unit[side[at]] for side, at in zip((left, right), np.nonzero(fits), strict=True))
+                yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return blocks.mapInPandas(lean(meet), "a long, b long").distinct()
 
 
 def near_copy_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 6) -> DataFrame:
@@ -109,43 +150,37 @@ def near_copy_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8,
 
     Candidates are units that share a MinHash band, and SimHash fingerprints linked by covering masks. No candidate is
     a link before the sets of shingles themselves are compared. First each unit meets the least unit of its bands, and
-    the fingerprints' links are tried. Then in each band the units of different classes meet, so a large class of near
-    copies costs a row for each and not one for each pair. Only a pair that shares no band and no mask is missed.
+    the fingerprints' links are tried. Then in each band the units of different classes meet, block by block, so a large
+    class of near copies costs a row for each and not one for each pair. Only a pair that shares no band and no mask is missed.
 
     NULL texts and texts without words are one unit; a NULL id gets a class; an empty table gives no rows.
     """
     rows = stored(sketches(docs, words))
     units = stored(rows.select("unit", "size", "print", "bands", "text_hash").dropDuplicates(["unit"]))
-    members = units.select("unit", F.explode("bands").alias("key"))
+    members = units.select("unit", "size", F.explode("bands").alias("key"))
     buckets = stored(members.groupBy("key").agg(F.count("*").alias("n"), F.min("unit").alias("a")).where("n > 1").select("key", "a"))
     members = stored(members.join(buckets, "key"))
     first = members.groupBy("unit").agg(F.min("a").alias("a")).select("a", F.col("unit").alias("b"))
 
     leads = stored(units.groupBy("print").agg(F.min("unit").alias("lead")))
     same = units.join(leads, "print").select(F.col("lead").alias("a"), F.col("unit").alias("b"))
-    near = links(leads.select("print"), radius).toDF("p", "q")
+    with scope(docs.sparkSession) as own:
+        near = own.keep(links(leads.select("print"), radius).toDF("p", "q"))
     near = near.join(leads.select(F.col("print").alias("p"), F.col("lead").alias("a")), "p")
     near = near.join(leads.select(F.col("print").alias("q"), F.col("lead").alias("b")), "q").select("a", "b")
     tried = first.union(same).union(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     found = _similar(tried, units, docs, words, similarity)
 
-    roots = stored(components(found).toDF("unit", "root"))
-    rooted = members.select("key", "unit").join(roots, "unit", "left").withColumn("root", F.coalesce("root", "unit"))
-    groups = rooted.groupBy("key", "root").agg(F.collect_list("unit").alias("units"))
-    mixed = groups.groupBy("key").count().where("count > 1").select("key")
-    groups = stored(groups.join(mixed, "key"))
-    other = groups.select("key", F.col("root").alias("other"), F.col("units").alias("others"))
-    pairs = groups.join(other, "key").where("root < other").select(F.explode("units").alias("a"), "others")
-    pairs = pairs.select("a", F.explode("others").alias("b"))
-    more = _similar(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), units, docs, words, similarity)
-
-    roots = stored(components(found.union(more)).toDF("unit", "root"))
+    more = _across(members.select("key", "unit", "size"), _settled(found), similarity)
+    roots = _settled(found.union(_similar(more, units, docs, words, similarity)))
     return rows.join(roots, "unit", "left").select("doc_id", "text_hash", F.coalesce("root", "unit").alias("root"))
 
 
 def without_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 6) -> DataFrame:
     """The rows of ``docs``, with all their columns, without near copies: the least doc_id of each class stays."""
-    return first_of_each(docs, near_copy_classes(docs, words, similarity, radius))
+    with scope(docs.sparkSession) as own:
+        classes = own.keep(near_copy_classes(docs, words, similarity, radius))
+    return first_of_each(docs, classes)
 
 
 by_value(__name__)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import WORD, stored
+from tagloom.llm.common import WORD, scope, stored
 
 # Characters that lower a document's quality weight: marks of tables, markup and noise.
 SYMBOLS = "%$#&*|!<>{}[]=_~^@+\\/"
@@ -120,17 +122,24 @@ def mix(
 def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, seed: int = 7) -> DataFrame:
     """The rows of ``docs``, with all their columns, as often as the mix takes them.
 
-    Equal rows share the copies that the mix takes of them.
+    Equal rows share the copies that the mix takes of them: each has its share, rounded down, and the
+    first of them have one more. A NULL text has no words and is taken as often as
+    its source's complete epochs say; NULL ids and sources are values of their own; an empty table gives no rows. The
+    row travels as one struct, so columns of any name come back as they were.
     """
-    taken = mix(docs, weights, cap, seed).groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("source").alias("_from"))
-    taken = taken.agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
-    rows = docs.withColumn("_text", F.xxhash64("text"))
-    same = (
-        F.col("doc_id").eqNullSafe(F.col("_id"))
-        & (F.col("_text") == F.col("_hash"))
-        & F.col("source").eqNullSafe(F.col("_from"))
+    key = ["id", "hash", "source"]
+    with scope(docs.sparkSession) as own:
+        taken = mix(docs, weights, cap, seed).groupBy(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "source")
+        taken = own.keep(taken.agg(F.sum("copies").alias("copies"), F.count("*").alias("n")))
+    taken = taken.select(*(F.col(k).alias(f"of_{k}") for k in key), "copies", "n")
+    rows = docs.select(
+        F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), F.col("source").cast("string").alias("source")
     )
-    turn = F.row_number().over(Window.partitionBy("_id", "_hash", "_from").orderBy(F.lit(1)))
-    share = F.floor(F.col("_copies") / F.col("_rows")) + F.when(F.col("_turn") <= F.col("_copies") % F.col("_rows"), 1).otherwise(0)
-    rows = rows.join(taken, same).withColumn("_turn", turn).withColumn("_share", share.cast("int"))
-    return rows.where("_share > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_share")))).select(*docs.columns)
+    rows = rows.join(taken, reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in key)))
+    # A row that stands alone needs no turn; only rows that agree in id, text and source are numbered.
+    alone = rows.where("n = 1").select("row", F.col("copies").cast("int").alias("share"))
+    turn = F.row_number().over(Window.partitionBy(*(f"of_{k}" for k in key)).orderBy(F.lit(1)))
+    share = F.floor(F.col("copies") / F.col("n")) + F.when(F.col("turn") <= F.col("copies") % F.col("n"), 1).otherwise(0)
+    among = rows.where("n > 1").withColumn("turn", turn).select("row", share.cast("int").alias("share"))
+    every = alone.union(among).where("share > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("share"))))
+    return every.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

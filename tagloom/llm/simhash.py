@@ -8,7 +8,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.llm.common import bounded_batches, by_value, lean, stored
@@ -201,15 +201,21 @@ def one_of_each(docs: DataFrame, words: int = 5, radius: int = 6) -> DataFrame:
 
 
 def first_of_each(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that come first in their class; ``classes`` has doc_id, text_hash and root."""
-    classes = classes.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "root")
-    first = F.min(F.struct(F.col("_id").isNull().alias("missing"), "_id", "_hash")).alias("first")
-    kept = stored(classes.groupBy("root").agg(first).select("first._id", "first._hash"))
-    rows = docs.withColumn("_own", F.col("doc_id").cast("long")).withColumn("_text", F.xxhash64("text"))
-    same = F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash"))
-    one = Window.partitionBy("_own", "_text").orderBy(F.lit(1))
-    rows = rows.join(kept, same, "left_semi").withColumn("_n", F.row_number().over(one))
-    return rows.where("_n = 1").select(*docs.columns)
+    """The rows of ``docs`` that come first in their class; ``classes`` has doc_id, text_hash and root.
+
+    The row travels as one struct, so columns of any name come back as they were.
+    """
+    counted = classes.groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "text_hash", "n")).alias("first")
+    kept = counted.groupBy("root").agg(first)
+    kept = stored(kept.select(F.col("first.doc_id").alias("kept_id"), F.col("first.text_hash").alias("kept_hash"), "first.n"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"))
+    rows = rows.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("hash") == F.col("kept_hash")))
+    # Of rows that agree in id and text one stays; the aggregate leaves one of them for each map task.
+    other = F.xxhash64(F.to_json(F.struct(*(F.col("row").getField(c).cast("string").alias(f"c{i}") for i, c in enumerate(docs.columns)))))
+    among = rows.where("n > 1").groupBy("id", "hash").agg(F.min_by("row", other).alias("row"))
+    kept_rows = rows.where("n = 1").select("row").union(among.select("row"))
+    return kept_rows.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 by_value(__name__)

@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import bounded_batches, by_value, lean, stored
+from tagloom.llm.common import bounded_batches, by_value, lean, scope, stored
 
 GRAM = 64  # bytes of the first rank
 ROWS = 20_000  # blocks that a task holds before it hands them on
@@ -89,7 +89,7 @@ def pieces_of(data: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray]]
         yield at, data[at : at + PIECE + length - 1]
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
+def _packed(keyed: DataFrame) -> DataFrame:
     """``id, print, packed``: two keys that equal rows share, and the compressed bytes of the text."""
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -103,7 +103,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
                 }
             )
 
-    return _keys(docs).mapInPandas(lean(pack), "id long, print long, packed binary")
+    return keyed.mapInPandas(lean(pack), "id long, print long, packed binary")
 
 
 def _keys(docs: DataFrame) -> DataFrame:
@@ -113,7 +113,7 @@ def _keys(docs: DataFrame) -> DataFrame:
     return docs.select(number.alias("id"), F.xxhash64("doc_id", "text").alias("print"), "text")
 
 
-def runs_of(docs: DataFrame, length: int) -> DataFrame:
+def runs_of(keyed: DataFrame, length: int) -> DataFrame:
     """``id, print, class, span, first, n, lead``: the runs of each text with at least ``length`` bytes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -141,7 +141,7 @@ def runs_of(docs: DataFrame, length: int) -> DataFrame:
                 )
 
     schema = "id long, print long, class long, span long, first long, n int, lead int"
-    return _keys(docs).where(F.octet_length("text") >= length).mapInPandas(lean(run), schema)
+    return keyed.where(F.octet_length("text") >= length).mapInPandas(lean(run), schema)
 
 
 def _blocks(texts: DataFrame, length: int, block: int) -> DataFrame:
@@ -189,58 +189,86 @@ def _blocks(texts: DataFrame, length: int, block: int) -> DataFrame:
     return texts.mapInPandas(lean(run), schema)
 
 
-def _decided(rows: DataFrame, rank: list[str], whole: str) -> tuple[DataFrame, DataFrame]:
+def _decided(rows: DataFrame, rank: list[str], whole: str, keep_first: bool) -> tuple[DataFrame, DataFrame]:
     """Rerank rows by ``rank`` and ``whole``: what is repeated as a whole, and what stays open.
 
     Rows of a rank that occurs once are dropped. A row with weight 1 whose ``whole`` occurs again is repeated as a
     whole. If others of its rank stay open, one row stands in for it among them with weight 2, so that they find it.
+
+    With ``keep_first`` only the rows after the first of equal ones are repeated, and a rank stays open while it has
+    rows that differ as a whole: the first of each kind then stands for it, and the windows they share are decided
+    among them, as the first place of a window is the first of some kind.
     """
     place = F.struct("id", "print", "first", "n", "lead") if "lead" in rows.columns else F.struct("id", "print", "first")
     by_whole = stored(
         rows.groupBy(*rank, whole).agg(F.sum("weight").alias("total"), F.min("weight").alias("light"), F.min(place).alias("at"))
     )
-    alone = (F.col("total") == 1).cast("int")
-    open_ranks = by_whole.groupBy(*rank).agg(F.sum("total").alias("all"), F.max(alone).alias("any"))
-    open_ranks = stored(open_ranks.where((F.col("all") > 1) & (F.col("any") == 1)).select(*rank))
-    repeated = rows.where("weight = 1").join(by_whole.where("total > 1").select(*rank, whole), [*rank, whole], "left_semi")
+    if keep_first:
+        kinds = by_whole.groupBy(*rank).agg(F.count("*").alias("kinds")).where("kinds > 1")
+        again = by_whole.where("total > 1").select(*rank, whole, F.col("at").alias("kept"))
+        later = "id != kept.id or print != kept.print or first != kept.first"
+        repeated = rows.join(again, [*rank, whole]).where(later).drop("kept")
+    else:
+        alone = (F.col("total") == 1).cast("int")
+        kinds = by_whole.groupBy(*rank).agg(F.sum("total").alias("all"), F.max(alone).alias("any"))
+        kinds = kinds.where((F.col("all") > 1) & (F.col("any") == 1))
+        repeated = rows.where("weight = 1").join(by_whole.where("total > 1").select(*rank, whole), [*rank, whole], "left_semi")
+    open_ranks = stored(kinds.select(*rank))
     still = by_whole.join(open_ranks, rank, "left_semi").withColumn("weight", F.least("total", F.lit(2)).cast("int"))
     return repeated, still
 
 
-def repeated_windows(docs: DataFrame, length: int, block: int) -> DataFrame:
-    """``id, print, first, n``: window starts first .. first + n - 1 whose ``length`` bytes also start elsewhere."""
-    runs = stored(runs_of(docs, length))
-    # Counts are stored before they are joined, so that the join of a frequent class can be split.
-    again = stored(runs.groupBy("class").count().where("count > 1").select("class"))
-    runs = stored(runs.join(again, "class", "left_semi").withColumn("weight", F.lit(1)))
-    whole_runs, open_runs = _decided(runs, ["class"], "span")
+def repeated_windows(keyed: DataFrame, length: int, block: int, keep_first: bool = False) -> DataFrame:
+    """``id, print, first, n``: window starts first .. first + n - 1 whose ``length`` bytes also start elsewhere.
 
-    asked = open_runs.select("at.*", "class", "weight").groupBy("id", "print")
-    asked = asked.agg(F.collect_list(F.struct("class", "first", "n", "lead", "weight")).alias("runs"))
-    texts = _keyed(docs.where(F.octet_length("text") >= length)).dropDuplicates(["id", "print"])
-    blocks = stored(_blocks(texts.join(asked, ["id", "print"]).select("id", "print", "packed", "runs"), length, block))
-    rank = ["class", "k", "core"]
-    whole_blocks, open_blocks = _decided(blocks, rank, "outer")
+    With ``keep_first``, windows whose bytes also start earlier, in the order of id, print and place. The result reads
+    three small tables; what they were made from is dropped as soon as they are stored.
+    """
+    spark, columns = keyed.sparkSession, ["id", "print", "first", "n"]
+    with scope(spark) as own:
+        with scope(spark) as first:
+            every = stored(runs_of(keyed, length))
+            # Counts are stored before they are joined, so that the join of a frequent class can be split.
+            again = stored(every.groupBy("class").count().where("count > 1").select("class"))
+            runs = first.keep(every.join(again, "class", "left_semi").withColumn("weight", F.lit(1)))
+        repeated, still = _decided(runs, ["class"], "span", keep_first)
+        whole_runs = own.keep(repeated.select(*columns))
+        asked = still.select("at.*", "class", "weight").groupBy("id", "print")
+        asked = own.keep(asked.agg(F.collect_list(F.struct("class", "first", "n", "lead", "weight")).alias("runs")))
 
-    chosen = open_blocks.select(*rank, "outer", F.col("at.id").alias("id"), F.col("at.print").alias("print"), F.col("at.first").alias("first"), F.col("weight").alias("heavy"))
-    windows = stored(
-        blocks.join(chosen, [*rank, "outer", "id", "print", "first"])
-        .select("id", "print", "class", "core", "first", F.greatest("weight", "heavy").alias("weight"), F.posexplode("names").alias("at", "name"))
-    )
-    twice = windows.groupBy("class", "core", "name").agg(F.sum("weight").alias("total")).where("total > 1")
-    twice = stored(twice.select("class", "core", "name"))
-    single = windows.where("weight = 1").join(twice, ["class", "core", "name"], "left_semi")
-    columns = ["id", "print", "first", "n"]
+    rank = ["class", "k", "core"]
+    with scope(spark) as own:
+        with scope(spark) as first:
+            texts = _packed(keyed.where(F.octet_length("text") >= length)).dropDuplicates(["id", "print"])
+            blocks = _blocks(texts.join(asked, ["id", "print"]).select("id", "print", "packed", "runs"), length, block)
+            blocks = first.keep(blocks)
+        repeated, still = _decided(blocks, rank, "outer", keep_first)
+        whole_blocks = own.keep(repeated.select(*columns))
+        chosen = still.select(
+            *rank, "outer", F.col("at.id").alias("id"), F.col("at.print").alias("print"), F.col("at.first").alias("first"), F.col("weight").alias("heavy")
+        )
+        one = blocks.select(*rank, "outer", "id", "print", "first", "weight", "names")
+        windows = own.keep(
+            one.join(chosen, [*rank, "outer", "id", "print", "first"])
+            .select("id", "print", "class", "core", "first", F.greatest("weight", "heavy").alias("weight"), F.posexplode("names").alias("at", "name"))
+            .select("id", "print", "class", "core", (F.col("first") + F.col("at")).alias("first"), "weight", "name")
+        )
+    name = ["class", "core", "name"]
+    twice = windows.groupBy(*name).agg(F.sum("weight").alias("total"), F.min(F.struct("id", "print", "first")).alias("kept"))
+    twice = stored(twice.where("total > 1").select(*name, "kept"))
+    found = windows.join(twice, name)
+    found = found.where("id != kept.id or print != kept.print or first != kept.first") if keep_first else found.where("weight = 1")
     return (
-        whole_runs.select(*columns)
-        .union(whole_blocks.select(*columns))
-        .union(single.select("id", "print", (F.col("first") + F.col("at")).alias("first"), F.lit(1).alias("n")))
+        whole_runs.union(whole_blocks).union(found.select("id", "print", "first", F.lit(1).alias("n")))
     )
 
 
-def _spans(docs: DataFrame, length: int, block: int) -> DataFrame:
-    spans = repeated_windows(docs, length, block).groupBy("id", "print")
-    return spans.agg(F.collect_list(F.struct("first", "n")).alias("spans"))  # bounded by the text's length
+def _spans(keyed: DataFrame, length: int, block: int, keep_first: bool = False) -> DataFrame:
+    """``id, print, spans``, stored; nothing else is left of the search."""
+    with scope(keyed.sparkSession) as own:
+        spans = repeated_windows(keyed, length, block, keep_first).groupBy("id", "print")
+        # Bounded by the text's length.
+        return own.keep(spans.agg(F.collect_list(F.struct("first", "n")).alias("spans")))
 
 
 def _gone(size: int, spans, length: int) -> np.ndarray:
@@ -270,7 +298,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, block: int = 16) -> DataF
     NULL and empty texts lose nothing, nor do texts under ``length`` bytes. Repeated rows are copies of each other.
     Long texts are cut to overlapping pieces inside a task. An empty table gives no rows.
     """
-    spans = _spans(docs, length, block)
+    keyed = _keys(docs)
+    spans = _spans(keyed, length, block)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unpack = zstandard.ZstdDecompressor().decompress
@@ -289,7 +318,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, block: int = 16) -> DataF
             frame.insert(0, "doc_id", batch["id"].where(batch["id"] != -(1 << 63)).astype("Int64"))
             yield frame
 
-    texts = _keyed(docs).join(spans, ["id", "print"], "left").select("id", "packed", "spans")
+    texts = _packed(keyed).join(spans, ["id", "print"], "left").select("id", "packed", "spans")
     return texts.mapInPandas(lean(cut), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
@@ -302,20 +331,21 @@ def coded(text: str) -> str:
     return _LETTERS[((names[:, None] >> places) & np.uint64(63)).astype(np.intp)].tobytes().decode()
 
 
-def _word_spans(docs: DataFrame, words: int, block: int) -> DataFrame:
-    """``id, spans``: runs of ``words`` words that also start elsewhere, in letters of the coded text.
+def _word_spans(keyed: DataFrame, words: int, block: int, keep_first: bool) -> DataFrame:
+    """``id, print, spans``: runs of ``words`` words that also start elsewhere, in letters of the coded text.
 
-    The id is the print of ``_keys``. Two runs are taken for each other only if all words but one are equal and that
-    one's letters coincide, with a probability of 2^-36.
+    Two runs are taken for each other only if all words but one are equal and that one's letters coincide, with a
+    probability of 2^-36.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["print"], "text": [coded(t) for t in batch["text"]]})
+            yield pd.DataFrame({"id": batch["id"], "print": batch["print"], "text": [coded(t) for t in batch["text"]]})
 
-    rows = _keys(docs).where(F.octet_length("text") >= 2 * words - 1).select("print", "text")
-    codes = stored(rows.mapInPandas(lean(run), "doc_id long, text string").where(F.length("text") >= CODE * words))
-    return _spans(codes, CODE * words, block).select("id", "spans")
+    with scope(keyed.sparkSession) as own:
+        rows = keyed.where(F.octet_length("text") >= 2 * words - 1)
+        codes = stored(rows.mapInPandas(lean(run), "id long, print long, text string").where(F.length("text") >= CODE * words))
+        return own.keep(_spans(codes, CODE * words, block, keep_first))
 
 
 def _gone_words(data: bytes, spans, words: int) -> np.ndarray:
@@ -333,16 +363,37 @@ def _gone_words(data: bytes, spans, words: int) -> np.ndarray:
     return np.repeat(np.cumsum(step[:-1]) > 0, np.diff(edges))
 
 
-def without_repeats(docs: DataFrame, length: int = 400, block: int = 16, words: int | None = None) -> DataFrame:
+def without_repeats(
+    docs: DataFrame, length: int = 400, block: int = 16, words: int | None = None, keep_first: bool = True
+) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose texts have lost repeated strings.
 
-    With ``words`` they also lose every run of that many words that starts elsewhere too, however short its words are
-    and whatever blanks stand between them, with the blanks after its words.
+    Each byte goes that a string of ``length`` bytes covers which starts earlier too, in the order of doc_id and place
+    (texts with the same id in the order of their hash). So the first place of a repeated passage keeps it, and
+    nothing leaves the corpus altogether; without ``keep_first`` every place loses it. With ``words``
+    also every run of that many words that starts earlier goes, however short its words are and whatever blanks stand
+    between them, with the blanks after its words. The two searches run in turn, each on the texts as they are given,
+    and the tables of one are dropped before the other begins.
 
     ``n_chars``, where it is there, follows the text; a character that is cut inside goes as a whole. A text of which
-    nothing is left leaves the table.
+    nothing is left leaves the table. NULL and empty texts, and texts shorter than both lengths, stay as they are. Rows
+    that agree in id and text are one text: each keeps what that text keeps, so copies of one row do not cut each
+    other. A NULL id counts as the first. An empty table gives no rows.
     """
-    spans = _spans(docs, length, block).select(F.col("id").alias("_id"), F.col("print").alias("_print"), F.col("spans").alias("_spans"))
+    keyed = _keys(docs)
+    spans = _spans(keyed, length, block, keep_first)
+    empty = F.lit(None).cast(spans.schema["spans"].dataType)
+    rows = docs.select(
+        F.struct("*").alias("row"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"),
+        F.xxhash64("doc_id", "text").alias("print"),
+    )
+    rows = rows.join(spans, ["id", "print"], "left")
+    if words is None:
+        rows = rows.withColumn("runs", empty)
+    else:
+        runs = _word_spans(keyed, words, block, keep_first).withColumnRenamed("spans", "runs")
+        rows = rows.join(runs, ["id", "print"], "left")
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, lists: pd.Series, runs: pd.Series) -> pd.Series:
@@ -357,19 +408,15 @@ def without_repeats(docs: DataFrame, length: int = 400, block: int = 16, words:
             out.append(np.frombuffer(data, np.uint8)[~gone].tobytes().decode("utf-8", "ignore"))
         return pd.Series(out, dtype=object)
 
-    number = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    keyed = docs.withColumn("_id", number).withColumn("_print", F.xxhash64("doc_id", "text"))
-    joined = keyed.join(spans, ["_id", "_print"], "left")
-    if words is None:
-        joined = stored(joined.withColumn("_runs", F.lit(None).cast(spans.schema["_spans"].dataType)))
-    else:
-        runs = _word_spans(docs, words, block).select(F.col("id").alias("_print"), F.col("spans").alias("_runs"))
-        joined = stored(joined.join(runs, "_print", "left"))
-    some = F.col("_spans").isNotNull() | F.col("_runs").isNotNull()
-    touched = joined.where(some).withColumn("text", cut("text", "_spans", "_runs")).where(F.col("text") != "")
+    rows = rows.select("row", "spans", "runs")
+    some = F.col("spans").isNotNull() | F.col("runs").isNotNull()
+    touched = rows.where(some).select("row", cut(F.col("row").getField("text"), "spans", "runs").alias("text")).where("text != ''")
+    changed = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        touched = touched.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return joined.where(~some).select(*docs.columns).union(touched.select(*docs.columns))
+        changed["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    same = [F.col("row").getField(c).alias(c) for c in docs.columns]
+    new = [changed.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns]
+    return rows.where(~some).select(*same).union(touched.select(*new))
 
 
 by_value(__name__)

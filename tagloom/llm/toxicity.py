@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -257,15 +258,22 @@ def without_toxic(
     threshold: float = 0.7,
     sample_rows: int = 20_000,
 ) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose text scores below the threshold."""
+    """The rows of ``docs``, with all their columns, whose text scores below the threshold.
+
+    The model and the score are those of ``toxicity_scores``: NULL and empty texts show no evidence and stay, rows with
+    a NULL id and repeated rows are scored each, so equal texts stay or go together, texts of any length are scored as
+    a whole, and an empty table gives no rows. The row travels as one struct, so columns of any name come back.
+    """
     model = fit_toxicity(docs, labels, folds, left_out, sample_rows)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            texts = pc.struct_field(batch.column(0), "text").to_pylist()
             yield batch.filter(pa.array([model.score(t) < threshold for t in texts], pa.bool_()))
 
-    return docs.mapInArrow(lean(keep), docs.schema)
+    rows = docs.select(F.struct("*").alias("row"))
+    kept_rows = rows.mapInArrow(lean(keep), rows.schema)
+    return kept_rows.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 by_value(__name__)

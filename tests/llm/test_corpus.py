@@ -293,7 +293,7 @@ def test_texts_without_repeats(spark):
 
     rows = [(d, t) for d, t in ROWS if d is not None]
     docs = table(spark, rows)
-    out = without_repeats(docs, 100)
+    out = without_repeats(docs, 100, keep_first=False)
     assert out.columns == docs.columns
     want = Counter()
     for (d, n, removed, _, kept), times in brute.without_repeats(rows, 100).items():
@@ -303,8 +303,12 @@ def test_texts_without_repeats(spark):
 
 
 def test_pipeline_stages_in_turn(spark):
+    from test_copies import shingles
+    from test_repeated_words import brute_words
+
     import corpus_pipeline
     from tagloom.llm.common import stored
+    from tagloom.llm.queries import op2_toxicity
 
     assert [name for name, _ in corpus_pipeline.STAGES] == [
         "toxicity", "near_copies", "repeated_strings", "source_mix", "packing",
@@ -317,19 +321,47 @@ def test_pipeline_stages_in_turn(spark):
         seen.append((before, docs))
         before = docs
     toxic, single, cut, mixed = (after for _, after in seen)
-    assert 0 < toxic.count() < 1000
+    scores = {r.doc_id: r.predicted for r in op2_toxicity(spark, SF).collect()}
+    assert {r.doc_id for r in toxic.collect()} == {d for d, predicted in scores.items() if not predicted}
+    # One document of each class of texts that are linked by a Jaccard similarity of 0.8.
     rows = [(r.doc_id, r.text) for r in toxic.collect()]
-    classes = brute.simhash_classes(rows, 5, 6)
-    assert sorted(r.doc_id for r in single.collect()) == sorted({c for _, _, c in classes})
+    sets = {t: shingles(t) for _, t in rows}
+    order = sorted(set(sets.values()), key=sorted)
+    at = {s: i for i, s in enumerate(order)}
+    by_shingle = defaultdict(list)
+    for i, own in enumerate(order):
+        for shingle in own:
+            by_shingle[shingle].append(i)
+    shared = Counter((i, j) for own in by_shingle.values() for n, i in enumerate(own) for j in own[n + 1 :])
+    near = {p for p, n in shared.items() if n >= 0.8 * (len(order[p[0]]) + len(order[p[1]]) - n)}
+    root = list(range(len(order)))
+    for _ in range(len(order)):
+        before = list(root)
+        for i, j in near:
+            root[i] = root[j] = min(root[i], root[j])
+        if root == before:
+            break
+    least = {}
+    for d, t in rows:
+        least[root[at[sets[t]]]] = min(d, least.get(root[at[sets[t]]], d))
+    assert sorted(r.doc_id for r in single.collect()) == sorted(least.values()) and len(near) > 3
     rows = [(r.doc_id, r.text) for r in single.collect()]
-    want = {d: k.decode("utf-8", "ignore") for d, _, _, _, k in brute.without_repeats(rows, 400)}
-    assert {r.doc_id: r.text for r in cut.collect()} == {d: t for d, t in want.items() if t}
+    want = {d: t for d, t in brute_words(rows, 400, 50) if t}
+    assert {r.doc_id: b"".join(r.text.encode().split()) for r in cut.collect()} == want
     assert max(Counter(r.doc_id for r in mixed.collect()).values()) <= 3
     packed = corpus_pipeline.run(spark, SF)
     assert sum(r.n for r in packed.groupBy("doc_id", "start").agg(F.count("*").alias("n")).collect()) == packed.count()
     assert packed.select("doc_id").distinct().count() == mixed.select("doc_id").distinct().count()
 
 
+def test_pipeline_over_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_mix_query_equals_its_sql(spark):
     from compare import connect, difference
 

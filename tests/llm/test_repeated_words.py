@@ -6,24 +6,36 @@ from collections import Counter
 from test_text_operators import ROWS, table
 
 
-def brute_words(rows, length, words):
-    """The words that stay in each text: neither 400-byte strings nor runs of words that start elsewhere too."""
+def first_places(items):
+    """The least (id, place) of each string or run of words."""
+    least = {}
+    for place, item in items:
+        if item not in least or place < least[item]:
+            least[item] = place
+    return least
+
+
+def brute_words(rows, length, words, keep_first=True):
+    """The words that stay in each text: neither 400-byte strings nor runs of words that start earlier too."""
     data = [(d, (t or "").encode()) for d, t in rows]
-    strings = Counter(b[i : i + length] for _, b in data for i in range(len(b) - length + 1))
-    split = [b.split() for _, b in data]
-    runs = Counter(tuple(w[i : i + words]) for w in split for i in range(len(w) - words + 1))
+    strings = lambda: (((d, i), b[i : i + length]) for d, b in data for i in range(len(b) - length + 1))
+    split = [(d, b.split()) for d, b in data]
+    runs = lambda: (((d, i), tuple(w[i : i + words])) for d, w in split for i in range(len(w) - words + 1))
+    first, first_run = first_places(strings()), first_places(runs())
+    n, n_runs = Counter(x for _, x in strings()), Counter(x for _, x in runs())
+    goes = lambda place, item, least, times: times[item] > 1 and (not keep_first or least[item] != place)
     out = Counter()
-    for (d, b), w in zip(data, split, strict=True):
+    for (d, b), (_, w) in zip(data, split, strict=True):
         gone = bytearray(len(b))
         for i in range(len(b) - length + 1):
-            if strings[b[i : i + length]] > 1:
+            if goes((d, i), b[i : i + length], first, n):
                 gone[i : i + length] = b"\x01" * length
         ends, at = [], 0
         for word in w:
             at = b.index(word, at) + len(word)
             ends.append(at)
         for i in range(len(w) - words + 1):
-            if runs[tuple(w[i : i + words])] > 1:
+            if goes((d, i), tuple(w[i : i + words]), first_run, n_runs):
                 low = ends[i] - len(w[i])
                 gone[low : ends[i + words - 1]] = b"\x01" * (ends[i + words - 1] - low)
         kept = bytes(c for c, g in zip(b, gone, strict=True) if not g)
@@ -49,5 +61,59 @@ def test_words_equal_all_runs(spark):
     want = brute_words(rows, 400, 50)
     assert {k: n for k, n in got.items() if k[1]} == {k: n for k, n in want.items() if k[1]}
     short = {r.doc_id: r.text for r in out}
+    joined = " ".join(passages[0])
     assert 3000 not in short and 3001 not in short
-    assert " ".join(passages[0]) not in short[2000] and passages[2][20] in short[2002]
+    # The first place of a passage keeps it, the others lose it; 49 words are no passage.
+    assert joined in " ".join(short[2000].split()) and joined not in " ".join(short[2003].split())
+    assert passages[2][20] in short[2002] and passages[2][20] in short[2005]
+    whole = brute_words(rows, 400, 50, keep_first=False)
+    from tagloom.llm.suffix import without_repeats
+
+    got = Counter((r.doc_id, b"".join((r.text or "").encode().split())) for r in without_repeats(table(spark, rows), 400, words=50, keep_first=False).collect())
+    assert {k: n for k, n in got.items() if k[1]} == {k: n for k, n in whole.items() if k[1]}
+
+
+def test_passages_on_both_sides_of_400_bytes(spark):
+    """The digest query's 400 bytes and the stage's 50 words: what each of them finds of planted passages."""
+    from tagloom.llm.suffix import remove_repeats, without_repeats
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 9)))
+    rows, short, long = [], set(), set()
+    for i in range(40):
+        passage = " ".join(word() for _ in range(52 if i % 2 else 90))
+        for copy in range(2):
+            own = [word() for _ in range(rng.randrange(20, 60))]
+            rows.append((100 * copy + i, " ".join([*own, passage, *own[::-1]])))
+            (long if len(passage) >= 400 else short).add(100 * copy + i)
+    rows += [(900 + i, " ".join(word() for _ in range(150))) for i in range(40)]
+    assert len(short) == len(long) == 40
+    cut = {r.doc_id for r in remove_repeats(table(spark, rows)).where("n_removed > 0").collect()}
+    assert cut == long  # 400 bytes is the contract: a passage of 52 words may be shorter
+    texts = dict(rows)
+    changed = {r.doc_id for r in without_repeats(table(spark, rows), 400, words=50).collect() if r.text != texts[r.doc_id]}
+    assert changed == {d for d in short | long if d >= 100}  # every passage but its first place
+
+
+def test_columns_of_any_name_come_back(spark):
+    """Every name that the stages use inside, as a column of the documents."""
+    from tagloom.llm.copies import without_near_copies
+    from tagloom.llm.mixing import mixed
+    from tagloom.llm.suffix import without_repeats
+    from tagloom.llm.toxicity import without_toxic
+
+    names = ["_text", "_own", "_n", "_id", "_hash", "_turn", "_share", "_copy", "_copies", "_rows", "_from", "_spans", "_runs", "_print", "row", "id",
+             "hash", "print", "spans", "runs", "share", "n", "copies", "turn", "of_id", "of_hash", "of_source", "kept_id", "kept_hash", "root", "first",
+             "score", "predicted", "held_out", "toxic", "a.b"]
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    texts = [" ".join(word() for _ in range(120)) for _ in range(6)]
+    texts += [texts[0], texts[1] + " " + texts[2][:420], None, ""]
+    schema = "doc_id long, text string, source string, " + ", ".join(f"`{n}` string" for n in names)
+    docs = spark.createDataFrame([(i, t, f"s{i % 2}", *(f"{n} {i}" for n in names)) for i, t in enumerate(texts)], schema)
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    for stage in (without_near_copies, without_repeats, mixed, lambda d: without_toxic(d, none)):
+        out = stage(docs)
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert got and all(r[n] == f"{n} {r.doc_id}" for r in got for n in names)

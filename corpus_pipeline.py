@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tagloom.llm.common import stored, table
+from tagloom.llm.common import scope, table
 from tagloom.llm.copies import without_near_copies
 from tagloom.llm.mixing import mixed
 from tagloom.llm.packing import pack_documents
@@ -24,7 +24,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts lose every string of 400 bytes and every run of 50 words that also starts elsewhere."""
+    """Texts lose every string of 400 bytes and every run of 50 words that starts earlier too; the first place stays."""
     return without_repeats(docs, length=400, words=50)
 
 
@@ -35,7 +35,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with their places in sequences of 2,048."""
-    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
 STAGES = [
@@ -51,8 +51,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written as Parquet and read by the next stage."""
+    """All stages over ``documents``; each result is written as Parquet and read by the next stage.
+
+    What a stage stores on its way is dropped with its scope, once its result is stored.
+    """
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir))
+        with scope(spark) as own:
+            docs = own.keep(stage(spark, docs, sf_dir))
     return docs

@@ -85,6 +85,7 @@ class Pack:
         coded = words.dictionary_encode()
         known = coded.dictionary.to_pylist()
         self.names = np.array([xxhash.xxh64_intdigest(w, 1) for w in known] + [END_NAME], dtype=np.uint64)
+        marks = np.array([xxhash.xxh64_intdigest(w, 2) for w in known] + [END_NAME >> 1], dtype=np.uint64)
         end = len(known)
         self.n_tokens = lengths + 1
         stops = np.cumsum(self.n_tokens) - 1
@@ -106,9 +107,12 @@ class Pack:
             mixed = (first ^ (first >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + second
             mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
             pair_names = mixed ^ (mixed >> np.uint64(31))
+            mixed = marks[pairs // (end + 1)] * np.uint64(0x9E3779B97F4A7C15) + marks[pairs % (end + 1)]
+            pair_marks = (mixed ^ (mixed >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
         self.kinds = []
-        for names, at in ((self.names, self.tokens), (pair_names, self.pair_at)):
-            bucket = (names >> np.uint64(48)) % np.uint64(buckets)
+        # The bucket comes from a hash of its own, so that both hashes' bits tell items apart.
+        for names, by, at in ((self.names, marks, self.tokens), (pair_names, pair_marks, self.pair_at)):
+            bucket = (by >> np.uint64(8)) % np.uint64(buckets)
             key = names & np.uint64((1 << bits) - 1) if bits < 64 else names
             order = np.lexsort((key, bucket))
             counts = np.bincount(at[self.trains], minlength=len(names))
@@ -304,7 +308,8 @@ def interpolated_scores(docs: DataFrame, folds: int = 7, left_out: int = 2) -> D
     Documents lie in packs. A pack sends its distinct words and pairs with their counts, dealt to buckets by hash,
     and gets the counts over all packs back in the order sent, so a frequent word is one item for each pack and no
     token travels alone. Buckets and the width of the keys follow the size of the corpus; the driver gets a fixed
-    grid of cells only. Words and pairs are known by hashes of at least twice the bits of the number of tokens.
+    grid of cells only. Words and pairs are known by hashes of twice the bits of the number of tokens, the bucket
+    included; a key has 64 bits at most, which is enough for 10^14 tokens.
 
     A NULL text is empty and scored for its end alone; rows with a NULL id fall into the fold of an empty id;
     repeated rows count and are scored each; an empty table gives no rows. Without training rows all tokens are
@@ -314,8 +319,8 @@ def interpolated_scores(docs: DataFrame, folds: int = 7, left_out: int = 2) -> D
     packs = stored(packed(docs, folds, left_out))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)) + F.count("*")).first()[0]
     tokens = max(1000, size / 4)
-    buckets = min(1 << 15, max(8, math.ceil(tokens / BUCKET_ITEMS)))
-    bits = min(48, math.ceil(2 * math.log2(tokens) - math.log2(buckets)))  # the bucket is from the other 16 bits
+    buckets = max(8, math.ceil(tokens / BUCKET_ITEMS))
+    bits = min(64, math.ceil(2 * math.log2(tokens) - math.log2(buckets)))  # the bucket is a further hash
 
     sums = _sent(packs, buckets, bits).groupBy("kind", "bucket")
     sums = stored(sums.applyInPandas(_summed, "pack long, totals binary, tokens long, distinct long, kind int, bucket int"))

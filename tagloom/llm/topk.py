@@ -93,28 +93,50 @@ def _products(candidates: np.ndarray, query: np.ndarray) -> np.ndarray:
 
 
 def _search(width: int, k: int):
+    """The k best rows for each query, from pairs of blocks ordered by the block of queries and by falling length.
+
+    A query's floor rises with its k-th best score, so the shorter blocks that follow are passed over sooner.
+    """
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+        def told() -> pd.DataFrame:
+            q = np.frombuffer(held, np.int64) if held else np.zeros(0, np.int64)
+            out = [(int(q[i]), int(n), int(s)) for i, (scores, ids) in best.items() for s, n in zip(scores, ids, strict=True)]
+            return pd.DataFrame(out, columns=["query_id", "vec_id", "score"], dtype=np.int64)
+
         for batch in batches:
-            out: list[tuple] = []
             for row in batch.itertuples(index=False):
+                if row.q_ids != held:
+                    if held:
+                        yield told()
+                    held, best = row.q_ids, {}
+                    q_ids = np.frombuffer(row.q_ids, np.int64)
+                    q_exact = np.frombuffer(row.q_exact).reshape(-1, width)
+                    q_head = np.frombuffer(row.q_head).reshape(len(q_ids), -1)
+                    q_rest = np.frombuffer(row.q_rest)
+                    floors = np.frombuffer(row.floors).copy()
+                    q_long = np.sqrt((q_exact**2).sum(axis=1))
                 ids = np.frombuffer(row.ids, np.int64)
                 exact = np.frombuffer(row.exact).reshape(-1, width)
                 head = np.frombuffer(row.head).reshape(len(ids), -1)
-                rest = np.frombuffer(row.rest)
-                q_ids = np.frombuffer(row.q_ids, np.int64)
-                q_exact = np.frombuffer(row.q_exact).reshape(-1, width)
-                q_head = np.frombuffer(row.q_head).reshape(len(q_ids), -1)
-                q_rest = np.frombuffer(row.q_rest)
-                floors = np.frombuffer(row.floors)
-                q_long = np.sqrt((q_exact**2).sum(axis=1))
-                bound = q_head @ head.T + q_rest[:, None] * rest[None, :]
+                bound = q_head @ head.T + q_rest[:, None] * np.frombuffer(row.rest)[None, :]
                 slack = 1e-9 * (1.0 + q_long * row.longest)
                 for i in np.flatnonzero(q_long * row.longest + slack >= floors):  # Cauchy-Schwarz for the block
                     at = np.flatnonzero((bound[i] + slack[i] >= floors[i]) & (ids != q_ids[i]))
-                    scores = _products(exact[at], q_exact[i])
-                    best = np.lexsort((ids[at], -scores))[:k] if len(at) else []
-                    out.extend((int(q_ids[i]), int(ids[at[b]]), int(scores[b])) for b in best)
-            yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"], dtype=np.int64)
+                    if not len(at):
+                        continue
+                    scores, own = _products(exact[at], q_exact[i]), ids[at]
+                    if i in best:
+                        scores, own = np.concatenate([best[i][0], scores]), np.concatenate([best[i][1], own])
+                    order = np.lexsort((own, -scores))[:k]
+                    best[i] = scores[order], own[order]
+                    if len(order) == k:
+                        floors[i] = max(floors[i], float(best[i][0][-1]))
+        if held:
+            yield told()
 
     return run
 
@@ -126,7 +148,7 @@ def top_k(
     scale: float = 256.0,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
-    groups: int = 64,
+    in_group: int = 8,
 ) -> DataFrame:
     """Each query's k largest inner products among all other rows: query_id, rank, vec_id, score.
 
@@ -136,8 +158,9 @@ def top_k(
     passed over if the product of lengths stays below the bound, and a row if its partial sum and the product of
     the residual lengths (Cauchy-Schwarz) do; what is left is multiplied exactly.
 
-    Queries travel in blocks to each of ``groups`` groups of candidate blocks; a pair of blocks is one row, and at
-    most k rows for each query leave it. Vectors that are NULL or hold NULL or non-finite components take no part,
+    Queries travel in blocks to each group of about ``in_group`` candidate blocks, whose number follows that of the rows; a
+    pair of blocks is one row. Within a task the blocks pass by falling length and each query's bound rises with its
+    k-th best score; at most k rows for each query leave a task. Vectors that are NULL or hold NULL or non-finite components take no part,
     nor do rows without an id; shorter vectors are padded with zeros. A row never finds rows of its own id. Of
     query rows with the same id the least vector asks; equal candidate rows are ranked each. An empty table gives
     no rows.
@@ -166,12 +189,14 @@ def top_k(
     found = "query_id long, vec_id long, score long"
     run = _search(width, k)
 
+    groups = max(8, -(-blocks.count() // in_group))
     group = F.pmod(F.xxhash64("ids"), F.lit(groups))
     dealt = blocks.withColumn("group", group)
     everywhere = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("group")
 
     def pairs(asking: DataFrame, among: DataFrame) -> DataFrame:
-        return among.join(asking.select("*", everywhere), "group").drop("group")
+        met = among.join(asking.select("*", everywhere), "group").drop("group")
+        return met.sortWithinPartitions("q_ids", F.desc("longest"), "ids")
 
     def no_floor(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -31,6 +31,12 @@ def parse(argv: list[str] | None = None) -> argparse.Namespace:
     tag.add_argument("--warehouse", help="database the task's query runs in")
     tag.add_argument("--tab-text", action="store_true", help="store the tag as tab-delimited text")
     tag.add_argument("--lenient", action="store_true", help="values of the wrong type become NULL")
+    several = jobs.add_parser("tags", parents=[shared], help="compute the tags of several tasks from one query")
+    several.add_argument("--tasks", type=int, nargs="+", required=True)
+    several.add_argument("--sql", required=True, help="yields uid and a column for each tag code; $dt stands for the day")
+    several.add_argument("--warehouse", help="database the query runs in")
+    several.add_argument("--tab-text", action="store_true", help="store the tags as tab-delimited text")
+    several.add_argument("--lenient", action="store_true", help="values of the wrong type become NULL")
     merge = jobs.add_parser("merge", parents=[shared], help="merge the day's tags into the wide table")
     merge.add_argument("--one-value", nargs="*", default=[], help="tags a user has at most once")
     export = jobs.add_parser("export", parents=[shared], help="export the wide table over JDBC")
@@ -102,6 +108,19 @@ def main(argv: list[str] | None = None) -> None:
             strict=not args.lenient,
             tab_text=args.tab_text,
         )
+    elif args.job == "tags":
+        plans.run_shared_tasks(
+            spark,
+            meta(),
+            args.tasks,
+            args.dt,
+            args.database,
+            args.sql,
+            args.warehouse,
+            args.base,
+            strict=not args.lenient,
+            tab_text=args.tab_text,
+        )
     elif args.job == "merge":
         plans.run_merge(spark, meta(), args.dt, args.database, args.base, args.prefix, args.one_value)
     elif args.job == "export":

@@ -153,3 +153,29 @@ def test_command_line_runs_the_daily_jobs(spark, database, warehouse):
     assert spark.table(f"{database}.{plans.BITMAP_TABLE}").count() == 5
     args = parse(["export", *shared, "--url", "jdbc:x", "--partitions", "8"])
     assert (args.job, args.url, args.partitions) == ("export", "jdbc:x", 8)
+
+
+def test_one_query_computes_several_tags(spark, database, warehouse):
+    """The tables of a shared query are those of the tags' own queries; members as containers of unsigned ids."""
+    from tagloom.__main__ import main
+
+    meta = metadata(spark)
+    for name, frame in (("tag_info", meta.tag_info), ("task_info", meta.task_info), ("task_tag_rule", meta.rules)):
+        frame.write.mode("overwrite").saveAsTable(f"{warehouse}.{name}")
+    shared = ["--dt", DAY, "--database", database, "--metadata", warehouse]
+    for task in ("1", "2"):
+        main(["tag", *shared, "--task", task, "--warehouse", warehouse])
+    alone = {t: rows(spark.table(f"{database}.{t}")) for t in ("tg_sex", "tg_age")}
+    sql = "select id as uid, sex as TG_Sex, age as TG_Age from people where day <= '$dt'"
+    for _ in range(2):
+        main(["tags", *shared, "--tasks", "1", "2", "--warehouse", warehouse, "--sql", sql])
+    assert {t: rows(spark.table(f"{database}.{t}")) for t in alone} == alone
+    assert spark.catalog.currentDatabase() == "default"
+    main(["merge", *shared])
+    main(["bitmaps", *shared, "--unsigned", "--runs"])
+    held = spark.table(f"{database}.{plans.CONTAINER_TABLE}")
+    assert held.count() == 5 and held.filter("size(runs) > 0").count() == 5
+    with pytest.raises(LookupError, match="no tag"):
+        plans.run_shared_tasks(spark, meta, [1, 3], DAY, database, sql, warehouse)
+    with pytest.raises(ValueError, match="missing"):
+        plans.run_shared_tasks(spark, meta, [1, 2], DAY, database, "select 1 as uid, 2 as tg_sex")

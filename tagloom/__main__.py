@@ -11,6 +11,7 @@ from tagloom.operators.features import DWELL_SETS, TOP_CATEGORIES, VISIT_ITEM_TY
 from tagloom.operators.model import BEHAVIOUR_PARAMS, feature_weights, tree_text
 from tagloom.session import spark_session
 from tagloom.sources.catalog import Metadata
+from tagloom.sources.tables import preview
 
 
 def parse(argv: list[str] | None = None) -> argparse.Namespace:
@@ -64,6 +65,11 @@ def parse(argv: list[str] | None = None) -> argparse.Namespace:
     train = jobs.add_parser("train", parents=[shared, label], help="train the label model")
     train.add_argument("--new-categories", choices=("keep", "error"), default="keep")
     train.add_argument("--seed", type=int, default=0)
+    sample = jobs.add_parser("train-sample", parents=[shared], help="train the sample model")
+    sample.add_argument("--model", required=True, help="folder of the model")
+    sample.add_argument("--samples", required=True, help="table of samples with their label")
+    sample.add_argument("--seed", type=int, default=0)
+    sample.add_argument("--preview", type=int, default=100, help="held-out rows that are shown with their prediction")
     predict = jobs.add_parser("predict", parents=[shared, label], help="write the label tag")
     predict.add_argument("--table", required=True, help="name of the label tag")
     predict.add_argument("--treat-empty-as-missing", action="store_true")
@@ -140,6 +146,13 @@ def main(argv: list[str] | None = None) -> None:
     elif args.job == "bitmaps":
         ids = UNSIGNED if args.unsigned else SIGNED
         plans.run_bitmaps(spark, meta(), args.dt, args.database, args.base, args.prefix, ids=ids, with_runs=args.runs)
+    elif args.job == "train-sample":
+        samples = spark.table(args.samples)
+        fitted, report, scored = plans.run_sample_training(samples, args.model, seed=args.seed)
+        print(tree_text(fitted))
+        feature_weights(spark, fitted).show(100, truncate=False)
+        report.show(100, truncate=False)
+        preview(scored, args.preview).show(args.preview, truncate=False)
     else:
         inputs = (spark.table(args.logs), spark.table(args.items), spark.table(args.users))
         if args.job == "train":

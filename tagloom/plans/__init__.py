@@ -8,6 +8,7 @@ from .jobs import (
     run_export,
     run_merge,
     run_prediction,
+    run_sample_training,
     run_shared_tasks,
     run_tag_task,
     run_training,
@@ -22,6 +23,7 @@ __all__ = [
     "run_export",
     "run_merge",
     "run_prediction",
+    "run_sample_training",
     "run_shared_tasks",
     "run_tag_task",
     "run_training",

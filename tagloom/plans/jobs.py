@@ -206,6 +206,27 @@ def run_training(
     return fitted, model.evaluate(model.predict(fitted, held_out))
 
 
+def run_sample_training(
+    samples: DataFrame,
+    model_path: str,
+    columns: Sequence[str] = ("hair", "height", "skirt", "age"),
+    label: str = "gender",
+    key: str = "uid",
+    codes: Mapping[str, Mapping[object, object]] = features.SAMPLE_CODES,
+    params: model.TreeParams = model.SAMPLE_PARAMS,
+    seed: int = 0,
+) -> tuple[PipelineModel, DataFrame, DataFrame]:
+    """Train the sample model on coded categories and store it; returns it, its report and the scored held-out rows.
+
+    A category without a code is NULL and counts as one of its own. Every sample is trained on or held out.
+    """
+    coded = stored(features.category_codes(samples.select(key, label, *columns), codes))
+    fitted, held_out = model.train(coded, label, list(columns), params, seed, key)
+    model.save(fitted, model_path)
+    predicted = model.predict(fitted, held_out)
+    return fitted, model.evaluate(predicted), predicted.select(key, label, *columns, model.PREDICTION_LABEL)
+
+
 def run_prediction(
     spark: SparkSession,
     logs: DataFrame,

@@ -179,3 +179,20 @@ def test_one_query_computes_several_tags(spark, database, warehouse):
         plans.run_shared_tasks(spark, meta, [1, 3], DAY, database, sql, warehouse)
     with pytest.raises(ValueError, match="missing"):
         plans.run_shared_tasks(spark, meta, [1, 2], DAY, database, "select 1 as uid, 2 as tg_sex")
+
+
+def test_the_sample_model_as_a_job(spark, database, tmp_path, capsys):
+    """The stored model finds the rule that the labels follow; the job shows tree, weights, report and scored rows."""
+    from tagloom.__main__ import main
+    from workload import roles
+
+    samples = roles.samples(spark, "/root/testdata/sf0.01")
+    samples.write.saveAsTable(f"{database}.samples")
+    path = str(tmp_path / "sample")
+    main(["train-sample", "--dt", DAY, "--database", database, "--model", path, "--samples", f"{database}.samples", "--preview", "3"])
+    shown = capsys.readouterr().out
+    assert "If (feature" in shown and "prediction_origin" in shown and "accuracy" in shown
+    _, report, scored = plans.run_sample_training(samples, path, seed=7)
+    assert scored.filter("prediction_origin <> gender").count() == 0 and scored.count() > 300
+    assert report.filter("metric = 'accuracy'").first()["value"] == 1.0
+    assert len(model.model_versions(spark, path)) == 2

@@ -21,25 +21,30 @@ CACHE_WORDS = 250_000
 LONGEST_CACHED = 64
 _TWO_SPACES = re.compile(r"\s\s")
 _BOUNDARY = re.compile(r"(?<=\S)(?= \S)")
+_CLOSED = re.compile(r"\S(?:[^ ]*\S)?")
 
 
 class WordTokenizer:
     """Token ids of whole texts, as little-endian 32-bit bytes.
 
     A byte-level vocabulary never joins across a single blank between two characters that are not white space, so a
-    text may be cut there and the ids of a word remembered. The memory holds CACHE_WORDS words and then starts anew.
+    text may be cut there and the ids of a word remembered. The memory holds CACHE_WORDS words and then starts anew; a word
+    of the memory before that is met again moves over and is not encoded again. Unknown words of a text go to the
+    tokenizer as one string, and as each has its only blank in front, a token that begins with a blank begins a word.
     A vocabulary comes as a tokenizer file or as a rank file with the pattern that splits text before merges. The
     special tokens of a tokenizer file are found in a text unless it is ``plain``; a rank file has none.
     """
 
     def __init__(self, path: str, pattern: str = "", plain: bool = False):
         self.words: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         if path.endswith(".tiktoken"):
             import tiktoken
 
             with open(path, "rb") as lines:
                 ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
             own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+            self._whole = None
             self._ids = lambda pieces: map(own.encode_ordinary, pieces)
         else:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -47,30 +52,48 @@ class WordTokenizer:
 
             whole = Tokenizer.from_file(path)
             whole.encode_special_tokens = plain
+            self._whole = whole
+            self._begins = np.zeros(whole.get_vocab_size(), dtype=bool)
+            self._begins[[i for token, i in whole.get_vocab(with_added_tokens=False).items() if token.startswith("Ġ")]] = True
             self._ids = lambda pieces: (e.ids for e in whole.encode_batch(pieces, add_special_tokens=False))
 
     def _encoded(self, pieces: list[str]) -> list[bytes]:
         return [array("I", ids).tobytes() for ids in self._ids(pieces)]
 
+    def _learned(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Each key of the memory with its ids: a word stands for itself after a blank, or without the blank it begins with."""
+        if self._whole is not None:
+            joined = list(filter(_CLOSED.fullmatch, words))
+            ids = np.array(self._whole.encode("".join([" " + w for w in joined]), add_special_tokens=False).ids, dtype="<u4")
+            starts = np.flatnonzero(self._begins[ids])
+            if len(starts) == len(joined):
+                data, at = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
+                yield from ((w, data[a:b]) for w, a, b in zip(joined, at, at[1:], strict=False))
+                words = [w for w in words if not _CLOSED.fullmatch(w)] if len(joined) < len(words) else []
+        if words:
+            yield from zip(words, self._encoded([w[1:] if w.startswith(" ") else " " + w for w in words]), strict=True)
+
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
         if _TWO_SPACES.search(text):
-            words = _BOUNDARY.split(text)
+            first, *rest = _BOUNDARY.split(text)
+            words = [" " + first, *[w[1:] for w in rest]]
         else:
-            first, *rest = text.split(" ")
-            words = [first, *[" " + w for w in rest]]
+            words = text.split(" ")
+            words[0] = " " + words[0]
         if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-        known = self.words
-        unknown = [w for w in set(words) if w not in known]
-        over: dict[str, bytes] = {}
+            self.before, self.words = self.words, {}
+        known, before = self.words, self.before
+        unknown = set(words).difference(known)
         if unknown:
-            for word, ids in zip(unknown, self._encoded(unknown), strict=True):
+            over: dict[str, bytes] = {}
+            known.update([(w, before[w]) for w in unknown if w in before])
+            for word, ids in self._learned(list(unknown.difference(before))):
                 (known if len(word) <= LONGEST_CACHED else over)[word] = ids
-        if over:
-            return b"".join([known[w] if w in known else over[w] for w in words])
-        return b"".join([known[w] for w in words])
+            if over:
+                return b"".join([known[w] if w in known else over[w] for w in words])
+        return b"".join(map(known.__getitem__, words))
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, pattern: str, capacity: int, end_id: int) -> DataFrame:

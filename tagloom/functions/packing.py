@@ -55,6 +55,19 @@ def bit_mask(position: Column) -> Column:
     )
 
 
+def bitmap_of(words: Column) -> Column:
+    """Spark's bitmap of a bucket, 4,096 bytes, from its sorted ``(word, bits)``: bytes of a word stand lowest first."""
+    low = F.lit(0x0F0F0F0F0F0F0F0F)
+
+    def digits(word: Column, i: Column) -> Column:
+        gap = word["word"] - F.coalesce(F.get(words, i - 1)["word"], F.lit(-1)) - 1
+        # Digits change places inside each byte, so that the reversed text has the bytes in reverse.
+        bits = F.shiftleft(word["bits"].bitwiseAND(low), 4).bitwiseOR(F.shiftrightunsigned(word["bits"], 4).bitwiseAND(low))
+        return F.concat(F.repeat(F.lit("0" * 16), gap), F.reverse(F.lpad(F.hex(bits), 16, "0")))
+
+    return F.unhex(F.rpad(F.array_join(F.transform(words, digits), ""), CHUNK_SIZE // 4, "0" * 512))
+
+
 def unsigned_id(uid: Column, strict: bool = True) -> Column:
     """An id from 0 to 2^64 - 1 as the bigint with the same bits; ``strict`` fails on anything else, else it is NULL."""
     text = uid.cast("string")

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.functions.packing import SIGNED, WORD_BITS, IdSpace, bit_mask, block_of, word_of
+from tagloom.functions.packing import SIGNED, WORD_BITS, IdSpace, bit_mask, bitmap_of, block_of, word_of
 from tagloom.sources.catalog import TagSpec
 
 VALUE_KEYS = ("tag_code", "tag_value")
@@ -126,12 +126,12 @@ def user_bitmaps(members: DataFrame) -> DataFrame:
 
     For use with ``bitmap_or_agg`` and ``bitmap_and_agg``. A chunk has the same size whatever it holds,
     so rare values are better kept as ``user_chunks``.
+
+    Bitmaps are laid out from packed words, row by row, after the last shuffle and sort: neither ever holds one, whatever
+    the number of values. Rows come sorted by tag and bucket, so that or-ing the values of a tag needs no sort either.
     """
-    return (
-        members.groupBy(*VALUE_KEYS, "bucket")
-        .agg(F.bitmap_construct_agg("position").alias("bitmap"))
-        .select(*VALUE_KEYS, "bucket", F.bitmap_count("bitmap").alias("n_users"), "bitmap")
-    )
+    chunks = user_chunks(members.drop("value_type")).sortWithinPartitions("tag_code", "bucket")
+    return chunks.select(*VALUE_KEYS, "bucket", "n_users", bitmap_of(F.col("words")).alias("bitmap"))
 
 
 def user_sets(members: DataFrame, ids: IdSpace = SIGNED) -> DataFrame:

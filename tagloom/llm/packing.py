@@ -22,6 +22,25 @@ LONGEST_CACHED = 64
 _TWO_SPACES = re.compile(r"\s\s")
 _BOUNDARY = re.compile(r"(?<=\S)(?= \S)")
 _CLOSED = re.compile(r"\S(?:[^ ]*\S)?")
+_LETTERS, _MARKS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", r"!-&(-/:-@\[-`{-~"  # an apostrophe can begin a pretoken with letters
+_RUNS = re.compile(rf"([{_LETTERS}]+)([{_MARKS}]*)(?:\n([{_LETTERS}]+)([{_MARKS}]*))?")
+_IN_RUNS = re.compile(rf"[{_MARKS}][{_LETTERS}]|[^{_LETTERS}{_MARKS}\n]")
+
+
+class _LetterRuns:
+    """Ids of runs of letters, alone or after one blank: each is one pretoken, so the model gets it without a search for pretokens."""
+
+    def __init__(self, model):
+        own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [b for b in range(256) if b not in set(own)]
+        self._model, self._marks = model, {b: 256 + i for i, b in enumerate(others)}
+
+    def encode(self, run: str) -> bytes:
+        if run.isascii():  # letters stand for their bytes
+            run = run.replace(" ", "Ġ")
+        else:
+            run = run.encode().decode("latin-1").translate(self._marks)
+        return array("I", [token.id for token in self._model.tokenize(run)]).tobytes()
 
 
 class WordTokenizer:
@@ -29,8 +48,10 @@ class WordTokenizer:
 
     A byte-level vocabulary never joins across a single blank between two characters that are not white space, so a
     text may be cut there and the ids of a word remembered. The memory holds CACHE_WORDS words and then starts anew; a word
-    of the memory before that is met again moves over and is not encoded again. Unknown words of a text go to the
-    tokenizer as one string, and as each has its only blank in front, a token that begins with a blank begins a word.
+    of the memory before that is met again moves over and is not encoded again. Where the pattern before merges is that of
+    ByteLevel, an unknown word of letters, marks and a line feed is put together from its runs, which are remembered like
+    words. Other unknown words of a text go to the tokenizer as one string, and as each has its only blank in front, a
+    token that begins with a blank begins a word.
     A vocabulary comes as a tokenizer file or as a rank file with the pattern that splits text before merges. The
     special tokens of a tokenizer file are found in a text unless it is ``plain``; a rank file has none.
     """
@@ -38,40 +59,79 @@ class WordTokenizer:
     def __init__(self, path: str, pattern: str = "", plain: bool = False):
         self.words: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
+        self._text = self._whole = None
         if path.endswith(".tiktoken"):
             import tiktoken
 
             with open(path, "rb") as lines:
                 ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
             own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-            self._whole = None
             self._ids = lambda pieces: map(own.encode_ordinary, pieces)
         else:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
             from tokenizers import Tokenizer
-
-            whole = Tokenizer.from_file(path)
-            whole.encode_special_tokens = plain
-            self._whole = whole
-            self._begins = np.zeros(whole.get_vocab_size(), dtype=bool)
-            self._begins[[i for token, i in whole.get_vocab(with_added_tokens=False).items() if token.startswith("Ġ")]] = True
-            self._ids = lambda pieces: (e.ids for e in whole.encode_batch(pieces, add_special_tokens=False))
+            from tokenizers.pre_tokenizers import ByteLevel
+
+            self._text = text = Tokenizer.from_file(path)
+            text.encode_special_tokens = plain
+            self._begins = np.zeros(text.get_vocab_size(), dtype=bool)
+            self._begins[[i for token, i in text.get_vocab(with_added_tokens=False).items() if token.startswith("Ġ")]] = True
+            self._ids = lambda pieces: (e.ids for e in text.encode_batch_fast(pieces, add_special_tokens=False))
+            split = text.pre_tokenizer
+            own = text.normalizer is None and isinstance(split, ByteLevel) and split.use_regex and not split.add_prefix_space
+            # A token that is found before words are cut must not begin or end inside the runs of a word.
+            if own and all(_IN_RUNS.search(token.content) for token in text.get_added_tokens_decoder().values()):
+                self._whole, self._line = _LetterRuns(text.model), self._encoded(["\n"])[0]
 
     def _encoded(self, pieces: list[str]) -> list[bytes]:
         return [array("I", ids).tobytes() for ids in self._ids(pieces)]
 
-    def _learned(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+    def _of_runs(self, words: list[str], out: dict[str, bytes]) -> list[str]:
+        """Adds the words that are put together from runs, and these runs, to ``out``; returns the other words."""
+        known, before, encode = self.words, self.before, self._whole.encode
+
+        def ids_of(key: str, letters: bool) -> bytes:
+            ids = known.get(key) or out.get(key)
+            if not ids:
+                ids = before.get(key)
+                if not ids:
+                    ids = encode(key[1:] if key[0] == " " else " " + key) if letters else self._encoded([key[1:]])[0]
+                out[key] = ids
+            return ids
+
+        others = []
+        for word in words:
+            cut = _RUNS.fullmatch(word)
+            if cut is None:
+                others.append(word)
+                continue
+            letters, marks, more, last = cut.groups()
+            ids = ids_of(letters, True)
+            if marks:
+                ids += ids_of(" " + marks, False)
+            if more:
+                ids += self._line + ids_of(" " + more, True)
+                if last:
+                    ids += ids_of(" " + last, False)
+            out[word] = ids
+        return others
+
+    def _learned(self, words: list[str]) -> dict[str, bytes]:
         """Each key of the memory with its ids: a word stands for itself after a blank, or without the blank it begins with."""
+        out: dict[str, bytes] = {}
         if self._whole is not None:
+            words = self._of_runs(words, out)
+        if words and self._text is not None:
             joined = list(filter(_CLOSED.fullmatch, words))
-            ids = np.array(self._whole.encode("".join([" " + w for w in joined]), add_special_tokens=False).ids, dtype="<u4")
+            ids = np.array(self._text.encode("".join([" " + w for w in joined]), add_special_tokens=False).ids, dtype="<u4")
             starts = np.flatnonzero(self._begins[ids])
             if len(starts) == len(joined):
                 data, at = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
-                yield from ((w, data[a:b]) for w, a, b in zip(joined, at, at[1:], strict=False))
+                out.update((w, data[a:b]) for w, a, b in zip(joined, at, at[1:], strict=False))
                 words = [w for w in words if not _CLOSED.fullmatch(w)] if len(joined) < len(words) else []
         if words:
-            yield from zip(words, self._encoded([w[1:] if w.startswith(" ") else " " + w for w in words]), strict=True)
+            out.update(zip(words, self._encoded([w[1:] if w.startswith(" ") else " " + w for w in words]), strict=True))
+        return out
 
     def __call__(self, text: str) -> bytes:
         if not text:
@@ -89,7 +149,7 @@ class WordTokenizer:
         if unknown:
             over: dict[str, bytes] = {}
             known.update([(w, before[w]) for w in unknown if w in before])
-            for word, ids in self._learned(list(unknown.difference(before))):
+            for word, ids in self._learned(list(unknown.difference(before))).items():
                 (known if len(word) <= LONGEST_CACHED else over)[word] = ids
             if over:
                 return b"".join([known[w] if w in known else over[w] for w in words])

@@ -209,8 +209,10 @@ def _numbers(packed: bytes, kind: str) -> np.ndarray:
 def _packs(docs: DataFrame, byte_level: str, pieces: str) -> DataFrame:
     """Consecutive documents, aligned: what is counted of each, and the distinct pairs of all."""
 
+    memory = f"aligner {byte_level} {pieces}"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = kept(f"aligner {byte_level} {pieces}", lambda: Aligner(byte_level, pieces))
+        aligner = kept(memory, lambda: Aligner(byte_level, pieces))
         number = TaskContext.get().partitionId() << 32
         ids: list = []
         tables: list[pa.Table] = []
@@ -240,7 +242,7 @@ def _packs(docs: DataFrame, byte_level: str, pieces: str) -> DataFrame:
 
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(lean(run), PACK_DDL)
+    return rows.mapInArrow(lean(run, [memory]), PACK_DDL)
 
 
 def pair_counts(packs: DataFrame) -> DataFrame:

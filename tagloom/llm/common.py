@@ -7,7 +7,7 @@ import ctypes
 import gc
 import sys
 import types
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Collection, Iterator
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tagloom.session import scope, stored
 
-__all__ = ["bounded_batches", "by_value", "fold", "kept", "lean", "rank_within", "scope", "stored", "table"]
+__all__ = ["bounded_batches", "by_value", "fold", "give_back", "kept", "lean", "rank_within", "scope", "stored", "table"]
 
 # ASCII white space: blank, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -38,22 +38,40 @@ def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, rows)
 
 
-def lean(run: Callable) -> Callable:
-    """The batch function ``run``, whose worker gives its free memory back at the end: it stays for other tasks."""
+def give_back() -> None:
+    """Hands the free memory of this worker back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def _worker_state() -> dict:
+    return sys.modules.setdefault("tagloom_worker_state", types.ModuleType("tagloom_worker_state")).__dict__
+
+
+def lean(run: Callable, keeps: Collection[str] = ()) -> Callable:
+    """The batch function ``run``, whose worker gives its free memory back at the end: it stays for other tasks.
+
+    What other operators have ``kept`` in the worker, a vocabulary with its memory of words say, goes before the first batch.
+    """
 
     def wrapped(batches: Iterator) -> Iterator:
+        state = _worker_state()
+        others = [name for name in state if not name.startswith("__") and name not in keeps]
+        for name in others:
+            del state[name]
+        if others:
+            give_back()
         yield from run(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # not every C library can
-            ctypes.CDLL(None).malloc_trim(0)
+        give_back()
 
     return wrapped
 
 
 def kept(name: str, make: Callable):
-    """``make()`` once for each Python worker process: tokenizers and caches outlive a task."""
-    state = sys.modules.setdefault("tagloom_worker_state", types.ModuleType("tagloom_worker_state")).__dict__
+    """``make()`` once for each Python worker process: tokenizers and caches outlive a task, until another operator's begins."""
+    state = _worker_state()
     if name not in state:
         state[name] = make()
     return state[name]

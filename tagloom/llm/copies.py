@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import bounded_batches, by_value, lean, scope, stored
+from tagloom.llm.common import bounded_batches, by_value, give_back, lean, scope, stored
 from tagloom.llm.graph import components
 from tagloom.llm.simhash import first_of_each, fingerprints_of, links, shingle_hashes
 
@@ -177,6 +177,12 @@ def _across(
         blocks = many.select("key", *pair, "unit", "root", "size", "own", "shingles").groupBy("key", "i", "j")
 
         def meet(block: pd.DataFrame) -> pd.DataFrame:
+            found = links_of(block)
+            if len(block) >= BLOCK // 2:  # what a large block took is not for the next stages to carry
+                give_back()
+            return found
+
+        def links_of(block: pd.DataFrame) -> pd.DataFrame:
             unit, root, size, own = (block[c].to_numpy() for c in ("unit", "root", "size", "own"))
             left = np.flatnonzero(own == block["i"].iat[0])
             right = np.flatnonzero(own == block["j"].iat[0])

@@ -159,8 +159,10 @@ class WordTokenizer:
 def token_pieces(docs: DataFrame, tokenizer_path: str, pattern: str, capacity: int, end_id: int) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` of each document's ids and the end id after them."""
 
+    memory = "words of " + tokenizer_path
+
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = kept("words of " + tokenizer_path, lambda: WordTokenizer(tokenizer_path, pattern))
+        encode = kept(memory, lambda: WordTokenizer(tokenizer_path, pattern))
         end = np.asarray([end_id], dtype="<u4").tobytes()
         for batch in batches:
             out = []
@@ -177,7 +179,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, pattern: str, capacity: i
 
     bounded_batches(docs.sparkSession)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(lean(cut), schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(lean(cut, [memory]), schema)
 
 
 def dominant_sets(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int]]:

@@ -63,8 +63,8 @@ def op8_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tagloom.llm.suffix import remove_repeats
 
-    cut = remove_repeats(table(spark, sf_dir, "documents"))
-    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    cut = remove_repeats(table(spark, sf_dir, "documents"), words=50)
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_run_words")
 
 
 def op10_interpolated_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

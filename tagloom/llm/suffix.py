@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -17,9 +17,8 @@ from tagloom.llm.common import bounded_batches, by_value, lean, scope, stored
 GRAM = 64  # bytes of the first rank
 ROWS = 20_000  # blocks that a task holds before it hands them on
 PIECE = 1 << 19  # window starts of a text that are looked at together
-CODE = 6  # letters that stand for a word
-_LETTERS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
-_WORD = re.compile(rb"[^\x20\x09-\x0d]+")
+LONG = 4096  # bytes of a word that is named alone
+_BLANK = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _LOW = np.uint64((1 << 20) - 1)
@@ -36,10 +35,13 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 class Names:
-    """64-bit names of substrings: equal strings have equal names wherever they stand."""
+    """64-bit names of substrings: equal strings have equal names wherever they stand.
+
+    A string is made of bytes, or of the 64-bit names of words.
+    """
 
     def __init__(self) -> None:
-        n = PIECE + 4096
+        n = PIECE + LONG
         with np.errstate(over="ignore"):
             self.up = _powers(_BASE, n)
             self.down = _powers(pow(_BASE, -1, 1 << 64), n)
@@ -48,7 +50,8 @@ class Names:
 
     def sums(self, data: np.ndarray) -> np.ndarray:
         out = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(self.letters[data] * self.down[: len(data)], out=out[1:])
+        letters = self.letters[data] if data.dtype == np.uint8 else data
+        np.cumsum(letters * self.down[: len(data)], out=out[1:])
         return out
 
     def of(self, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -58,19 +61,41 @@ class Names:
         return name ^ (name >> np.uint64(31))
 
 
+def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a text start and end; blanks are the ASCII ones."""
+    blank = np.concatenate([[True], _BLANK[data], [True]])
+    edges = np.flatnonzero(blank[1:] != blank[:-1])
+    return edges[::2], edges[1::2]
+
+
+def word_names(names: Names, data: np.ndarray) -> np.ndarray:
+    """A 64-bit name for each word of the text: equal words have equal names, whatever blanks are between them."""
+    starts, ends = word_bounds(data)
+    out = np.empty(len(starts), dtype=np.uint64)
+    for at in range(0, len(data), PIECE):
+        low, high = np.searchsorted(starts, (at, at + PIECE))
+        sums = names.sums(data[at : at + PIECE + LONG])
+        out[low:high] = names.of(sums, starts[low:high] - at, np.minimum(ends[low:high] - at, len(sums) - 1))
+    for i in np.flatnonzero(ends - starts > LONG):
+        out[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i]].tobytes(), 7)
+    return out
+
+
 def picked(names: Names, data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """Runs of window starts that pick the same position: ``(first, n, lead, class, span)`` for each run.
 
     A window of ``length`` bytes picks its GRAM bytes with the least name, the leftmost of equal ones, so equal
     windows pick the same place inside. The picked place is ``first + lead``, the class is the name of its bytes, and
-    the span is the name of all bytes that the run's windows cover, with the lead.
+    the span is the name of all bytes that the run's windows cover, with the lead. Words are picked by a quarter of
+    the window.
     """
+    gram = GRAM if data.dtype == np.uint8 else max(1, length // 4)
     n = len(data) - length + 1
     sums = names.sums(data)
-    at = np.arange(len(data) - GRAM + 1)
-    gram = names.of(sums, at, at + GRAM)
+    at = np.arange(len(data) - gram + 1)
+    width, step = length - gram + 1, 1
+    gram = names.of(sums, at, at + gram)
     key = (gram & ~_LOW) | at.astype(np.uint64)
-    width, step = length - GRAM + 1, 1
     least = key
     while step * 2 <= width:
         least = np.minimum(least[: len(least) - step], least[step:])
@@ -113,8 +138,13 @@ def _keys(docs: DataFrame) -> DataFrame:
     return docs.select(number.alias("id"), F.xxhash64("doc_id", "text").alias("print"), "text")
 
 
-def runs_of(keyed: DataFrame, length: int) -> DataFrame:
-    """``id, print, class, span, first, n, lead``: the runs of each text with at least ``length`` bytes."""
+def _long_enough(keyed: DataFrame, length: int, words: bool) -> DataFrame:
+    """Texts that can hold a window of ``length`` bytes or words."""
+    return keyed.where(F.octet_length("text") >= (2 * length - 1 if words else length))
+
+
+def runs_of(keyed: DataFrame, length: int, words: bool = False) -> DataFrame:
+    """``id, print, class, span, first, n, lead``: the runs of each text with at least ``length`` bytes, or words."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = Names()
@@ -123,6 +153,8 @@ def runs_of(keyed: DataFrame, length: int) -> DataFrame:
             with np.errstate(over="ignore"):
                 for i, text in enumerate(batch["text"]):
                     data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+                    if words:
+                        data = word_names(names, data)
                     for at, piece in pieces_of(data, length):
                         first, n, lead, cls, span = picked(names, piece, length)
                         out.append((np.full(len(n), i), cls, span, first + at, n, lead))
@@ -141,52 +173,77 @@ def runs_of(keyed: DataFrame, length: int) -> DataFrame:
                 )
 
     schema = "id long, print long, class long, span long, first long, n int, lead int"
-    return keyed.where(F.octet_length("text") >= length).mapInPandas(lean(run), schema)
+    return _long_enough(keyed, length, words).mapInPandas(lean(run), schema)
 
 
-def _blocks(texts: DataFrame, length: int, block: int) -> DataFrame:
+def _blocks(texts: DataFrame, length: int, block: int, words: bool = False) -> DataFrame:
     """The open runs of each text in blocks of window starts at the same distance from the pick.
 
-    Every window of a block holds the block's core, ``length - block + 1`` bytes; the outer name is that of all
-    bytes the block's windows cover. ``names`` holds the names of the single windows.
+    Every window of a block holds the block's core, ``length - block + 1`` bytes (or words); the outer name is that of
+    all bytes the block's windows cover. ``names`` holds the names of the single windows.
     """
 
-    columns = ["id", "print", "class", "k", "core", "outer", "first", "n", "weight", "names"]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(names: Names, data: np.ndarray, firsts, sizes, leads) -> Iterator[tuple[np.ndarray, ...]]:
+        """The run of each block, its k, core, outer, first and n, and the names of all windows."""
+        for at in range(0, len(data) - length + 1, PIECE):
+            own = np.flatnonzero((firsts >= at) & (firsts < at + PIECE))
+            if not len(own):
+                continue
+            sums, n = names.sums(data[at : at + PIECE + length - 1]), sizes[own]
+            run = np.repeat(own, n)
+            start = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
+            place, away = firsts[run] - at + start, leads[run] - start
+            which = away // block
+            low = np.flatnonzero(np.concatenate([[True], (which[1:] != which[:-1]) | (run[1:] != run[:-1])]))
+            high = np.append(low[1:], len(run))
+            window = names.of(sums, place, place + length)
+            core = place[low] + away[low] - which[low] * block
+            cores = names.of(sums, core, core + length - block + 1)
+            outer = names.of(sums, place[low], place[high - 1] + length) ^ (away[low].astype(np.uint64) * np.uint64(_BASE))
+            yield run[low], which[low], cores, outer, place[low] + at, high - low, window
+
+    def rows_of(out: list[tuple]) -> Iterator[pa.RecordBatch]:
+        *columns, window = (np.concatenate(c) for c in zip(*out, strict=True))
+        ends = np.concatenate([[0], np.cumsum(columns[-2])])
+        for low in range(0, len(ends) - 1, ROWS):
+            own, edge = [c[low : low + ROWS] for c in columns], ends[low : low + ROWS + 1]
+            arrays = [pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in own]
+            lists = pa.ListArray.from_arrays((edge - edge[0]).astype(np.int32), window[edge[0] : edge[-1]].view(np.int64))
+            yield pa.RecordBatch.from_arrays([*arrays, lists], [*schema])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = Names()
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            out: list[tuple] = []
-            with np.errstate(over="ignore"):
-                for own, tag, packed, runs in zip(batch["id"], batch["print"], batch["packed"], batch["runs"], strict=True):
-                    data = np.frombuffer(unpack(packed), np.uint8)
-                    for r in runs:
-                        first, n, lead = r["first"], r["n"], r["lead"]
-                        sums = names.sums(data[first : first + n + length - 1])
-                        start = np.arange(n)
-                        window = names.of(sums, start, start + length).view(np.int64)
-                        which = (lead - start) // block
-                        low = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]]))
-                        high = np.append(low[1:], n)
-                        k = which[low]
-                        core = lead - k * block
-                        cores = names.of(sums, core, core + length - block + 1).view(np.int64)
-                        outer = names.of(sums, low, high + length - 1) ^ ((lead - low).astype(np.uint64) * np.uint64(_BASE))
-                        for j in range(len(low)):
-                            out.append(
-                                (own, tag, r["class"], k[j], cores[j], outer.view(np.int64)[j], first + low[j],
-                                 high[j] - low[j], r["weight"], window[low[j] : high[j]])
-                            )
-                    if len(out) >= ROWS:
-                        yield pd.DataFrame(out, columns=columns)
-                        out = []
-            yield pd.DataFrame(out, columns=columns)
-
-    schema = (
-        "id long, print long, class long, k int, core long, outer long, first long, n int, weight int, names array<long>"
-    )
-    return texts.mapInPandas(lean(run), schema)
+            ids, prints = (batch.column(c).to_numpy() for c in ("id", "print"))
+            lists, out, count = batch.column("runs"), [], 0
+            classes, *places, weights = (
+                lists.flatten().field(i).to_numpy(zero_copy_only=False).astype(np.int32 if i == 4 else np.int64) for i in range(5)
+            )
+            edges = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            for i, packed in enumerate(batch.column("packed")):
+                data, mine = np.frombuffer(unpack(packed.as_py()), np.uint8), slice(edges[i], edges[i + 1])
+                with np.errstate(over="ignore"):
+                    if words:
+                        data = word_names(names, data)
+                    for of, k, cores, outer, first, n, window in cut(names, data, *(c[mine] for c in places)):
+                        size = len(k)
+                        out.append(
+                            (np.full(size, ids[i]), np.full(size, prints[i]), classes[mine][of], k.astype(np.int32), cores, outer,
+                             first, n.astype(np.int32), weights[mine][of], window)
+                        )
+                        count += size
+                if count >= ROWS:
+                    yield from rows_of(out)
+                    out, count = [], 0
+            if out:
+                yield from rows_of(out)
+
+    schema = {
+        "id": "long", "print": "long", "class": "long", "k": "int", "core": "long", "outer": "long", "first": "long",
+        "n": "int", "weight": "int", "names": "array<long>",
+    }
+    return texts.mapInArrow(lean(run), ", ".join(f"{name} {kind}" for name, kind in schema.items()))
 
 
 def _decided(rows: DataFrame, rank: list[str], whole: str, keep_first: bool) -> tuple[DataFrame, DataFrame]:
@@ -218,16 +275,16 @@ def _decided(rows: DataFrame, rank: list[str], whole: str, keep_first: bool) ->
     return repeated, still
 
 
-def repeated_windows(keyed: DataFrame, length: int, block: int, keep_first: bool = False) -> DataFrame:
+def repeated_windows(keyed: DataFrame, length: int, block: int, keep_first: bool = False, words: bool = False) -> DataFrame:
     """``id, print, first, n``: window starts first .. first + n - 1 whose ``length`` bytes also start elsewhere.
 
-    With ``keep_first``, windows whose bytes also start earlier, in the order of id, print and place. The result reads
+    With ``words`` lengths and places count words, which are equal if their names are. With ``keep_first``, windows whose bytes also start earlier, in the order of id, print and place. The result reads
     three small tables; what they were made from is dropped as soon as they are stored.
     """
     spark, columns = keyed.sparkSession, ["id", "print", "first", "n"]
     with scope(spark) as own:
         with scope(spark) as first:
-            every = stored(runs_of(keyed, length))
+            every = stored(runs_of(keyed, length, words))
             # Counts are stored before they are joined, so that the join of a frequent class can be split.
             again = stored(every.groupBy("class").count().where("count > 1").select("class"))
             runs = first.keep(every.join(again, "class", "left_semi").withColumn("weight", F.lit(1)))
@@ -239,8 +296,8 @@ def repeated_windows(keyed: DataFrame, length: int, block: int, keep_first: bool
     rank = ["class", "k", "core"]
     with scope(spark) as own:
         with scope(spark) as first:
-            texts = _packed(keyed.where(F.octet_length("text") >= length)).dropDuplicates(["id", "print"])
-            blocks = _blocks(texts.join(asked, ["id", "print"]).select("id", "print", "packed", "runs"), length, block)
+            texts = _packed(_long_enough(keyed, length, words)).dropDuplicates(["id", "print"])
+            blocks = _blocks(texts.join(asked, ["id", "print"]).select("id", "print", "packed", "runs"), length, block, words)
             blocks = first.keep(blocks)
         repeated, still = _decided(blocks, rank, "outer", keep_first)
         whole_blocks = own.keep(repeated.select(*columns))
@@ -263,10 +320,10 @@ def repeated_windows(keyed: DataFrame, length: int, block: int, keep_first: bool
     )
 
 
-def _spans(keyed: DataFrame, length: int, block: int, keep_first: bool = False) -> DataFrame:
+def _spans(keyed: DataFrame, length: int, block: int, keep_first: bool = False, words: bool = False) -> DataFrame:
     """``id, print, spans``, stored; nothing else is left of the search."""
     with scope(keyed.sparkSession) as own:
-        spans = repeated_windows(keyed, length, block, keep_first).groupBy("id", "print")
+        spans = repeated_windows(keyed, length, block, keep_first, words).groupBy("id", "print")
         # Bounded by the text's length.
         return own.keep(spans.agg(F.collect_list(F.struct("first", "n")).alias("spans")))
 
@@ -281,11 +338,26 @@ def _gone(size: int, spans, length: int) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, block: int = 16) -> DataFrame:
+def _word_spans(keyed: DataFrame, words: int, keep_first: bool = False) -> DataFrame:
+    """``id, print, spans``: runs of ``words`` words that also start elsewhere, counted in words."""
+    return _spans(keyed, words, max(1, words // 6), keep_first, words=True)
+
+
+def _gone_words(data: bytes, spans, words: int) -> np.ndarray:
+    """Which bytes the repeated words and the blanks after them cover."""
+    starts, _ = word_bounds(np.frombuffer(data, np.uint8))
+    edges = np.append(starts, len(data))
+    edges[0] = 0
+    return np.repeat(_gone(len(starts), spans, words), np.diff(edges))
+
+
+def remove_repeats(docs: DataFrame, length: int = 400, block: int = 16, words: int | None = None) -> DataFrame:
     """Remove every byte that a string of ``length`` bytes covers which also starts anywhere else.
 
     ``docs`` needs doc_id and text. Returns a row for each row: doc_id, n_bytes, n_removed, n_spans (maximal removed
-    runs), kept (the remaining bytes).
+    runs), kept (the remaining bytes). With ``words`` also n_run_words, the words that runs of so many words cover
+    which also start anywhere else, however few bytes they have and whatever blanks are between them; for these runs
+    nothing is removed. They are found by the same search over the words' names, after the tables of the first.
 
     Prefix doubling on the windows of ``length`` bytes. Their first rank is the name of the GRAM bytes that the
     window picks itself: runs of windows share a pick, so one row stands for some hundred positions. Spark groups
@@ -300,6 +372,9 @@ def remove_repeats(docs: DataFrame, length: int = 400, block: int = 16) -> DataF
     """
     keyed = _keys(docs)
     spans = _spans(keyed, length, block)
+    found = _packed(keyed).join(spans, ["id", "print"], "left")
+    if words is not None:
+        found = found.join(_word_spans(keyed, words).withColumnRenamed("spans", "runs"), ["id", "print"], "left")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unpack = zstandard.ZstdDecompressor().decompress
@@ -316,51 +391,15 @@ def remove_repeats(docs: DataFrame, length: int = 400, block: int = 16) -> DataF
                 out.append((len(data), len(data) - len(kept), edges, kept))
             frame = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept"])
             frame.insert(0, "doc_id", batch["id"].where(batch["id"] != -(1 << 63)).astype("Int64"))
+            if words is not None:
+                frame["n_run_words"] = [0 if own is None else in_runs(own) for own in batch["runs"]]
             yield frame
 
-    texts = _packed(keyed).join(spans, ["id", "print"], "left").select("id", "packed", "spans")
-    return texts.mapInPandas(lean(cut), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
-
-
-def coded(text: str) -> str:
-    """CODE letters for each word of the text: equal words have equal letters, whatever blanks are between them."""
-    words = text.encode("utf-8", "surrogatepass").split()
-    digest = xxhash.xxh64_intdigest
-    names = np.fromiter((digest(w, 7) for w in words), dtype=np.uint64, count=len(words))
-    places = np.arange(CODE, dtype=np.uint64) * np.uint64(6)
-    return _LETTERS[((names[:, None] >> places) & np.uint64(63)).astype(np.intp)].tobytes().decode()
-
-
-def _word_spans(keyed: DataFrame, words: int, block: int, keep_first: bool) -> DataFrame:
-    """``id, print, spans``: runs of ``words`` words that also start elsewhere, in letters of the coded text.
-
-    Two runs are taken for each other only if all words but one are equal and that one's letters coincide, with a
-    probability of 2^-36.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"id": batch["id"], "print": batch["print"], "text": [coded(t) for t in batch["text"]]})
-
-    with scope(keyed.sparkSession) as own:
-        rows = keyed.where(F.octet_length("text") >= 2 * words - 1)
-        codes = stored(rows.mapInPandas(lean(run), "id long, print long, text string").where(F.length("text") >= CODE * words))
-        return own.keep(_spans(codes, CODE * words, block, keep_first))
-
+    def in_runs(own) -> int:
+        return int(np.count_nonzero(_gone(max(x["first"] + x["n"] for x in own) + words - 1, own, words)))
 
-def _gone_words(data: bytes, spans, words: int) -> np.ndarray:
-    """Which bytes the repeated words and the blanks after them cover."""
-    starts = np.array([m.start() for m in _WORD.finditer(data)])
-    first = np.array([x["first"] for x in spans])
-    last = (first + np.array([x["n"] for x in spans]) - 1) // CODE
-    first = -(-first // CODE)
-    whole = first <= last  # windows that start with a word
-    step = np.zeros(len(starts) + 1, dtype=np.int64)
-    np.add.at(step, first[whole], 1)
-    np.add.at(step, last[whole] + words, -1)
-    edges = np.append(starts, len(data))
-    edges[0] = 0
-    return np.repeat(np.cumsum(step[:-1]) > 0, np.diff(edges))
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
+    return found.drop("print").mapInPandas(lean(cut), schema if words is None else f"{schema}, n_run_words long")
 
 
 def without_repeats(
@@ -392,7 +431,7 @@ def without_repeats(
     if words is None:
         rows = rows.withColumn("runs", empty)
     else:
-        runs = _word_spans(keyed, words, block, keep_first).withColumnRenamed("spans", "runs")
+        runs = _word_spans(keyed, words, keep_first).withColumnRenamed("spans", "runs")
         rows = rows.join(runs, ["id", "print"], "left")
 
     @F.pandas_udf("string")

@@ -117,3 +117,60 @@ def test_columns_of_any_name_come_back(spark):
         assert out.columns == docs.columns
         got = out.collect()
         assert got and all(r[n] == f"{n} {r.doc_id}" for r in got for n in names)
+
+
+def test_words_in_repeated_runs_beside_the_strings(spark):
+    """Passages of over 50 words that are under 400 bytes: counted for each document, at every place of them."""
+    from tagloom.llm.suffix import remove_repeats
+
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijé") for _ in range(rng.randrange(3, 7)))
+    passages = [[word() for _ in range(n)] for n in (49, 50, 52, 60, 90)]
+    long_word = "x" * 5000
+    rows = list(ROWS)
+    for i in range(40):
+        own = lambda: [word() for _ in range(rng.randrange(0, 60))]
+        passage = rng.choice([" ", "\n", " \t"]).join(passages[i % 5])
+        rows.append((5000 + i, " ".join([*own(), passage, *own(), *([passage] if i % 7 == 0 else [])])))
+    rows += [(6000, " ".join([long_word, *passages[2][:49]])), (6001, " ".join([word(), long_word, *passages[2][:49]]))]
+    rows += [(6002, "\n".join(["same"] * 51)), (6003, " ".join([long_word + "y", *passages[2][:49]])), rows[-1]]
+    split = [(d, (t or "").encode().split()) for d, t in rows]
+    times = Counter(tuple(w[i : i + 50]) for _, w in split for i in range(len(w) - 49))
+    want = Counter()
+    for d, w in split:
+        inside = {j for i in range(len(w) - 49) if times[tuple(w[i : i + 50])] > 1 for j in range(i, i + 50)}
+        want[d, len(inside)] += 1
+    docs = table(spark, rows)
+    got = remove_repeats(docs, words=50).collect()
+    assert Counter((r.doc_id, r.n_run_words) for r in got) == want
+    plain = remove_repeats(docs).collect()
+    assert Counter(tuple(r)[:5] for r in got) == Counter(tuple(r) for r in plain)  # nothing else changes
+    missed = [r for r in got if r.n_run_words >= 50 and not r.n_removed]
+    assert len(missed) >= 16  # found by their words alone
+
+
+def test_the_query_counts_runs_of_words(spark, tmp_path):
+    from tagloom.llm.queries import op9_repeated_strings
+
+    passage = " ".join(f"w{i}" for i in range(52))
+    rows = [(1, f"a b {passage}"), (2, f"{passage} c"), (3, "d " + passage[:-4]), (4, None), (5, "")]
+    table(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    out = op9_repeated_strings(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_run_words"]
+    assert {r.doc_id: (r.n_removed, r.n_run_words) for r in out.collect()} == {1: (0, 52), 2: (0, 52), 3: (0, 51), 4: (0, 0), 5: (0, 0)}
+
+
+def test_names_of_words_across_pieces(monkeypatch):
+    import numpy as np
+
+    from tagloom.llm import suffix
+
+    rng = random.Random(12)
+    words = ["".join(rng.choice("ab") for _ in range(rng.choice([1, 2, 30, 900]))) for _ in range(400)] + ["c" * 9000, "d" * 5000, "c" * 9000]
+    text = "".join(w + rng.choice([" ", "\x0b\x0c", "\r\n"]) for w in words).encode()
+    for piece in (700, 1 << 19):
+        monkeypatch.setattr(suffix, "PIECE", piece)
+        with np.errstate(over="ignore"):
+            names = suffix.word_names(suffix.Names(), np.frombuffer(b" " + text, np.uint8))
+        assert len(names) == len(words)
+        assert len(set(zip(words, names.tolist(), strict=True))) == len(set(words)) == len(set(names.tolist()))
